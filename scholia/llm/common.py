@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy or tokenizer step holds at a time.
@@ -48,12 +50,21 @@ def forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner drop shuffle files of finished steps, which a garbage collection tells it of."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write to Parquet in the shared folder and read it again: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = scratch(spark, tag)
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from scholia.llm.binary import op9_token_binary
 from scholia.llm.packing import op4_packing
 from scholia.llm.sharding import op10_rendezvous_sharding
+from scholia.llm.simhash import op6_simhash_near_dedup
+from scholia.llm.substring import SQL as SUBSTRING_SQL
+from scholia.llm.substring import op2_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op9_token_binary, op10_rendezvous_sharding)}
+    return {f.__name__: f for f in (op2_substring_dedup, op4_packing, op6_simhash_near_dedup, op9_token_binary, op10_rendezvous_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": SUBSTRING_SQL}
