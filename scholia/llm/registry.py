@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scholia.llm.binary import op9_token_binary
 from scholia.llm.packing import op4_packing
+from scholia.llm.search import SQL as SEARCH_SQL
+from scholia.llm.search import op8_exact_top_k
 from scholia.llm.sharding import op10_rendezvous_sharding
 from scholia.llm.simhash import op6_simhash_near_dedup
 from scholia.llm.substring import SQL as SUBSTRING_SQL
 from scholia.llm.substring import op2_substring_dedup
+from scholia.llm.urls import op1_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_packing, op6_simhash_near_dedup, op9_token_binary, op10_rendezvous_sharding)}
+    return {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op4_packing, op6_simhash_near_dedup, op8_exact_top_k, op9_token_binary, op10_rendezvous_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRING_SQL}
+    return {"op2_substring_dedup": SUBSTRING_SQL, "op8_exact_top_k": SEARCH_SQL}
