@@ -202,24 +202,28 @@ def _first_in(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, text, n_words, n_removed and kept, the words left, joined by one space.
+    """``docs`` with n_words, n_removed and kept, the words left, joined by one space.
 
     Words are runs of characters outside space and tab to carriage return. Rows
     of one doc_id are no copies of each other; a row whose doc_id is null neither
     loses words nor makes others lose them. Null text has no words. Shorter texts
-    than a window stay whole. An empty table gives no rows.
+    than a window stay whole. An empty table gives no rows. Input columns of the added
+    names are replaced.
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
+    held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c != text], F.lit(0).alias("__")).alias("rest"))
+    held = held.withColumn("row", F.monotonically_increasing_id())
     # written once by row, in as many buckets: the levels join their lists to it without moving texts again
     place = scratch(spark, "texts")
     name = "scholia_" + place.rsplit("-", 1)[1]
     held.repartition(buckets, "row").write.bucketBy(buckets, "row").option("path", place).option("compression", "zstd").saveAsTable(name)
     release(spark)
-    texts = spark.table(name)
+    whole = spark.table(name)
+    texts = whole.select("doc_id", "text", "row")
 
-    def with_list(lists: DataFrame, how: str) -> DataFrame:
+    def with_list(lists: DataFrame, how: str, texts: DataFrame = texts) -> DataFrame:
         return texts.join(lists.hint("shuffle_hash"), "row", how)
 
     steps = levels(window)
@@ -244,8 +248,10 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc
     again = single.join(_first_in(single, ["v1", "v2"]), ["v1", "v2"]).where("lo < doc_id")
     gone = marked.where("gone").select("row", "a", "b").unionByName(again.select("row", F.col("at").alias("a"), F.col("at").alias("b")))
     lists = materialise(gone.groupBy("row").agg(F.collect_list(span).alias("spans")), "gone")
-    out = with_list(lists, "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(_kept(window), "doc_id long, text string, n_words long, n_removed long, kept string")
+    out = with_list(lists, "left", whole).select("rest", "text", "spans")
+    rest = whole.schema["rest"].dataType.simpleString()
+    done = out.mapInArrow(_kept(window), f"rest {rest}, text string, n_words long, n_removed long, kept string")
+    return done.select(*[F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in names], "n_words", "n_removed", "kept")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
