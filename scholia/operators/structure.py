@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scholia.functions.scan import scan_manuscripts
+from scholia.operators.support import claims, support_edges
 from scholia.plans.fixpoint import cyclic_components, reachable_pairs
 
 #: Result environments, reference macros, the longest gap to a proof in lines.
@@ -131,6 +132,16 @@ class Manuscript:
         state = F.when(F.col("bad"), "source_error").when(F.col("partial"), "partial").otherwise("resolved")
         return odd.join(bad, "project_id", "left").select("project_id", state.alias("workspace"))
 
+    # proofs
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        return claims(self).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def support(self) -> DataFrame:
+        return support_edges(self).persist(StorageLevel.MEMORY_AND_DISK)
+
     # references
 
     @cached_property

@@ -76,7 +76,7 @@ def support_edges(manuscript, found: DataFrame | None = None) -> DataFrame:
     equation, other macros a result if one has the label. ``By X, Y`` without
     anything better leaves X as an unresolved property.
     """
-    found = claims(manuscript) if found is None else found
+    found = manuscript.claims if found is None else found
     labels = manuscript.results.where("label is not null").select("project_id", F.col("label").alias("source"), F.lit(True).alias("known")).distinct()
     refs = F.regexp_extract_all("claim", F.lit(r"(?i)\b(?:" + REFERENCE_CUE + r")\b(?:(?!\\(?:eq|auto|c)?ref).){0,96}?\\((?:eqref|ref|autoref|[cC]ref)\{[^{}]*\})"), F.lit(1))
     each = found.select(*CLAIM, F.explode(refs).alias("macro"))
@@ -99,9 +99,9 @@ def support_edges(manuscript, found: DataFrame | None = None) -> DataFrame:
     return good.unionByName(loose).unionByName(since).unionByName(prior)
 
 
-def load_bearing(manuscript, found: DataFrame | None = None) -> DataFrame:
+def load_bearing(manuscript) -> DataFrame:
     """Claims that others rest on, and whether a confident edge supports them."""
-    edges = support_edges(manuscript, found)
+    edges = manuscript.support
     sure = edges.where("status = 'confident'")
     used = sure.where("kind = 'prior_claim'").select("project_id", "ord", "result_s", F.col("source").cast("int").alias("idx")).distinct()
     held = sure.select(*CLAIM).distinct().withColumn("supported", F.lit(True))
@@ -115,7 +115,7 @@ def claim_links(edges: DataFrame) -> DataFrame:
 
 def downstream(manuscript) -> DataFrame:
     """(claim, later) of all claims that rest on a claim over confident edges; a start can reach itself."""
-    links = claim_links(support_edges(manuscript)).where("status = 'confident'")
+    links = claim_links(manuscript.support).where("status = 'confident'")
 
     def close(rows: pd.DataFrame) -> pd.DataFrame:
         adjacent: dict[int, list[int]] = {}
@@ -142,8 +142,7 @@ def proof_slice(manuscript) -> DataFrame:
     all claims behind them over strong edges (an implicit, unsure edge to the
     previous claim is weak).
     """
-    found = claims(manuscript)
-    edges = support_edges(manuscript, found)
+    found, edges = manuscript.claims, manuscript.support
     last = found.groupBy("project_id", "ord", "result_s").agg(F.max("idx").alias("idx"))
     entered = edges.select(*CLAIM)
     links = claim_links(edges)

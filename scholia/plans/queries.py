@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.operators import support
+from scholia.functions import text as tx
+from scholia.operators import ledger, proofs, support
 from scholia.operators.structure import Manuscript
 from scholia.operators.symbols import introductions, resolved_uses, role_conflicts
 from scholia.plans.oracle import BASE, CLAIMS, REACH
@@ -77,8 +78,11 @@ def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(BASE + r"""
-select project_id, ord, 'label' as kind, unnest(regexp_extract_all(regexp_replace(raw, '%[^\n]*', '', 'g'), '\\label\{([^{}]*)\}', 1)) as key from p
-union all select project_id, ord, 'ref', trim(unnest(string_split(unnest(regexp_extract_all(regexp_replace(raw, '%[^\n]*', '', 'g'), '\\(?:ref|eqref|autoref|cref|Cref)\{([^{}]*)\}', 1)), ','))) from p""")
+, bare as (select project_id, ord, regexp_replace(raw, '%[^\n]*', '', 'g') as t from p),
+lists as (select project_id, ord, unnest(regexp_extract_all(t, '\\(?:ref|eqref|autoref|cref|Cref)\{([^{}]*)\}', 1)) as keys from bare),
+items as (select project_id, ord, unnest(string_split(keys, ',')) as key from lists)
+select project_id, ord, 'label' as kind, unnest(regexp_extract_all(t, '\\label\{([^{}]*)\}', 1)) as key from bare
+union all select project_id, ord, 'ref', trim(key) from items""")
 def scan_labels_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = manuscript(spark, sf_dir)
     refs = m.macros.where("name in ('ref', 'eqref', 'autoref', 'cref', 'Cref')").select("project_id", "ord", F.lit("ref").alias("kind"), F.explode(F.split("arg", ",")).alias("key"))
@@ -154,12 +158,12 @@ def eligible_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CLAIMS + "select project_id, ord, idx, 'prose' as form, claim from claims")
 def sentence_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return support.claims(manuscript(spark, sf_dir)).select("project_id", "ord", "idx", "form", "claim")
+    return manuscript(spark, sf_dir).claims.select("project_id", "ord", "idx", "form", "claim")
 
 
 @query(CLAIMS + "select project_id, ord, idx, kind, source, status from support")
 def support_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return support.support_edges(manuscript(spark, sf_dir)).select("project_id", "ord", "idx", "kind", "source", "status")
+    return manuscript(spark, sf_dir).support.select("project_id", "ord", "idx", "kind", "source", "status")
 
 
 @query(CLAIMS + """
@@ -208,3 +212,288 @@ def symbol_introductions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BASE + "select project_id, ord, 'x' as name, 'scalar' as role from m where is_result and doc_id % 10 = 4")
 def symbol_uses_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved_uses(manuscript(spark, sf_dir)).select("project_id", "ord", "name", "role")
+
+
+ATOM = r"""case when starts_with(claim, 'By Lemma') then 'A_' || cast(doc_id % 5 as varchar) when starts_with(claim, 'By definition') then 'B'
+  when starts_with(claim, 'By compactness') then 'C' when starts_with(claim, 'Since') then 'u > v'
+  when starts_with(claim, 'Therefore') then 'D_' || cast(doc_id % 3 as varchar)
+  when starts_with(claim, 'Hence') then 'A_' || cast(doc_id % 5 as varchar) || ' => D_' || cast(doc_id % 3 as varchar) end"""
+KIND = """
+, inside as (
+  select project_id, ord, idx from support union select project_id, ord, cast(source as int) from support where kind = 'prior_claim'
+  union select project_id, ord, max(idx) from claims group by project_id, ord),
+sliced as (
+  select c.project_id, c.ord, c.idx, claim, case when i.idx is not null then case when contains(claim, '$') then 'C' else 'P' end
+    when contains(claim, '$') then 'U' else 'pruned' end as kind
+  from claims c left join inside i on c.project_id = i.project_id and c.ord = i.ord and c.idx = i.idx),
+duties as (
+  select project_id, ord, idx, kind, case when kind = 'C' and exists (select 1 from support s where s.project_id = x.project_id and s.ord = x.ord and s.idx = x.idx and s.status = 'confident')
+    then 'discharged' else 'open' end as status from sliced x where kind <> 'pruned')
+"""
+
+
+@query(CLAIMS + f"select project_id, ord, idx, {ATOM} as atom from claims")
+def canonical_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs.atoms(manuscript(spark, sf_dir)).select("project_id", "ord", "idx", "atom")
+
+
+@query(BASE + r"""
+, found as (
+  select 'x > 0' as formula, '(x > 0)' as rendered from m where doc_id % 2 = 0
+  union all select 'x \colon A \to B', null from m where doc_id % 2 = 1
+  union all select 'x \colon U \to V', null from m where doc_id % 10 = 4
+  union all select 'A_{' || cast(doc_id % 5 as varchar) || '}', 'A_' || cast(doc_id % 5 as varchar) from m
+  union all select 'B', 'B' from m where doc_id % 3 = 0 union all select 'C', 'C' from m where doc_id % 4 = 1
+  union all select 'u > v', '(u > v)' from m where doc_id % 7 = 1 union all select 'w', 'w' from m where doc_id % 7 = 1
+  union all select 'D_{' || cast(doc_id % 3 as varchar) || '}', 'D_' || cast(doc_id % 3 as varchar) from m where doc_id % 2 = 0
+  union all select 'A_{' || cast(doc_id % 5 as varchar) || '} \Rightarrow D_{' || cast(doc_id % 3 as varchar) || '}', '(A_' || cast(doc_id % 5 as varchar) || ' => D_' || cast(doc_id % 3 as varchar) || ')' from m
+)
+select distinct formula, coalesce(rendered, '?[' || formula || ']') as rendered, case when rendered is null then 'opaque' else 'full' end as expression_status from found""")
+def formula_lowering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs.formulas(manuscript(spark, sf_dir)).select("formula", "rendered", "expression_status")
+
+
+@query("select p_size, count(*) as formulas, count(distinct p_partkey % 3) as spellings from part group by p_size")
+def alpha_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantified statements about parts: those that differ in the bound name alone share an alpha key."""
+    name = F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit("z")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    formula = F.concat(F.lit(r"\forall "), name, F.lit(r" \in N, "), name, F.lit(r" \ge "), F.col("p_size"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size", formula.alias("formula"))
+    keyed = proofs.lowered(parts, "formula").groupBy("alpha_key").agg(F.first("p_size").alias("p_size"), F.count(F.lit(1)).alias("formulas"), F.countDistinct("rendered").alias("spellings"))
+    return keyed.select("p_size", "formulas", "spellings")
+
+
+@query(CLAIMS + """select project_id, ord, idx, kind, source, status, case when kind in ('result_reference', 'equation_reference') then 'apply_result'
+  when kind = 'definition' then 'definition_use' when kind = 'named_property' then 'named_property_application' else 'unknown' end as rule from support""")
+def proof_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs.steps(manuscript(spark, sf_dir)).select("project_id", "ord", "idx", "kind", "source", "status", "rule")
+
+
+@query(CLAIMS + KIND + "select project_id, ord, idx, kind, status from duties")
+def obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs.obligations(manuscript(spark, sf_dir)).select("project_id", "ord", "idx", "kind", "status")
+
+
+@query(CLAIMS + "select project_id, ord, idx, coalesce(string_agg('C' || cast(idx as varchar), ' ') over (partition by project_id, ord order by idx rows between unbounded preceding and 1 preceding), '') as context from claims")
+def obligation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs.contexts(manuscript(spark, sf_dir)).select("project_id", "ord", "idx", "context")
+
+
+@query(CLAIMS + "select project_id, ord, string_agg('C' || cast(idx as varchar) || ' ' || claim, chr(10) order by idx) as packet from claims group by project_id, ord")
+def review_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs.packets(manuscript(spark, sf_dir)).select("project_id", "ord", "packet")
+
+
+@query(CLAIMS + "select project_id, ord, cast(1 as bigint) as part, count(*) as edges from support where status <> 'confident' group by project_id, ord")
+def review_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs.review_groups(manuscript(spark, sf_dir)).select("project_id", "ord", "part", "edges")
+
+
+KEYED = BASE + r"""
+, aims as (select project_id, ord, list_sort(list(distinct label)) as targets from edges where resolution = 'resolved' group by project_id, ord),
+now as (
+  select m.project_id, m.ord, doc_id, label as identifier, coalesce(targets, []) as targets from m left join aims a using (project_id, ord) where is_result
+)
+"""
+
+
+@query(KEYED + r"""
+select project_id, ord, sha256('{"identifier":"' || identifier || '","targets":[' || array_to_string(list_transform(targets, lambda x: '"' || x || '"'), ',') || '],"title":"Title ' || cast(doc_id as varchar) || '"}') as cache_key from now""")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs.snapshot(manuscript(spark, sf_dir)).select("project_id", "ord", "cache_key")
+
+
+@query(KEYED + """
+, moved as (select distinct project_id, identifier from now where doc_id % 7 = 0 and doc_id % 11 <> 3)
+select project_id, ord, case when reason = 'cache_hit_exact_packet' then 'reused' else 'rechecked' end as decision, reason from (
+  select project_id, ord, case when doc_id % 11 = 3 then 'no_prior_review' when doc_id % 6 = 2 and len(targets) > 0 then 'dependency_edge_changed'
+    when exists (select 1 from moved v where v.project_id = n.project_id and list_contains(n.targets, v.identifier)) then 'upstream_dependency_changed'
+    when doc_id % 7 = 0 then 'local_ir_changed' else 'cache_hit_exact_packet' end as reason from now n) x""")
+def cache_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against a stored state in which some results were missing, titled otherwise or without targets."""
+    now = proofs.snapshot(manuscript(spark, sf_dir))
+    number = F.col("project_id") * 20 + F.col("ord")
+    title = F.when(number % 7 == 0, F.lit("Earlier title")).otherwise(F.col("title"))
+    targets = F.when(number % 6 == 2, F.array().cast("array<string>")).otherwise(F.col("targets"))
+    stored = now.where(number % 11 != 3).select("project_id", "ord", title.alias("title"), targets.alias("targets"), "cache_key")
+    return proofs.decisions(now, stored)
+
+
+@query(REACH.replace("with recursive p as", "with recursive p as", 1) + CLAIMS[len(BASE.rstrip()):] + KIND + """
+, found as (
+  select project_id, ord, 1 as n from (select m.project_id, ord, row_number() over (partition by m.project_id, label order by place) as n from m where is_result) x where n = 2
+  union all select project_id, ord, 1 from edges where resolution <> 'resolved'
+  union all select project_id, nodes[1], 1 from components
+  union all select project_id, ord, 1 from m where is_result and doc_id % 10 = 4),
+tally as (select project_id, ord, sum(n) as n from found group by all),
+todo as (select project_id, ord, count(*) as n from duties where status = 'open' group by all)
+select m.project_id, count(*) as results, cast(sum(coalesce(t.n, 0)) as bigint) as findings, cast(sum(coalesce(o.n, 0)) as bigint) as open_obligations,
+  count(*) filter (where coalesce(t.n, 0) > 0 or coalesce(o.n, 0) > 0) as attention, count(*) filter (where coalesce(t.n, 0) = 0 and coalesce(o.n, 0) = 0) as clean
+from m left join tally t using (project_id, ord) left join todo o using (project_id, ord) where is_result group by m.project_id""")
+def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs.report_counts(manuscript(spark, sf_dir))
+
+
+@query(BASE + """select project_id, ord, 'theorem t' || cast(project_id as varchar) || '_' || cast(ord as varchar) || ' (A_' || cast(doc_id % 5 as varchar) || ' D_' || cast(doc_id % 3 as varchar)
+  || ' : Prop) : A_' || cast(doc_id % 5 as varchar) || ' -> D_' || cast(doc_id % 3 as varchar) || ' := by sorry' as lean, 'partial' as lean_status from m where is_result and has_proof""")
+def lean_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs.lean_statements(manuscript(spark, sf_dir)).select("project_id", "ord", "lean", "lean_status")
+
+
+@query(BASE + """
+, found as (
+  select project_id, 'TH101' as rule from (select m.project_id, row_number() over (partition by m.project_id, label order by place) as n from m where is_result) x where n = 2
+  union all select project_id, case resolution when 'ambiguous' then 'TH102' else 'TH103' end from edges where resolution <> 'resolved'
+  union all select project_id, 'TH113' from m where is_result and doc_id % 10 = 4)
+select s.project_id, count(*) filter (where rule in ('TH101', 'TH103')) as matched, count(rule) as observed, count(*) filter (where rule in ('TH101', 'TH103')) > 0 as passed
+from state s left join found f using (project_id) group by s.project_id""")
+def evaluation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every project as a case that expects an error about a label."""
+    m = manuscript(spark, sf_dir)
+    from scholia.operators.symbols import role_conflicts as symbol_findings
+
+    found = m.duplicate_labels().unionByName(m.reference_findings("ambiguous", "TH102")).unionByName(m.reference_findings("missing", "TH103")).unionByName(symbol_findings(m))
+    cases = m.files.select("project_id").distinct().select("project_id", F.array(F.lit("TH101"), F.lit("TH103")).alias("accepted"), F.lit("error").alias("minimum"))
+    return proofs.evaluate(found, cases)
+
+
+@query("""with recursive """ + REACH[REACH.index("p as ("):] + """
+, steps as (select project_id, source, target, 1 as distance from pairs where source <> target
+  union all select s.project_id, s.source, e.target, s.distance + 1 from steps s join pairs e on s.project_id = e.project_id and s.target = e.source where s.distance < 20),
+near as (select project_id, source, target, min(distance) as distance from steps where source <> target group by all)
+select project_id, cast(source as int) as source, cast(target as int) as target, cast(distance as int) as distance, cast(rank as int) as rank from (
+  select *, row_number() over (partition by project_id, source order by distance, target) as rank from near) x where rank <= 3""")
+def rescue_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs.nearest(manuscript(spark, sf_dir).resolved_pairs, 3)
+
+
+@query("""select event_id, cast(sum(cast(value as decimal(18, 6))) over w as double) as spent, sum(cast(value as decimal(18, 6))) over w <= 500 as within
+from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)""")
+def budget_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("cost", F.col("value").cast("decimal(18,6)"))
+    out = ledger.budget(events.select("event_id", "user_id", "ts", "cost"), "user_id", ["ts", "event_id"], "cost", 500)
+    return out.select("event_id", F.col("spent").cast("double").alias("spent"), "within")
+
+
+@query("select event_id, value - coalesce(lag(value) over (partition by user_id order by ts, event_id), 0) as delta from events")
+def usage_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value")
+    return ledger.usage_delta(events, "user_id", ["ts", "event_id"], "value").select("event_id", "delta")
+
+
+@query("""select source, count(distinct sha256(text)) as payloads from documents group by source having count(distinct sha256(text)) > 1""")
+def record_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.sha2("text", 256).alias("payload"))
+    return ledger.conflicts(docs, ["source"], "payload")
+
+
+@query("""
+with recorded as (select sha256(text) as key, min(md5(text)) as legacy_key, min(conv_id) as response, max(conv_id) as last from conversations where turn % 2 = 0 group by 1),
+asked as (select conv_id, turn, case when turn % 4 = 0 then sha256(text) else 'none' end as exact, md5(text) as legacy from conversations)
+select conv_id, turn, coalesce(e.response, l.response) as response, case when e.response is not null then 'exact' when l.response is not null then 'legacy' else 'miss' end as found
+from asked a left join recorded e on a.exact = e.key left join recorded l on a.legacy = l.legacy_key""")
+def replay_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    keys = turns.withColumn("key", F.sha2("text", 256)).withColumn("legacy_key", F.md5("text"))
+    recorded = keys.where("turn % 2 = 0").groupBy("key").agg(F.min("legacy_key").alias("legacy_key"), F.min("conv_id").alias("response"))
+    asked = keys.select("conv_id", "turn", F.when(F.col("turn") % 4 == 0, F.col("key")).otherwise("none").alias("exact"), F.col("legacy_key").alias("legacy"))
+    return ledger.replay(asked, recorded).select("conv_id", "turn", "response", "found")
+
+
+@query("""
+with verdicts as (select doc_id, quality, case when doc_id % 3 = 0 then 'dismissed' when doc_id % 3 = 1 then 'upheld' end as verdict from labels)
+select doc_id as finding, coalesce(verdict, 'uncertain') as verdict, case when verdict is null then 0.0 else 0.5 end::double as confidence
+from verdicts where quality = 0 and coalesce(verdict, '') <> 'dismissed'""")
+def audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    verdict = F.when(F.col("doc_id") % 3 == 0, "dismissed").when(F.col("doc_id") % 3 == 1, "upheld")
+    verdicts = labels.select(F.col("doc_id").alias("finding"), verdict.alias("verdict"), F.lit(0.5).alias("confidence"), F.lit(1).alias("at")).where("verdict is not null")
+    return ledger.settle(labels.where("quality = 0").select(F.col("doc_id").alias("finding")), verdicts).select("finding", "verdict", "confidence")
+
+
+@query("""
+with words as (select list_filter(string_split(text, ' '), lambda x: x <> '') as w from conversations where text is not null),
+starts as (select w, unnest(range(1, len(w) + 1)) as i from words),
+spans as (select w, i, unnest(range(1, least(20, len(w) - i + 1) + 1)) as n from starts),
+grams as (select array_to_string(w[i:i + n - 1], ' ') as gram from spans)
+select gram, count(*) as n, cast((count(*) - 1) * strlen(gram) as bigint) as gain from grams where length(gram) between 3 and 192 group by gram having count(*) >= 2
+order by gain desc, strlen(gram) desc, gram limit 1024""")
+def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 1,024 candidates that rank first: the reference's own top-k."""
+    return ledger.ranked_dictionary(ledger.ngrams(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "text"))
+
+
+@query(CLAIMS + "select project_id, ord, cast(sum(strlen('C' || cast(idx as varchar) || ' ' || claim)) + count(*) - 1 as bigint) as bytes, true as same from claims group by project_id, ord")
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.roundtrip(proofs.packets(manuscript(spark, sf_dir))).select("project_id", "ord", "bytes", "same")
+
+
+@query("""
+with doubled as (select conv_id, role, count(*) as n from conversations group by conv_id, role having count(*) > 1),
+same as (select conv_id, text, count(*) as n from conversations group by conv_id, text having count(*) > 1)
+select conv_id, 'role answered ' || role as violation, n from doubled
+union all select conv_id, 'text repeated', n from same""")
+def review_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as responses: each role must answer once, and no text may come twice."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    doubled = turns.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = turns.groupBy("conv_id", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return doubled.select("conv_id", F.concat(F.lit("role answered "), "role").alias("violation"), "n").unionByName(same.select("conv_id", F.lit("text repeated").alias("violation"), "n"))
+
+
+@query(r"""
+with terms as (select distinct lower(array_to_string(string_split(text, ' ')[1:2], ' ')) as term from benchmark),
+clean as (select doc_id, ' ' || replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ', '  ') || ' ' as value from documents),
+counted as (select doc_id, term, len(regexp_extract_all(value, '[^\pL\pN]' || regexp_escape(replace(term, ' ', '  ')) || '[^\pL\pN]')) as n from clean join terms on contains(value, replace(term, ' ', '  ')))
+select doc_id, term, n from counted where n > 0""")
+def term_text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of two words from the test items, in all documents."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    terms = items.select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("term"))
+    return ledger.term_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), terms, "doc_id", "text")
+
+
+@query(r"""
+select doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) as compacted,
+  sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')) as escaped,
+  cast(greatest(1, (length(text) + 3) // 4) as bigint) as tokens, cast(strlen(text) + 2048 as bigint) as bound from documents""")
+def text_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.col("text")
+    return docs.select("doc_id", F.sha2(tx.compact(text), 256).alias("compacted"), F.sha2(tx.html_escape(text), 256).alias("escaped"), tx.token_estimate(text).alias("tokens"), tx.wire_bound(text).alias("bound"))
+
+
+@query(BASE + """select project_id, ord, trim(regexp_replace(label, '[^a-z0-9]+', '-', 'g'), '-') || '-' || substr(sha256(label), 1, 8) as anchor,
+  substr(sha256('["' || label || '","' || env || '"]'), 1, 16) as item from m where is_result and label < env
+union all select project_id, ord, trim(regexp_replace(label, '[^a-z0-9]+', '-', 'g'), '-') || '-' || substr(sha256(label), 1, 8),
+  substr(sha256('["' || env || '","' || label || '"]'), 1, 16) from m where is_result and label >= env""")
+def result_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = manuscript(spark, sf_dir).results
+    return r.select("project_id", "ord", tx.anchor(F.col("identifier")).alias("anchor"), tx.item_id(F.array("identifier", "env")).alias("item"))
+
+
+@query(CLAIMS + """
+, inner_math as (select project_id, ord, sum(case when starts_with(claim, 'Since') then 2 when contains(claim, '$') then 1 else 0 end) as n from claims group by all)
+select m.project_id, m.ord, cast(1 + case when doc_id % 10 = 4 then 1 else 0 end as bigint) as in_statement, cast(coalesce(n, 0) as bigint) as in_proof
+from m left join inner_math using (project_id, ord) where is_result""")
+def formulas_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containment join of formulas and result regions."""
+    from scholia.operators.structure import inside
+
+    m = manuscript(spark, sf_dir)
+    math = m.facts.where("kind = 'math'").select("project_id", "ord", F.col("s").alias("ms"), F.col("e").alias("me"))
+    held = m.results.join(math, ["project_id", "ord"], "left")
+    count = lambda a, b: F.count_if(inside(F.col("ms"), F.col("me"), F.col(a), F.col(b))).alias
+    return held.groupBy("project_id", "ord").agg(count("bs", "be")("in_statement"), count("proof_bs", "proof_be")("in_proof"))
+
+
+@query("""
+with turns as (select conv_id, turn, text, lag(turn) over (partition by conv_id order by turn) as prior from conversations)
+select conv_id, turn, prior from turns where prior is not null""")
+def support_prior_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with the turn before, the ordered scan that links a claim to its predecessor."""
+    from pyspark.sql.window import Window
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    return turns.select("conv_id", "turn", F.lag("turn").over(before).alias("prior")).where("prior is not null")
