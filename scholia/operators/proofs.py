@@ -116,20 +116,22 @@ def decisions(now: DataFrame, stored: DataFrame) -> DataFrame:
     order of reasons is: no prior review, changed edges, changed targets, changed
     own content.
     """
-    old = stored.select("project_id", "ord", F.col("title").alias("old_title"), F.col("targets").alias("old_targets"), F.col("cache_key").alias("old_key"))
-    held = now.join(old, ["project_id", "ord"], "left")
-    changed = held.where(F.col("old_key").isNotNull() & (F.col("old_title") != F.col("title"))).select("project_id", F.col("identifier").alias("target")).distinct()
-    links = held.select("project_id", "ord", F.explode("targets").alias("target")).join(changed, ["project_id", "target"], "left_semi")
-    upstream = links.select("project_id", "ord", F.lit(True).alias("upstream")).distinct()
+    result = ["project_id", "ord", "identifier"]
+    old = stored.select(*result, F.col("title").alias("old_title"), F.col("targets").alias("old_targets"), F.col("cache_key").alias("old_key"))
+    held = now.join(old, result, "left")
+    retitled = ~F.col("old_title").eqNullSafe(F.col("title"))
+    changed = held.where(F.col("old_key").isNotNull() & retitled).select("project_id", F.col("identifier").alias("target")).distinct()
+    links = held.select(*result, F.explode("targets").alias("target")).join(changed, ["project_id", "target"], "left_semi")
+    upstream = links.select(*result, F.lit(True).alias("upstream")).distinct()
     reason = (
         F.when(F.col("old_key").isNull(), "no_prior_review")
         .when(F.col("old_targets") != F.col("targets"), "dependency_edge_changed")
         .when(F.col("upstream"), "upstream_dependency_changed")
-        .when(F.col("old_title") != F.col("title"), "local_ir_changed")
+        .when(retitled, "local_ir_changed")
         .otherwise("cache_hit_exact_packet")
     )
-    out = held.join(upstream, ["project_id", "ord"], "left").withColumn("reason", reason)
-    return out.select("project_id", "ord", F.when(F.col("reason").startswith("cache_hit"), "reused").otherwise("rechecked").alias("decision"), "reason")
+    out = held.join(upstream, result, "left").withColumn("reason", reason)
+    return out.select(*result, F.when(F.col("reason").startswith("cache_hit"), "reused").otherwise("rechecked").alias("decision"), "reason")
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:

@@ -315,8 +315,8 @@ def cache_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("project_id") * 20 + F.col("ord")
     title = F.when(number % 7 == 0, F.lit("Earlier title")).otherwise(F.col("title"))
     targets = F.when(number % 6 == 2, F.array().cast("array<string>")).otherwise(F.col("targets"))
-    stored = now.where(number % 11 != 3).select("project_id", "ord", title.alias("title"), targets.alias("targets"), "cache_key")
-    return proofs.decisions(now, stored)
+    stored = now.where(number % 11 != 3).select("project_id", "ord", "identifier", title.alias("title"), targets.alias("targets"), "cache_key")
+    return proofs.decisions(now, stored).select("project_id", "ord", "decision", "reason")
 
 
 @query(REACH.replace("with recursive p as", "with recursive p as", 1) + CLAIMS[len(BASE.rstrip()):] + KIND + """
