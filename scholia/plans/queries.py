@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions import text as tx
-from scholia.operators import ledger, proofs, support
+from scholia.operators import control, ledger, proofs, support
 from scholia.operators.structure import Manuscript
 from scholia.operators.symbols import introductions, resolved_uses, role_conflicts
 from scholia.plans.oracle import BASE, CLAIMS, REACH
@@ -497,3 +497,103 @@ def support_prior_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     before = Window.partitionBy("conv_id").orderBy("turn")
     return turns.select("conv_id", "turn", F.lag("turn").over(before).alias("prior")).where("prior is not null")
+
+
+@query("""
+with parts as (select l_orderkey, count(distinct l_linenumber) as disjuncts, count(distinct case when l_returnflag <> 'R' then l_linenumber end) as covered from lineitem group by l_orderkey)
+select l_orderkey as scope, cast(disjuncts as int) as disjuncts, cast(covered as int) as covered, case when covered = disjuncts then 'confident' else 'unresolved' end as support_status
+from parts where disjuncts > 1""")
+def case_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as scopes: one of its lines holds, and lines that weren't returned give the conclusion."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag").distinct()
+    name = F.concat(F.lit("A_{"), F.col("l_linenumber"), F.lit("}"))
+    either = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(name)), r" \lor ").alias("formula"))
+    rules = lines.where("l_returnflag <> 'R'").select("l_orderkey", F.concat(name, F.lit(r" \Rightarrow C")).alias("formula"))
+    return control.case_splits(either.unionByName(rules).withColumnRenamed("l_orderkey", "scope"))
+
+
+@query("""
+select c_nationkey as scope, 'P' as predicate, case when bool_or(c_custkey % 3 = 0) and bool_or(c_custkey % 3 = 1 and c_custkey % 2 = 0) then 'confident' else 'unresolved' end as support_status
+from customer where c_custkey % 3 = 0 or (c_custkey % 3 = 1 and c_custkey % 2 = 0) group by c_nationkey""")
+def inductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("scope"), "c_custkey")
+    formula = F.when(F.col("c_custkey") % 3 == 0, "P(0)").when(F.col("c_custkey") % 3 == 1, F.when(F.col("c_custkey") % 2 == 0, r"P(n) \Rightarrow P(n + 1)").otherwise(r"P(n) \Rightarrow P(n + 2)"))
+    return control.inductions(customers.withColumn("formula", formula))
+
+
+@query("""
+select distinct a.o_custkey as scope, '["id","Q_' || cast(a.o_orderkey % 5 as varchar) || '"]' as proposition
+from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey % 5 = b.o_orderkey % 5 where a.o_orderkey % 2 = 0 and b.o_orderkey % 2 = 1""")
+def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("scope"), "o_orderkey")
+    name = F.concat(F.lit("Q_{"), F.col("o_orderkey") % 5, F.lit("}"))
+    return control.contradictions(orders.withColumn("formula", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(r"\neg "), name)).otherwise(name)))
+
+
+@query("select s_suppkey, case when s_suppkey % 3 <> 0 then 'x = ' || cast(s_nationkey as varchar) end as bindings from supplier")
+def result_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result about any x against statements about two nations, which it fits if they are the same."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    other = F.col("s_nationkey") + F.when(F.col("s_suppkey") % 3 == 0, 1).otherwise(0)
+    target = F.concat(F.lit("P("), F.col("s_nationkey"), F.lit(r") \Rightarrow Q("), other, F.lit(")"))
+    pairs = s.select("s_suppkey", F.lit(r"P(x) \Rightarrow Q(x)").alias("template"), target.alias("target"))
+    return control.applications(pairs, ["x"]).select("s_suppkey", "bindings")
+
+
+@query("select c_custkey, cast(case c_custkey % 4 when 0 then null when 1 then 1 when 2 then 2 else null end as int) as sites from customer")
+def rewrite_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equations before and after a replaced name: once, twice, not at all, or beside another change."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    kind = F.col("c_custkey") % 4
+    after = F.when(kind == 0, "a + b = a").when(kind == 1, "d + b = a").when(kind == 2, "d + b = d").otherwise("d + e = a")
+    pairs = c.select("c_custkey", F.lit("a + b = a").alias("before"), after.alias("after"), F.lit("a").alias("old"), F.lit("d").alias("new"))
+    return control.rewrites(pairs).select("c_custkey", "sites")
+
+
+@query(BASE + """
+, names as (
+  select project_id, ord, doc_id, 'x' as name from m where is_result
+  union select project_id, ord, doc_id, unnest(['A', 'B']) from m where is_result and doc_id % 2 = 1
+  union select project_id, ord, doc_id, unnest(['U', 'V']) from m where is_result and doc_id % 10 = 4
+  union select project_id, ord, doc_id, unnest(['A_' || cast(doc_id % 5 as varchar), 'D_' || cast(doc_id % 3 as varchar)]) from m where is_result and has_proof
+  union select project_id, ord, doc_id, 'B' from m where is_result and has_proof and doc_id % 3 = 0
+  union select project_id, ord, doc_id, 'C' from m where is_result and has_proof and doc_id % 4 = 1
+  union select project_id, ord, doc_id, unnest(['u', 'v', 'w']) from m where is_result and has_proof and doc_id % 7 = 1)
+select distinct project_id, ord, name, case when name <> 'x' then 'unresolved' when doc_id % 10 = 4 then 'ambiguous' else 'resolved' end as resolution from names""")
+def name_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.name_references(manuscript(spark, sf_dir))
+
+
+@query("""
+with recursive spans as (
+  select l_orderkey as k, l_linenumber * 5 as s, l_linenumber * 5 + cast(l_quantity as int) as e,
+    row_number() over (partition by l_orderkey order by l_linenumber * 5, -(l_linenumber * 5 + cast(l_quantity as int))) as n from lineitem
+), fold as (
+  select k, n, s, e, e as last, true as kept from spans where n = 1
+  union all select p.k, p.n, p.s, p.e, case when p.s >= f.last then p.e else f.last end, p.s >= f.last from fold f join spans p on p.k = f.k and p.n = f.n + 1
+)
+select k as l_orderkey, cast(s as bigint) as s, cast(e as bigint) as e from fold where kept""")
+def greedy_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-overlapping choice among the lines of an order, each a span of its quantity."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    s = F.col("l_linenumber") * 5
+    return control.greedy_spans(lines.select("l_orderkey", s.cast("long").alias("s"), (s + F.col("l_quantity").cast("int")).cast("long").alias("e")), "l_orderkey")
+
+
+@query(BASE + "select distinct project_id, ord, label from refs r where not exists (select 1 from owners o where o.project_id = r.project_id and o.label = r.label) union select project_id, ord, 'eq:' || cast(doc_id as varchar) from m where is_result and has_proof and doc_id % 5 = 2")
+def closed_world_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested labels that no result of the project offers."""
+    m = manuscript(spark, sf_dir)
+    offered = m.results.select("project_id", "label").where("label is not null").distinct()
+    return m.references.select("project_id", "ord", "label").distinct().join(offered, ["project_id", "label"], "left_anti").select("project_id", "ord", "label")
+
+
+@query("""
+select coalesce(d.doc_id, l.doc_id) as doc_id, case when l.doc_id is null then 'not expected' else 'not observed' end as difference
+from (select distinct doc_id from documents) d full join (select distinct doc_id from labels) l on d.doc_id = l.doc_id where d.doc_id is null or l.doc_id is null""")
+def expectation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names on one side only, of observed (documents) and expected (labels)."""
+    seen = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").distinct()
+    wanted = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct()
+    extra = seen.exceptAll(wanted).withColumn("difference", F.lit("not expected"))
+    return extra.unionByName(wanted.exceptAll(seen).withColumn("difference", F.lit("not observed")))
