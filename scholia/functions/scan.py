@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 #: Required arguments that the scanner reads after a macro's optional one.
 ARITY = {"begin": 1, "end": 1, "label": 1, "ref": 1, "eqref": 1, "autoref": 1, "cref": 1, "Cref": 1, "input": 1, "include": 1, "newtheorem": 2, "documentclass": 1, "usepackage": 1, "cite": 1, "newcommand": 2, "caption": 1, "section": 1}
 LITERAL = ("verbatim", "lstlisting", "minted", "comment")
-SCHEMA = "project_id long, ord int, kind string, name string, arg string, option string, s int, e int, bs int, be int, sl int, el int, text string"
+SCHEMA = "project_id long, ord int, kind string, name string, arg string, option string, s int, e int, bs int, be int, sl int, el int, text string, before string, behind string"
+#: Characters of context that a formula carries on its left and right.
+BEFORE, BEHIND = 80, 24
 
 _MARK = re.compile(r"\\(?:([A-Za-z]+)(\*?)|(.))|%[^\n]*|\$\$?", re.DOTALL)
 _SPACE = re.compile(r"[ \t]*")
@@ -43,7 +45,10 @@ def group(text: str, at: int, opening: str = "{", closing: str = "}") -> tuple[s
 
 
 def scan(text: str) -> list[tuple]:
-    """Facts (kind, name, arg, option, s, e, body s, body e, first line, last line, text) in source order."""
+    """Facts (kind, name, arg, option, s, e, body s, body e, first line, last line, text, context) in source order.
+
+    The context, for formulas alone, is the text shortly before and behind.
+    """
     lines = [i for i, c in enumerate(text) if c == "\n"]
 
     def line(at: int) -> int:
@@ -52,7 +57,8 @@ def scan(text: str) -> list[tuple]:
     facts: list[tuple] = []
 
     def add(kind, name, arg, option, s, e, bs=None, be=None, body=None) -> None:
-        facts.append((kind, name, arg, option, s, e, bs, be, line(s), line(max(s, e - 1)), body))
+        context = (text[max(0, s - BEFORE) : s], text[e : e + BEHIND]) if kind == "math" else (None, None)
+        facts.append((kind, name, arg, option, s, e, bs, be, line(s), line(max(s, e - 1)), body, *context))
 
     stack: list[tuple] = []
     math: tuple[str, int, int] | None = None
@@ -129,7 +135,7 @@ def scan_manuscripts(manuscripts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.int32(), *[pa.string()] * 4, *[pa.int32()] * 6, pa.string()]
+        kinds = [pa.int64(), pa.int32(), *[pa.string()] * 4, *[pa.int32()] * 6, *[pa.string()] * 3]
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Context read to the left and right of a formula, in characters.
-LEFT, RIGHT = 80, 24
 FILE = ["project_id", "ord"]
 
 
@@ -24,14 +22,10 @@ def role_family(role: Column) -> Column:
 def introductions(manuscript) -> DataFrame:
     """Symbols introduced by ``let .. be`` beside inline math inside a result, with their role."""
     m = manuscript
-    math = m.facts.where("kind = 'math'").select(*FILE, "s", "e", F.col("text").alias("formula"))
+    math = m.facts.where("kind = 'math'").select(*FILE, "s", "e", F.col("text").alias("formula"), "before", "behind")
     results = m.results.select(*FILE, F.col("s").alias("result_s"), "bs", "be")
-    raw = m.files.select(*FILE, "raw")
-    found = math.join(results, FILE).where("bs <= s and e <= be").join(raw, FILE)
-    left = F.substr("raw", F.greatest(F.col("s") - LEFT + 1, F.lit(1)), F.least(F.col("s"), F.lit(LEFT)))
-    right = F.substr("raw", F.col("e") + 1, F.lit(RIGHT))
-    found = found.withColumn("left", left).withColumn("right", right)
-    found = found.where(F.col("left").rlike(r"(?i)\blet\s*$") & F.col("right").rlike(r"(?i)^\s*be\b"))
+    found = math.join(results, FILE).where("bs <= s and e <= be")
+    found = found.where(F.col("before").rlike(r"(?i)\blet\s*$") & F.col("behind").rlike(r"(?i)^\s*be\b"))
     name = F.regexp_extract("formula", r"^\s*([A-Za-z]+(?:_\{?[A-Za-z0-9]+\}?)?)", 1)
     role = F.when(F.col("formula").rlike(r"\\colon.*\\to"), "map").when(F.col("formula").rlike(r"[<>]|\\ge|\\le"), "scalar").otherwise("unknown")
     return found.select(*FILE, "result_s", "s", canonical_name(name).alias("name"), role.alias("role"), "formula").where("name <> ''")
