@@ -27,6 +27,8 @@ UNKNOWN = "und"
 SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 150, 8_000, 32
 TABLE_BITS, NGRAMS, AFFIXES = 16, (2, 3), (2, 3)
 EPOCHS, RATE = 3, 0.3
+#: Text bytes whose n-gram sums a task holds at a time.
+TEXT_BYTES = 1 << 20
 #: Words of a training piece, and of a block in forward-backward.
 PIECE, BLOCK = 48, 128
 
@@ -269,7 +271,7 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> Dat
     docs = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, TEXT_BYTES):
             names, score = model.predict(batch.column(text)) if model else ([UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
