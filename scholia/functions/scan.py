@@ -21,6 +21,7 @@ SCHEMA = "project_id long, ord int, kind string, name string, arg string, option
 BEFORE, BEHIND = 80, 24
 
 _MARK = re.compile(r"\\(?:([A-Za-z]+)(\*?)|(.))|%[^\n]*|\$\$?", re.DOTALL)
+_FEED = re.compile("\n")
 _SPACE = re.compile(r"[ \t]*")
 
 
@@ -49,7 +50,7 @@ def scan(text: str) -> list[tuple]:
 
     The context, for formulas alone, is the text shortly before and behind.
     """
-    lines = [i for i, c in enumerate(text) if c == "\n"]
+    lines = [m.start() for m in _FEED.finditer(text)]
 
     def line(at: int) -> int:
         return bisect_right(lines, at - 1) + 1
