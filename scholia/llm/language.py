@@ -257,7 +257,8 @@ def learn(labelled: DataFrame, *, per_language: int = SAMPLE_DOCS, longest: int
         return None
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
     chosen = fit.where(F.col("lang").isin(langs)).select("key", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    rows = fit.join(chosen.select("key").distinct(), "key", "left_semi").select("text", "lang").limit(2 * per_language * len(langs)).collect()
+    # at most per_language * LANGUAGES keys
+    rows = fit.join(F.broadcast(chosen.select("key").distinct()), "key", "left_semi").select("text", "lang").limit(2 * per_language * len(langs)).collect()
     return train([(r["text"], r["lang"]) for r in rows])
 
 
