@@ -7,7 +7,7 @@ this is a small machine and no SQL expression; it runs over Arrow batches.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 #: Required arguments that the scanner reads after a macro's optional one.
 ARITY = {"begin": 1, "end": 1, "label": 1, "ref": 1, "eqref": 1, "autoref": 1, "cref": 1, "Cref": 1, "input": 1, "include": 1, "newtheorem": 2, "documentclass": 1, "usepackage": 1, "cite": 1, "newcommand": 2, "caption": 1, "section": 1}
 LITERAL = ("verbatim", "lstlisting", "minted", "comment")
-SCHEMA = "project_id long, ord int, kind string, name string, arg string, option string, s int, e int, bs int, be int, sl int, el int, text string, before string, behind string"
+SCHEMA = "project_id long, ord int, kind string, name string, arg string, option string, s int, e int, bs int, be int, sl int, el int, text string, before string, behind string, label string, proof_s int, proof_line int, proof_bs int, proof_be int, proof string"
+#: Fixed value: the longest gap between an environment and its proof in lines.
+PROOF_GAP = 40
 #: Characters of context that a formula carries on its left and right.
 BEFORE, BEHIND = 80, 24
 
@@ -131,16 +133,38 @@ def scan(text: str) -> list[tuple]:
     return sorted(facts, key=lambda f: (f[4], -f[5]))
 
 
+def attached(facts: list[tuple]) -> Iterator[tuple]:
+    """For each fact, in order: the first label in an environment's body, and start, line, body span and body of the first proof behind it.
+
+    A file is scanned as a whole, so both are found here and need no join. The
+    proof is null if it starts more than ``PROOF_GAP`` lines after the environment.
+    """
+    labels = [(f[4], f[5], f[2]) for f in facts if f[0] == "macro" and f[1] == "label" and f[2] is not None]
+    proofs = [(f[4], f[8], f[6], f[7], f[10]) for f in facts if f[0] == "env" and f[1] == "proof"]
+    label_starts, proof_starts = [x[0] for x in labels], [x[0] for x in proofs]
+    for f in facts:
+        label, proof = None, (None,) * 5
+        if f[0] == "env":
+            if (i := bisect_left(label_starts, f[6])) < len(labels) and labels[i][1] <= f[7]:
+                label = labels[i][2]
+            if (i := bisect_left(proof_starts, f[5])) < len(proofs) and proofs[i][1] - f[9] <= PROOF_GAP:
+                proof = proofs[i]
+        yield label, *proof
+
+
 def scan_manuscripts(manuscripts: DataFrame) -> DataFrame:
-    """One row for each fact; environments and math carry their body's text. Null raw has no facts."""
+    """One row for each fact; environments and math carry their body's text, environments their label and proof. Null raw has no facts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.int32(), *[pa.string()] * 4, *[pa.int32()] * 6, *[pa.string()] * 3]
+        kinds = [pa.int64(), pa.int32(), *[pa.string()] * 4, *[pa.int32()] * 6, *[pa.string()] * 4, *[pa.int32()] * 4, pa.string()]
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                rows = [(p, o, *f) for p, o, raw in zip(*(part.column(c).to_pylist() for c in ("project_id", "ord", "raw"))) for f in scan(raw or "")]
+                rows = []
+                for p, o, raw in zip(*(part.column(c).to_pylist() for c in ("project_id", "ord", "raw"))):
+                    facts = scan(raw or "")
+                    rows += [(p, o, *f, *more) for f, more in zip(facts, attached(facts))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 

@@ -14,10 +14,9 @@ from scholia.functions.scan import scan_manuscripts
 from scholia.operators.support import claims, support_edges
 from scholia.plans.fixpoint import cyclic_components, reachable_pairs
 
-#: Result environments, reference macros, the longest gap to a proof in lines.
+#: Result environments and reference macros.
 RESULT_ENVIRONMENTS = ("theorem", "lemma", "proposition", "corollary", "claim")
 REFERENCES = ("ref", "eqref", "autoref", "cref", "Cref")
-PROOF_GAP = 40
 FILE = ["project_id", "ord"]
 
 
@@ -67,16 +66,11 @@ class Manuscript:
         known = self.environments.join(self.declared, ["project_id", "name"], "left")
         known = known.where(F.col("name").isin(*RESULT_ENVIRONMENTS) | F.col("own"))
         after = Window.partitionBy(*FILE).orderBy("s")
-        known = known.select(*FILE, F.col("name").alias("env"), F.col("option").alias("title"), "s", "e", "bs", "be", "sl", "el", F.col("text").alias("statement"), F.lead("s").over(after).alias("next_s"))
-        first = known.join(self.labels, FILE).where(inside(F.col("label_s"), F.col("label_e"), F.col("bs"), F.col("be")))
-        first = first.groupBy(*FILE, "s").agg(F.min_by("label", "label_s").alias("label"))
-        proofs = self.environments.where("name = 'proof'").select(*FILE, F.col("s").alias("proof_s"), F.col("sl").alias("proof_line"), F.col("bs").alias("proof_bs"), F.col("be").alias("proof_be"), F.col("text").alias("proof"))
-        behind = known.select(*FILE, "s", "e", "el", "next_s").join(proofs, FILE)
-        behind = behind.where("proof_s >= e and (next_s is null or proof_s < next_s)")
-        taken = behind.groupBy(*FILE, "s").agg(F.min_by(F.struct("proof_line", "el", "proof_bs", "proof_be", "proof"), "proof_s").alias("p"))
-        taken = taken.where(F.col("p.proof_line") - F.col("p.el") <= PROOF_GAP).select(*FILE, "s", "p.proof_line", "p.proof_bs", "p.proof_be", "p.proof")
+        known = known.select(*FILE, F.col("name").alias("env"), F.col("option").alias("title"), "s", "e", "bs", "be", "sl", "el", F.col("text").alias("statement"), "label", "proof_s", "proof_line", "proof_bs", "proof_be", "proof", F.lead("s").over(after).alias("next_s"))
+        nearest = F.col("next_s").isNull() | (F.col("proof_s") < F.col("next_s"))
+        known = known.withColumns({c: F.when(nearest, F.col(c)) for c in ("proof_line", "proof_bs", "proof_be", "proof")}).drop("proof_s")
         place = F.concat_ws(":", F.concat(F.lit("s"), F.col("ord")), F.col("sl"), F.col("env"))
-        return known.join(first, [*FILE, "s"], "left").join(taken, [*FILE, "s"], "left").withColumn("identifier", F.coalesce("label", place))
+        return known.withColumn("identifier", F.coalesce("label", place))
 
     # the include workspace
 
@@ -162,9 +156,8 @@ class Manuscript:
         A reference to a label that is known but marks no result gives no edge.
         """
         owners = self.results.where("label is not null").groupBy("project_id", "label").agg(F.count(F.lit(1)).alias("owners"), F.min_by(F.struct("ord", "s"), F.struct("ord", "s")).alias("target"))
-        facts = self.labels.join(self.order, FILE).groupBy("project_id", "label").agg(F.sum("occurrences").alias("known"))
-        ever = self.labels.select("project_id", "label", F.lit(True).alias("ever")).distinct()
-        found = self.references.join(owners, ["project_id", "label"], "left").join(facts, ["project_id", "label"], "left").join(ever, ["project_id", "label"], "left").join(self.status, "project_id", "left")
+        facts = self.labels.join(self.order, FILE, "left").groupBy("project_id", "label").agg(F.sum("occurrences").alias("known")).withColumn("ever", F.lit(True))
+        found = self.references.join(owners, ["project_id", "label"], "left").join(facts, ["project_id", "label"], "left").join(self.status, "project_id", "left")
         sure = (F.col("owners") == 1) & (F.col("known") == 1) & (F.col("workspace") == "resolved")
         outcome = F.when(F.col("owners").isNull(), F.when(F.col("ever"), None).otherwise("missing")).when(sure, "resolved").otherwise("ambiguous")
         found = found.withColumn("resolution", outcome).where("resolution is not null")

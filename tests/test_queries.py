@@ -1,10 +1,12 @@
 """Every registered query with SQL gives the rows that DuckDB computes."""
 
+import functools
 import os
 
 import duckdb
 import pytest
 
+from scholia.plans import queries
 from scholia.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -18,6 +20,16 @@ def db():
     return found
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_scan(spark):
+    """All queries of the module read one kept scan."""
+    held = queries.manuscript
+    queries.manuscript = functools.cache(held)
+    yield
+    queries.manuscript = held
+    spark.catalog.clearCache()
+
+
 def rows(columns, held):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted(tuple(str(round(r[i], 6)) if isinstance(r[i], float) else str(r[i]) for i in order) for r in held)
@@ -29,4 +41,3 @@ def test_query(spark, db, name):
     expected = db.sql(SQL[name])
     assert sorted(found.columns) == sorted(expected.columns)
     assert rows(found.columns, found.collect()) == rows(expected.columns, expected.fetchall())
-    spark.catalog.clearCache()
