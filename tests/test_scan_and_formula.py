@@ -3,7 +3,7 @@
 import pytest
 
 from scholia.functions import formula as fx
-from scholia.functions.scan import group, scan
+from scholia.functions.scan import attached, group, scan
 from scholia.operators import ledger
 from scholia.operators.structure import Manuscript, merge_intervals
 from scholia.operators.support import sentences, split_claims
@@ -144,3 +144,25 @@ def test_repeated_file_is_two_occurrences(spark):
 def test_empty_manuscripts(spark):
     m = project(spark, [("main", "")])
     assert m.findings().count() == 0 and m.claims.count() == 0 and m.prose().count() == 0
+
+
+def test_labels_and_proofs_of_environments():
+    def found(text):
+        return [(f[1], *more) for f, more in zip(scan(text), attached(scan(text))) if f[0] == "env"]
+
+    proof = "\\begin{proof}P\\end{proof}"
+    near = found("\\label{out}\\begin{lemma}\\label{a}x\\label{b}\\end{lemma}\n" + proof)
+    assert [(r[0], r[1], r[3], r[6]) for r in near] == [("lemma", "a", 2, "P"), ("proof", None, None, None)]
+    assert found("\\begin{lemma}x\\end{lemma}\\label{a}") == [("lemma", None, None, None, None, None, None)]
+    edge = "\\begin{lemma}x\\end{lemma}" + "\n" * 40 + proof
+    assert found(edge)[0][6] == "P" and found(edge.replace("\n", "\n\n", 1))[0][6] is None
+    nested = found("\\begin{lemma}" + proof + "\\end{lemma}")
+    assert nested[0][:1] == ("lemma",) and nested[0][6] is None
+    assert list(attached([])) == []
+
+
+def test_a_proof_belongs_to_the_last_result_before_it(spark):
+    raw = "\\begin{lemma}x\\end{lemma}\n\\begin{claim}y\\end{claim}\n\\begin{proof}P\\end{proof}\n\\begin{proof}Q\\end{proof}"
+    files = spark.createDataFrame([(1, 0, "main", raw), (2, 0, "main", None), (3, 0, "main", "")], "project_id long, ord int, file string, raw string")
+    rows = Manuscript(files).results.orderBy("s").collect()
+    assert [(r.env, r.label, r.identifier, r.proof) for r in rows] == [("lemma", None, "s0:1:lemma", None), ("claim", None, "s0:2:claim", "P")]
