@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Required arguments that the scanner reads after a macro's optional one.
-ARITY = {"begin": 1, "end": 1, "label": 1, "ref": 1, "eqref": 1, "autoref": 1, "cref": 1, "Cref": 1, "input": 1, "include": 1, "newtheorem": 2, "documentclass": 1, "usepackage": 1, "cite": 1, "newcommand": 2, "caption": 1, "section": 1}
+ARITY = {"begin": 1, "end": 1, "label": 1, "ref": 1, "eqref": 1, "autoref": 1, "cref": 1, "Cref": 1, "input": 1, "include": 1, "newtheorem": 2, "documentclass": 1, "usepackage": 1, "cite": 1, "newcommand": 2, "renewcommand": 2, "providecommand": 2, "caption": 1, "section": 1}
+#: Macros that define macros; their replacement is the fact's text.
+COMMANDS = ("newcommand", "renewcommand", "providecommand")
 LITERAL = ("verbatim", "lstlisting", "minted", "comment")
 SCHEMA = "project_id long, ord int, kind string, name string, arg string, option string, s int, e int, bs int, be int, sl int, el int, text string, before string, behind string, label string, proof_s int, proof_line int, proof_bs int, proof_be int, proof string"
 #: Fixed value: the longest gap between an environment and its proof in lines.
@@ -25,6 +27,7 @@ BEFORE, BEHIND = 80, 24
 _MARK = re.compile(r"\\(?:([A-Za-z]+)(\*?)|(.))|%[^\n]*|\$\$?", re.DOTALL)
 _FEED = re.compile("\n")
 _SPACE = re.compile(r"[ \t]*")
+_COMMAND = re.compile(r"[ \t]*(\\[A-Za-z@]+)")
 
 
 def group(text: str, at: int, opening: str = "{", closing: str = "}") -> tuple[str, int] | None:
@@ -97,7 +100,11 @@ def scan(text: str) -> list[tuple]:
                 place = _SPACE.match(text, end).end()
                 if name != "begin" and name != "end" and (got := group(text, place, "[", "]")):
                     option, end = got
-                for _ in range(ARITY[name]):
+                if name in COMMANDS and option is None and (own := _COMMAND.match(text, end)):  # an unbraced name
+                    args, end = [own[1]], own.end()
+                for _ in range(ARITY[name] - len(args)):
+                    if args and name in COMMANDS and (got := group(text, _SPACE.match(text, end).end(), "[", "]")):
+                        option, end = got
                     if not (got := group(text, _SPACE.match(text, end).end())):
                         break
                     args.append(got[0])
@@ -106,7 +113,7 @@ def scan(text: str) -> list[tuple]:
                     option, end = got
                 at = end
             arg = args[0].strip() if args else None
-            add("macro", name, arg, option, s, end)
+            add("macro", name, arg, option, s, end, body=args[1] if name in COMMANDS and len(args) > 1 else None)
             if name == "begin" and arg:
                 if arg in LITERAL:
                     close = text.find("\\end{" + arg + "}", end)

@@ -132,15 +132,19 @@ def rewrites(pairs: DataFrame) -> DataFrame:
 
 def name_references(manuscript) -> DataFrame:
     """Every name in a result's formulas: resolved by one introduction, ambiguous by several, else unresolved."""
-    from scholia.operators.symbols import canonical_name, introductions
+    from scholia.operators.symbols import canonical_name, introductions, mentions
 
     m = manuscript
     math = m.facts.where("kind = 'math'").select("project_id", "ord", "s", F.col("text").alias("formula"))
-    names = F.regexp_extract_all("formula", F.lit(r"(?<![\\A-Za-z])[A-Za-z](?:_\{[A-Za-z0-9]+\})?(?![A-Za-z])"), F.lit(0))
+    names = F.regexp_extract_all("formula", F.lit(r"(?<![\\A-Za-z])[A-Za-z](?:_(?:\{[A-Za-z0-9]+\}|[A-Za-z0-9]+))?(?![A-Za-z])"), F.lit(0))
     places = m.results.select("project_id", "ord", F.col("s").alias("result_s"), "bs", F.coalesce("proof_be", "be").alias("scope_e"))
     used = math.join(places, ["project_id", "ord"]).where("bs <= s and s < scope_e").select("project_id", "ord", "result_s", F.explode(names).alias("name"))
-    used = used.select("project_id", "ord", "result_s", canonical_name(F.col("name")).alias("name")).distinct()
-    known = introductions(m).groupBy("project_id", "ord", "result_s", "name").agg(F.count(F.lit(1)).alias("n"))
+    used = used.select("project_id", "ord", "result_s", canonical_name(F.col("name")).alias("name"))
+    found = introductions(m)
+    # commands and compound subscripts are names where the result introduces them
+    commands = mentions(m, found.where(F.col("name").rlike(r"[\\{]"))).select("project_id", "ord", "result_s", "name")
+    used = used.unionByName(commands).distinct()
+    known = found.groupBy("project_id", "ord", "result_s", "name").agg(F.count(F.lit(1)).alias("n"))
     held = used.join(known, ["project_id", "ord", "result_s", "name"], "left")
     return held.select("project_id", "ord", "name", F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved").alias("resolution"))
 

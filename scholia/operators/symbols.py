@@ -1,17 +1,26 @@
-"""Symbol introductions beside math, roles and their conflicts, and uses resolved to the nearest declaration."""
+"""Symbol introductions by cue, quantifier and definition, roles and their conflicts, and uses resolved to the nearest declaration."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scholia.functions import symbols as sx
+
 FILE = ["project_id", "ord"]
+PLACE = "project_id long, ord int, result_s int, part string, s int"
+INTRODUCED = f"{PLACE}, scope string, kind string, at int, name string, role string, formula string"
+#: Fixed value: environments that show a formula and are no formula facts.
+DISPLAYS = ("equation", "equation*", "displaymath")
 
 
 def canonical_name(name: Column) -> Column:
     """``x_{1}`` is ``x_1``."""
-    return F.regexp_replace(name, r"^([A-Za-z]+)_\{([A-Za-z0-9]+)\}$", "$1_$2")
+    return F.regexp_replace(name, r"^(\\[A-Za-z]+|[A-Za-z]+)_\{(\\[A-Za-z]+|[A-Za-z0-9]+)\}$", "$1_$2")
 
 
 def role_family(role: Column) -> Column:
@@ -19,35 +28,117 @@ def role_family(role: Column) -> Column:
     return F.when(role.isin("map", "function"), "callable").when(role != "unknown", role)
 
 
-def introductions(manuscript) -> DataFrame:
-    """Symbols introduced by ``let .. be`` beside inline math inside a result, with their role."""
+def _each(frame: DataFrame, function, schema: str) -> DataFrame:
+    """The rows that ``function`` makes of each row."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [out for row in batch.to_pylist() for out in function(row)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return frame.mapInArrow(run, schema)
+
+
+def regions(manuscript) -> DataFrame:
+    """Statements, and proofs where one belongs to the result: (result_s, part, region_s, region_e)."""
+    spans = F.array(
+        F.struct(F.lit("statement").alias("part"), F.col("bs").alias("region_s"), F.col("be").alias("region_e")),
+        F.struct(F.lit("proof").alias("part"), F.col("proof_bs").alias("region_s"), F.col("proof_be").alias("region_e")),
+    )
+    return manuscript.results.select(*FILE, F.col("s").alias("result_s"), F.inline(spans)).where("region_s is not null")
+
+
+def formulas(manuscript) -> DataFrame:
+    """Formulas inside a result's statement or proof; ``start`` is where the formula's text begins."""
+    math = manuscript.facts.where("kind = 'math'").select(*FILE, "s", "e", F.col("bs").alias("start"), F.col("text").alias("formula"), "before", "behind")
+    return math.join(regions(manuscript), FILE).where("region_s <= s and e <= region_e").drop("e", "region_s", "region_e")
+
+
+def _introduced(row: dict) -> Iterator[tuple]:
+    place = row["project_id"], row["ord"], row["result_s"], row["part"], row["s"]
+    formula = row["formula"]
+    if kind := sx.cue(row["before"], row["behind"]):
+        for name, at, role in sx.introduced(formula, kind):
+            yield *place, "proof" if row["part"] == "proof" else "result", kind, row["start"] + at, name, role, formula
+    for name, at in sx.quantified(formula):
+        yield *place, "local", "quantifier", row["start"] + at, name, "unknown", formula
+
+
+def project_definitions(manuscript) -> DataFrame:
+    """Symbols that a file defines by an explicit operator in a formula outside all results; result_s is null."""
     m = manuscript
-    math = m.facts.where("kind = 'math'").select(*FILE, "s", "e", F.col("text").alias("formula"), "before", "behind")
-    results = m.results.select(*FILE, F.col("s").alias("result_s"), "bs", "be")
-    found = math.join(results, FILE).where("bs <= s and e <= be")
-    found = found.where(F.col("before").rlike(r"(?i)\blet\s*$") & F.col("behind").rlike(r"(?i)^\s*be\b"))
-    name = F.regexp_extract("formula", r"^\s*([A-Za-z]+(?:_\{?[A-Za-z0-9]+\}?)?)", 1)
-    role = F.when(F.col("formula").rlike(r"\\colon.*\\to"), "map").when(F.col("formula").rlike(r"[<>]|\\ge|\\le"), "scalar").otherwise("unknown")
-    return found.select(*FILE, "result_s", "s", canonical_name(name).alias("name"), role.alias("role"), "formula").where("name <> ''")
+    math = m.facts.where("kind = 'math'").select(*FILE, "s", "e", F.col("bs").alias("start"), F.col("text").alias("formula"))
+    shown = m.environments.where(F.col("name").isin(*DISPLAYS)).select(*FILE, "s", "e", F.col("bs").alias("start"), F.col("text").alias("formula"))
+    covers = math.select(*FILE, F.col("s").alias("cover_s"), F.col("e").alias("cover_e"))
+    shown = shown.join(covers, [shown[c] == covers[c] for c in FILE] + [F.col("cover_s") <= F.col("s"), F.col("e") <= F.col("cover_e")], "left_anti")
+    blocks = math.unionByName(shown)
+    held = regions(m)
+    free = blocks.join(held, [blocks[c] == held[c] for c in FILE] + [F.col("region_s") <= F.col("s"), F.col("e") <= F.col("region_e")], "left_anti")
+    aliases = m.macros.where("name in ('newcommand', 'renewcommand', 'providecommand') and text is not null and coalesce(trim(option), '') in ('', '0')")
+    aliases = _each(aliases.select(*FILE, "arg", "text"), lambda r: [(r["project_id"], r["ord"], r["arg"])] if sx.defines(r["text"]) else [], "project_id long, ord int, macro string")
+    aliases = aliases.groupBy(*FILE).agg(F.collect_set("macro").alias("macros"))
+
+    def found(row: dict) -> Iterator[tuple]:
+        if got := sx.defined(row["formula"], row["macros"] or []):
+            yield row["project_id"], row["ord"], None, None, row["s"], "project", "define", row["start"] + got[1], got[0], "unknown", row["formula"]
+
+    return _each(free.join(aliases, FILE, "left").select(*FILE, "s", "start", "formula", "macros"), found, INTRODUCED)
+
+
+def introductions(manuscript) -> DataFrame:
+    """Symbols that a result introduces in its statement or proof, with place, scope and role.
+
+    A formula introduces behind ``let`` (and before ``be``), ``for``, ``for
+    each``, ``for every``, ``define`` or ``set``, and by quantifiers. Symbols of
+    a statement hold for the whole result, those of a proof in the proof, and
+    quantified ones in their formula.
+    """
+    return _each(formulas(manuscript), _introduced, INTRODUCED)
+
+
+def all_introductions(manuscript) -> DataFrame:
+    """Introductions of results and definitions outside them."""
+    return introductions(manuscript).unionByName(project_definitions(manuscript))
 
 
 def role_conflicts(manuscript) -> DataFrame:
     """TH113: one name with two role families in a scope; the last introduction is the anchor."""
     found = introductions(manuscript).withColumn("family", role_family(F.col("role")))
-    grouped = found.groupBy(*FILE, "result_s", "name").agg(F.collect_set("family").alias("families"), F.sort_array(F.collect_list(F.struct("s", "role"))).alias("seen"))
+    # quantified symbols have no role, so formulas need no scope of their own here
+    grouped = found.where("scope <> 'local'").groupBy(*FILE, "result_s", "scope", "name").agg(F.collect_set("family").alias("families"), F.sort_array(F.collect_list(F.struct("at", "role"))).alias("seen"))
     story = F.concat(F.col("name"), F.lit(": "), F.array_join(F.transform("seen", lambda x: x["role"]), ", "))
     return grouped.where(F.size("families") >= 2).select("project_id", F.lit("TH113").alias("rule"), F.lit("warning").alias("severity"), "ord", story.alias("subject"))
 
 
+def mentions(manuscript, known: DataFrame) -> DataFrame:
+    """Places ``use_at`` in formulas of a result that hold a name which the result introduces."""
+    names = known.groupBy(*FILE, "result_s").agg(F.collect_set("name").alias("names"))
+    held = formulas(manuscript).join(names, [*FILE, "result_s"]).select(*FILE, "result_s", "part", "s", "start", "formula", "names")
+
+    def found(row: dict) -> Iterator[tuple]:
+        for name, at in sx.mentions(row["formula"], row["names"]):
+            yield row["project_id"], row["ord"], row["result_s"], row["part"], row["s"], name, row["start"] + at
+
+    return _each(held, found, PLACE.replace("part string, s int", "use_part string, use_s int, name string, use_at int"))
+
+
 def resolved_uses(manuscript) -> DataFrame:
-    """Each later mention of an introduced name in the result's math, with the latest introduction before it (as-of)."""
-    m = manuscript
-    math = m.facts.where("kind = 'math'").select(*FILE, "s", F.col("text").alias("formula"))
-    names = F.regexp_extract_all("formula", F.lit(r"(?<![\\A-Za-z])[A-Za-z](?![A-Za-z])"), F.lit(0))
-    mentions = math.select(*FILE, F.col("s").alias("use_s"), F.explode(F.array_distinct(names)).alias("name"))
-    places = m.results.select(*FILE, F.col("s").alias("result_s"), "bs", F.coalesce("proof_be", "be").alias("scope_e"))
-    mentions = mentions.join(places, FILE).where("bs <= use_s and use_s < scope_e")
-    known = introductions(m).select(*FILE, "result_s", "name", F.col("s").alias("intro_s"), "role")
-    before = mentions.join(known, [*FILE, "result_s", "name"]).where("intro_s < use_s")
-    latest = Window.partitionBy(*FILE, "result_s", "name", "use_s").orderBy(F.desc("intro_s"))
-    return before.withColumn("rank", F.row_number().over(latest)).where("rank = 1").select(*FILE, "name", "use_s", "intro_s", "role")
+    """Each formula that mentions an introduced name, with the innermost and then latest introduction before the mention (as-of).
+
+    A formula's own quantifier comes first, then the proof, then the statement.
+    A quantified variable's own place is no mention; a name that a cue
+    introduces again mentions the introduction before.
+    """
+    known = introductions(manuscript).select(*FILE, "result_s", "scope", "name", F.col("s").alias("intro_s"), "at", "role")
+    places = mentions(manuscript, known)
+    bound = known.where("scope = 'local'").select(*FILE, "result_s", "name", F.col("at").alias("use_at"))
+    places = places.join(bound, [*FILE, "result_s", "name", "use_at"], "left_anti")
+    seen = F.when(F.col("scope") == "local", F.col("use_s") == F.col("intro_s")).when(F.col("scope") == "proof", F.col("use_part") == "proof").otherwise(True)
+    before = places.join(known, [*FILE, "result_s", "name"]).where(seen & (F.col("at") < F.col("use_at")))
+    rank = F.when(F.col("scope") == "local", 0).when(F.col("scope") == "proof", 1).otherwise(2)
+    latest = Window.partitionBy(*FILE, "result_s", "name", "use_at").orderBy(rank, F.desc("at"))
+    nearest = before.withColumn("rank", F.row_number().over(latest)).where("rank = 1")
+    return nearest.dropDuplicates([*FILE, "result_s", "name", "use_s", "at"]).select(*FILE, "name", "use_s", "intro_s", "role")

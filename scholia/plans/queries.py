@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scholia.functions import text as tx
 from scholia.operators import control, ledger, proofs, support
 from scholia.operators.structure import Manuscript
-from scholia.operators.symbols import introductions, resolved_uses, role_conflicts
+from scholia.operators.symbols import all_introductions, resolved_uses, role_conflicts
 from scholia.plans.oracle import BASE, CLAIMS, REACH
 from scholia.sources.manuscripts import projected_manuscripts
 
@@ -206,7 +206,7 @@ select project_id, ord, 'x' as name, 'scalar' as role, 'x > 0' as formula from m
 union all select project_id, ord, 'x', 'map', 'x \colon A \to B' from m where is_result and doc_id % 2 = 1
 union all select project_id, ord, 'x', 'map', 'x \colon U \to V' from m where is_result and doc_id % 10 = 4""")
 def symbol_introductions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return introductions(manuscript(spark, sf_dir)).select("project_id", "ord", "name", "role", "formula")
+    return all_introductions(manuscript(spark, sf_dir)).select("project_id", "ord", "name", "role", "formula")
 
 
 @query(BASE + "select project_id, ord, 'x' as name, 'scalar' as role from m where is_result and doc_id % 10 = 4")
