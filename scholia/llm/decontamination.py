@@ -5,7 +5,10 @@ passage gives it at least a fixed share of the score that its own text gives it,
 so the threshold is the same for short and long items. Passages and blocks of
 items are skipped by upper bounds only, so all items above the threshold are
 retrieved. A retrieved item counts if most words of its question and most words
-of its answer lie in five-word sequences that the passage shares.
+of its answer lie in five-word sequences that the passage shares, or if most
+words of the whole item do, where words beside such a sequence count if they
+follow on in the passage. So an edit in or near a short answer, or its absence,
+doesn't hide an item that is copied otherwise.
 """
 
 from __future__ import annotations
@@ -52,6 +55,21 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
+def _follows(own: np.ndarray, text: np.ndarray, mine: np.ndarray, theirs: np.ndarray, hit: np.ndarray, n: int) -> np.ndarray:
+    """Words of ``own`` up to ``n`` places beside a shared sequence that ``text`` has in the same place, or one further or nearer."""
+    order = np.argsort(theirs, kind="stable")
+    low, high = (np.searchsorted(theirs, mine[hit], side, sorter=order) for side in ("left", "right"))
+    i, j = np.repeat(hit, high - low), order[_ragged(low, high - low)]
+    step = np.concatenate([np.arange(-n, 0), np.arange(n, 2 * n)])
+    k = (i[:, None] + step)[:, :, None]
+    t = (j[:, None] + step)[:, :, None] + np.arange(-1, 2)
+    inside = (k >= 0) & (k < len(own)) & (t >= 0) & (t < len(text))
+    k = np.broadcast_to(k, t.shape)[inside]
+    found = np.zeros(len(own), bool)
+    found[k[own[k] == text[t[inside]]]] = True
+    return found
+
+
 @dataclass
 class Index:
     """Terms (sorted hashes), postings by term, block maxima by term, and each part's threshold and text."""
@@ -149,18 +167,22 @@ class Index:
         row = np.searchsorted(base + counts, passage, side="right")
         return row, passage - base[row], part, score
 
-    def overlap(self, part: int, hashes: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's and the answer's words in sequences of SHINGLE words that both texts have."""
+    def overlap(self, part: int, hashes: np.ndarray) -> tuple[float, float, float]:
+        """Shares of the question's and the answer's words in sequences of SHINGLE words that both texts have, and of all words that are held or follow on."""
         own = self.texts[part]
         n = min(SHINGLE, len(own))
         depth = np.zeros(len(own) + 1, np.int64)
-        hit = np.flatnonzero(np.isin(grams(own, n), grams(hashes, n)))
+        mine, theirs = grams(own, n), grams(hashes, n)
+        hit = np.flatnonzero(np.isin(mine, theirs))
         np.add.at(depth, hit, 1)
         np.add.at(depth, hit + n, -1)
         held = np.cumsum(depth)[:-1] > 0
         cut = self.answers[part]
         question, answer = held[:cut] if cut else held, held[cut:] if cut < len(own) else held
-        return float(question.mean()), float(answer.mean())
+        question, answer = float(question.mean()), float(answer.mean())
+        if not len(hit) or question >= OVERLAP and answer >= OVERLAP:
+            return question, answer, float(held.mean())
+        return question, answer, float((held | _follows(own, hashes, mine, theirs, hit, n)).mean())
 
     def links(self, column: pa.Array) -> Iterator[tuple[int, int, int, float, float, float]]:
         """(batch row, item, first word of the passage, score, question and answer overlap), an item once for each row."""
@@ -173,8 +195,8 @@ class Index:
             low = int(words.first[row]) + passage * STRIDE
             # copies that start late in a passage end after it
             text = hashes[max(low - STRIDE, int(words.first[row])) : min(low + PASSAGE + STRIDE, int(words.first[row + 1]))]
-            question, answer = self.overlap(part, text)
-            if question >= OVERLAP and answer >= OVERLAP:
+            question, answer, whole = self.overlap(part, text)
+            if question >= OVERLAP and answer >= OVERLAP or whole >= OVERLAP:
                 key = row, int(self.items[part])
                 if key not in best or (score, -passage) > (best[key][1], -best[key][0]):
                     best[key] = passage, score, question, answer

@@ -172,6 +172,21 @@ def test_decontamination_finds_copies_and_leaves_others(spark):
     assert decontamination.contamination(docs, items.limit(0)).count() == 0 and decontamination.contamination(docs.limit(0), items).count() == 0
 
 
+def test_an_edit_at_the_end_hides_no_copy(spark):
+    noise = " ".join(f"noise{i}" for i in range(150))
+    item = "Which of the seven stone bridges over the green river stood longest after that flood? Number two did."
+    words = item.split()
+    texts = [" ".join([*words[:k], "edited", *words[k + 1 :]]) for k in range(len(words) - 5, len(words))]
+    texts += [" ".join([*words[:k], *words[k + 1 :]]) for k in range(len(words) - 5, len(words))]
+    texts += [" ".join([*words[:k], "put", *words[k:]]) for k in range(len(words) - 5, len(words) + 1)]
+    texts.append(item.split("?")[0])  # cut off before the answer
+    clean = [" ".join(words[: len(words) // 2]), " ".join(words[i ^ 1] for i in range(len(words) - 1))]
+    docs = spark.createDataFrame([(i, f"{noise} {t} {noise}") for i, t in enumerate(texts + clean)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), *((i, f"other words{i} in number{i} that{i} nobody{i} copied{i}") for i in range(2, 20))], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.contamination(docs, items).collect()) == [(i, 1) for i in range(len(texts))]
+    assert sorted(r.doc_id for r in decontamination.decontaminate(docs, items).collect()) == [len(texts), len(texts) + 1]
+
+
 def test_long_items_and_several_indexes(spark):
     long = " ".join(f"term{i}" for i in range(200))
     docs = spark.createDataFrame([(1, "start " * 90 + long + " end" * 70), (2, "start " * 400)], "doc_id long, text string")
