@@ -13,7 +13,7 @@ from scholia.llm.common import materialise, table
 from scholia.llm.decontamination import decontaminate
 from scholia.llm.language import UNKNOWN, identify, learn
 from scholia.llm.packing import pack_documents
-from scholia.llm.simhash import near_duplicates
+from scholia.llm.simhash import first_of_groups
 from scholia.llm.substring import substring_dedup
 from scholia.llm.tokens import default_tokenizer
 from scholia.llm.toxicity import held_out
@@ -30,13 +30,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id.
+    """Of each group of near-duplicates, the row with the smallest doc_id; a group of rows without one goes.
 
-    doc_id names a document: of rows that share one, one stays; rows without one go.
+    Rows that share a doc_id are judged each.
     """
-    groups = near_duplicates(docs)
-    first = materialise(groups.where("doc_id = component_id").select("doc_id").distinct(), "first")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return first_of_groups(docs).where("doc_id is not null")
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

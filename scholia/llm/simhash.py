@@ -62,16 +62,17 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and its fingerprint as a signed 64-bit number; null or wordless text has fingerprint zero."""
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the long columns ``carry`` and the fingerprint as a signed 64-bit number; null or wordless text has fingerprint zero."""
+    names = ["doc_id", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = [np.array(shingle_hashes(x, shingle), np.uint64) for x in batch.column("text").to_pylist()]
             prints = majority(np.concatenate(found), np.array([len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(prints.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), *carry, F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def _tiles(prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -163,6 +164,17 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     return dealt.groupBy("i", "j").applyInArrow(compare, "u long, v long")
 
 
+def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, ``carry``, fingerprint fp, root (the group's own number) and component_id."""
+    held = materialise(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle, carry=carry), "prints")
+    nodes = materialise(held.groupBy("fp").agg(F.min("doc_id").alias("lo")), "nodes")
+    labels = connected(links(nodes.select("fp"), radius))
+    rooted = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "lo", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("lo").alias("component_id"))
+    named = materialise(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+    return held.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest doc_id reachable by links.
 
@@ -171,13 +183,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     doc_id is never the smallest; a component of only such rows has null as its
     id. Repeated rows are kept. An empty table gives no rows.
     """
-    held = materialise(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle), "prints")
-    nodes = materialise(held.groupBy("fp").agg(F.min("doc_id").alias("lo")), "nodes")
-    labels = connected(links(nodes.select("fp"), radius))
-    rooted = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "lo", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("lo").alias("component_id"))
-    named = materialise(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return held.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = groups(docs, doc_id=doc_id, text=text, shingle=shingle, radius=radius)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates: the smallest doc_id, null last, and of its rows the least by a 128-bit hash of all columns.
+
+    Rows are told apart by that hash, so that rows of one doc_id, or without
+    one, are judged each. Rows equal in all columns are copies and one stays.
+    """
+    held = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    keyed = docs.withColumns({"__a": F.xxhash64(*held), "__b": F.xxhash64(F.lit(1), *held)})
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__a", "__b")
+    first = groups(keyed, carry=("__a", "__b")).groupBy("root").agg(F.min(rank).alias("first"))
+    first = materialise(first.select("first.__a", "first.__b"), "first")
+    return keyed.join(first, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select(*docs.columns)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
 from scholia.llm import language, tokens
-from scholia.llm.simhash import majority, shingle_hashes
+from scholia.llm.simhash import first_of_groups, majority, shingle_hashes
 from scholia.llm.toxicity import held_out
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +93,13 @@ def test_stages_on_odd_rows(spark):
     empty = spark.createDataFrame([], COLUMNS)
     for name, stage in cp.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_near_duplicate_stage_keeps_a_row_of_each_group(spark):
+    texts = {x: " ".join(f"{x}{i}" for i in range(60)) for x in "abcde"}
+    rows = [(3, texts["a"], "one"), (5, texts["a"], "copy"), (5, texts["b"], "own"), (5, texts["c"], "other"), (None, texts["b"], "copy"), (None, texts["d"], "one"), (None, texts["d"], "one"), (None, texts["e"], None)]
+    docs = spark.createDataFrame([(k, t, "en", s, 9) for k, t, s in rows], COLUMNS)
+    named = [(3, "a", "one"), (5, "b", "own"), (5, "c", "other")]
+    assert sorted((r.doc_id, r.text[0], r.source) for r in cp.simhash(spark, docs, SF).collect()) == named
+    kept = [(r.doc_id, r.text[0], r.source) for r in first_of_groups(docs).collect()]
+    assert sorted(kept, key=str) == sorted([*named, (None, "d", "one"), (None, "e", None)], key=str)
