@@ -23,11 +23,11 @@ from scholia.llm.toxicity import held_out
 from scholia.llm.words import Words, span_hashes, text_buffers
 
 UNKNOWN = "und"
-#: The bounded sample that is learned from: documents of each language, their longest text in bytes, and languages.
-SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 150, 8_000, 32
+#: The bounded sample that is learned from: documents of each language, their longest text in bytes, and documents in all (one of each language at least).
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_ROWS = 150, 8_000, 4_800
 TABLE_BITS, NGRAMS, AFFIXES = 16, (2, 3), (2, 3)
 EPOCHS, RATE = 3, 0.3
-#: Text bytes whose n-gram sums a task holds at a time.
+#: Text bytes whose n-gram sums a task holds at a time, for up to four languages; fewer for more.
 TEXT_BYTES = 1 << 20
 #: Words of a training piece, and of a block in forward-backward.
 PIECE, BLOCK = 48, 128
@@ -250,15 +250,27 @@ def _scores_of(features: WordFeatures, weights: np.ndarray, pick: np.ndarray) ->
 
 
 def learn(labelled: DataFrame, *, per_language: int = SAMPLE_DOCS, longest: int = SAMPLE_BYTES) -> Model | None:
-    """Train on whole texts of a bounded sample of rows (key, text, lang): by a hash of the key, of at most ``longest`` bytes."""
-    fit = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.octet_length("text").between(1, longest))
-    langs = [r["lang"] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not langs:
+    """Train on whole texts of a bounded sample of rows (key, text, lang) of every language that occurs.
+
+    Rows are taken by a hash of the key, of at most ``longest`` bytes. A language
+    without such a text gives its shortest ones, up to the same bytes in all or
+    one text. With very many languages each gives fewer rows.
+    """
+    size, own = F.octet_length("text"), F.xxhash64("text")
+    fit = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (size > 0)).withColumns({"size": size, "own": own})
+    languages = fit.select("lang").distinct().count()
+    if not languages:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = fit.where(F.col("lang").isin(langs)).select("key", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    # at most per_language * LANGUAGES keys
-    rows = fit.join(F.broadcast(chosen.select("key").distinct()), "key", "left_semi").select("text", "lang").limit(2 * per_language * len(langs)).collect()
+    share = max(1, min(per_language, SAMPLE_ROWS // languages))
+    long = F.col("size") > longest
+    order = Window.partitionBy("lang").orderBy(long, F.when(long, F.col("size")), F.xxhash64("key"), "key", "own")
+    ranked = fit.select("key", "lang", "size", "own").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= share)
+    ranked = ranked.withColumns({"none_short": F.min(long).over(Window.partitionBy("lang")), "bytes": F.sum("size").over(Window.partitionBy("lang").orderBy("rank"))})
+    chosen = ranked.where(~long | F.col("none_short") & ((F.col("rank") == 1) | (F.col("bytes") <= share * longest)))
+    # at most SAMPLE_ROWS keys, or one of each language
+    same = ["lang", "size", "own"]
+    picked = chosen.select(F.struct("key").alias("id"), *same).distinct()  # a struct compares a null key like any other
+    rows = fit.withColumn("id", F.struct("key")).join(F.broadcast(picked), ["id", *same], "left_semi").dropDuplicates(["id", *same]).select("text", "lang").collect()
     return train([(r["text"], r["lang"]) for r in rows])
 
 
@@ -270,9 +282,10 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> Dat
     replaced; an empty table stays empty.
     """
     docs = docs.drop("lang_pred", "score")
+    limit = max(1, TEXT_BYTES * 4 // max(4, len(model.languages) if model else 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, TEXT_BYTES):
+        for batch in slices(batches, text, limit):
             names, score = model.predict(batch.column(text)) if model else ([UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 

@@ -271,3 +271,19 @@ def test_language_odd_rows(spark):
     assert found[3] == ("und", 0.0) and language.identify(docs.limit(0), model).count() == 0
     assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
     assert language.learn(docs.selectExpr("doc_id as key", "text", "cast(null as string) as lang")) is None
+
+
+def test_every_language_is_learned(spark):
+    """More than 32 languages, one of which has long texts alone."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(40):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(25)]
+        rows += [(100 * k + i, " ".join(rng.choice(words, 30 if k else 1500)), f"l{k:02}") for i in range(20 if k < 39 else 4)]
+    docs = spark.createDataFrame(rows, "key long, text string, lang string")
+    assert min(len(t) for _, t, lang in rows if lang == "l00") > language.SAMPLE_BYTES
+    model = language.learn(docs)
+    assert model.languages == sorted({lang for *_, lang in rows}) and len(model.languages) == 40
+    found = language.identify(docs, model).collect()
+    assert sum(r.lang_pred == r.lang for r in found) >= 0.97 * len(rows)
+    assert all(any(r.lang_pred == r.lang for r in found if r.lang == lang) for lang in ("l00", "l39"))
