@@ -18,15 +18,21 @@ from scholia.llm.substring import substring_dedup
 from scholia.llm.tokens import default_tokenizer
 from scholia.llm.toxicity import held_out
 
-#: Least mean chance of the predicted language; four languages without evidence have a quarter each.
+#: Least certainty for four languages, of which each has a quarter without evidence; ``least_sure`` gives it for others.
 MIN_LANGUAGE_SCORE = 0.35
 
 
+def least_sure(languages: int) -> float:
+    """Least mean of the words' best chances: as far above an even share of ``languages`` as MIN_LANGUAGE_SCORE is above a quarter."""
+    even = 1 / max(1, languages)
+    return even + (MIN_LANGUAGE_SCORE - 0.25) / 0.75 * (1 - even) - 1e-9
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: null, letterless and undecided texts go."""
+    """Documents whose language is known: null, letterless and undecided texts go; those that switch languages stay."""
     model = learn(docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), "text", "lang"))
-    found = identify(docs, model)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    found = identify(docs, model, sure="sure")
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("sure") >= least_sure(len(model.languages) if model else 0))).select(*docs.columns)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,19 +172,21 @@ class Model:
     def chances(self, features: WordFeatures) -> np.ndarray:
         return forward_backward(features.scores(self.weights), features.words.first, np.exp(self.transitions))
 
-    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Language and mean chance of each text; UNKNOWN and 0 without a letter."""
+    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, its mean chance and the mean of each word's best chance; UNKNOWN, 0 and 0 without a letter."""
         features = WordFeatures(*text_buffers(column))
         words = features.words
-        sums = np.stack([np.bincount(words.row, c, words.rows) for c in self.chances(features).T], 1) if len(words.start) else np.zeros((words.rows, len(self.languages)))
+        chances = self.chances(features)
+        sums = np.stack([np.bincount(words.row, c, words.rows) for c in chances.T], 1) if len(words.start) else np.zeros((words.rows, len(self.languages)))
+        sure = np.bincount(words.row, chances.max(axis=1), words.rows) / np.maximum(words.counts, 1)
         best = sums.argmax(axis=1)
         score = sums[np.arange(words.rows), best] / np.maximum(words.counts, 1)
         names = [self.languages[i] for i in best]
         ascii_letters = np.bincount(words.row, _plain(features), words.rows) > 0
         for i in np.flatnonzero(~ascii_letters):
             if not any(map(str.isalpha, column[int(i)].as_py() or "")):
-                names[i], score[i] = UNKNOWN, 0.0
-        return names, np.clip(score, 0, 1)
+                names[i], score[i], sure[i] = UNKNOWN, 0.0, 0.0
+        return names, np.clip(score, 0, 1), np.clip(sure, 0, 1)
 
 
 def _plain(features: WordFeatures) -> np.ndarray:
@@ -274,22 +276,26 @@ def learn(labelled: DataFrame, *, per_language: int = SAMPLE_DOCS, longest: int
     return train([(r["text"], r["lang"]) for r in rows])
 
 
-def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, *, text: str = "text", sure: str | None = None) -> DataFrame:
     """``docs`` with lang_pred and score, the mean chance of that language over the words.
 
+    ``sure`` names a column for the mean of each word's best chance, which is
+    high for a text that switches between languages.
+
     Null, empty and letterless texts are ``und`` with score 0, as are all without
     a model. Repeated rows are each judged; input columns of the added names are
     replaced; an empty table stays empty.
     """
-    docs = docs.drop("lang_pred", "score")
+    more = [sure] if sure else []
+    docs = docs.drop("lang_pred", "score", *more)
     limit = max(1, TEXT_BYTES * 4 // max(4, len(model.languages) if model else 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, limit):
-            names, score = model.predict(batch.column(text)) if model else ([UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            names, *found = model.predict(batch.column(text)) if model else ([UNKNOWN] * batch.num_rows, *[np.zeros(batch.num_rows)] * 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), *[pa.array(x, pa.float64()) for x in found[: 1 + len(more)]]], [*batch.schema.names, "lang_pred", "score", *more])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string", "score double", *[f"`{c}` double" for c in more]])
     return docs.mapInArrow(run, schema)
 
 

@@ -103,3 +103,19 @@ def test_near_duplicate_stage_keeps_a_row_of_each_group(spark):
     assert sorted((r.doc_id, r.text[0], r.source) for r in cp.simhash(spark, docs, SF).collect()) == named
     kept = [(r.doc_id, r.text[0], r.source) for r in first_of_groups(docs).collect()]
     assert sorted(kept, key=str) == sorted([*named, (None, "d", "one"), (None, "e", None)], key=str)
+
+
+def test_language_stage_keeps_texts_that_switch_and_drops_undecided_ones(spark):
+    own = {lang: [f"{a}{b}" for a in letters for b in letters] for lang, letters in {"aa": "bcdf", "bb": "klmn", "cc": "prst", "dd": "vwxz"}.items()}
+    for number in (2, 4):
+        langs = list(own)[:number]
+        rows = [(100 * k + i, " ".join(own[lang][(i + j) % 16] for j in range(40)), lang) for k, lang in enumerate(langs) for i in range(60)]
+        mixed = " ".join(" ".join(own[lang][j % 16] for j in range(30)) for lang in langs)
+        rows += [(1001, mixed, None), (1002, "\u4e00 \u4e8c", None)]
+        docs = spark.createDataFrame([(k, t, lang, "s", len(t)) for k, t, lang in rows], COLUMNS)
+        model = language.learn(docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), "text", "lang"))
+        found = {r.doc_id: r for r in language.identify(docs, model, sure="sure").collect()}
+        assert found[1001].sure > 0.8 and found[1001].score < 0.6
+        kept = {r.doc_id for r in cp.language_id(spark, docs, SF).collect()}
+        assert 1001 in kept and 1002 not in kept, (number, found[1002])
+        assert number != 4 or found[1001].score < cp.MIN_LANGUAGE_SCORE  # by that share the mixed text went
