@@ -221,8 +221,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     """One row for each document and test item that it holds: see LINKS for the columns.
 
     Documents without a link give no row; null and empty texts have none. Rows of
-    one doc_id, also null, are judged each. Equal items are linked each. No items
-    or no documents give no rows.
+    one doc_id, also null, are judged each. Equal items are linked each. Items of
+    fewer than SHINGLE words are not matched. No items or no documents give no rows.
     """
     spark = docs.sparkSession
     held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
