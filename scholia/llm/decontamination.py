@@ -1,37 +1,50 @@
-"""Benchmark decontamination: BM25 over an inverted index of test items with block-max pruning, then overlap.
+"""Benchmark decontamination: BM25 over an inverted index of test items by block-max WAND, then overlap.
 
 Every passage of every training document is a query. An item is retrieved if the
 passage gives it at least a fixed share of the score that its own text gives it,
 so the threshold is the same for short and long items. Passages and blocks of
-items are skipped by upper bounds only, so all items above the threshold are
-retrieved. A retrieved item counts if most words of its question and most words
-of its answer lie in five-word sequences that the passage shares, or if most
-words of the whole item do, where words beside such a sequence count if they
-follow on in the passage. So an edit in or near a short answer, or its absence,
-doesn't hide an item that is copied otherwise.
+items are skipped by upper bounds (for a slice of passages at once); what is
+left is walked document at a time: cursors sorted by item, a pivot where the
+terms' ceilings reach the threshold, and the exact score where the pivot's block
+maxima do. All bounds are upper bounds, so all items above the threshold are
+retrieved.
+
+A retrieved item is verified as a whole over the whole document: it counts if most words of its question and most
+words of its answer lie in five-word sequences that both texts have, or follow
+on beside one. Where question or answer is too short to bear an edit
+(``SHORT``), most words of the whole item suffice. So an edit in or near a short
+answer hides nothing, and the question alone of an item with a long answer is no
+copy.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import slices, table
+from scholia.llm.common import materialise, slices, table
 from scholia.llm.words import Words, grams, text_buffers
 
 K1, B = 1.2, 0.75
-#: Passages of this many words start every STRIDE words; an item longer than STRIDE is indexed in parts.
+#: Passages of this many words start every STRIDE words; an item longer than STRIDE is indexed in parts, of which one must be retrieved.
 PASSAGE, STRIDE = 128, 64
-#: Items of a block that share upper bounds.
-BLOCK_ITEMS = 16
+#: Parts of items in a block that share upper bounds.
+BLOCK_ITEMS = 2
+#: Block postings from which a term's list is left to its ceiling in the first bound, where such terms together stay under half the least threshold.
+LONG_LIST = 4096
 #: Share of an item's own score that a passage must reach; shared words of question and answer; words of a sequence.
 RETRIEVE, OVERLAP, SHINGLE = 0.5, 0.8, 5
+#: A question or answer of fewer words is judged together with the rest of its item.
+SHORT = 2 * SHINGLE
 #: Text bytes of items in one index; more items make more indexes, each of which passes over the documents.
 INDEX_BYTES = 16 << 20
 
@@ -55,11 +68,25 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
-def _follows(own: np.ndarray, text: np.ndarray, mine: np.ndarray, theirs: np.ndarray, hit: np.ndarray, n: int) -> np.ndarray:
-    """Words of ``own`` up to ``n`` places beside a shared sequence that ``text`` has in the same place, or one further or nearer."""
-    order = np.argsort(theirs, kind="stable")
-    low, high = (np.searchsorted(theirs, mine[hit], side, sorter=order) for side in ("left", "right"))
-    i, j = np.repeat(hit, high - low), order[_ragged(low, high - low)]
+class _Text:
+    """A document's word hashes, with its sequences of n words in hash order for each n that is asked for."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        self._sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def places(self, mine: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each sequence of n words, where its equals begin and end in the document's order, and that order."""
+        if n not in self._sorted:
+            theirs = grams(self.hashes, n)
+            order = np.argsort(theirs, kind="stable")
+            self._sorted[n] = theirs[order], order
+        theirs, order = self._sorted[n]
+        return np.searchsorted(theirs, mine, "left"), np.searchsorted(theirs, mine, "right"), order
+
+
+def _follows(own: np.ndarray, text: np.ndarray, i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Words of ``own`` up to ``n`` places beside a sequence shared at (i, j) that ``text`` has in the same place, or one further or nearer."""
     step = np.concatenate([np.arange(-n, 0), np.arange(n, 2 * n)])
     k = (i[:, None] + step)[:, :, None]
     t = (j[:, None] + step)[:, :, None] + np.arange(-1, 2)
@@ -72,9 +99,10 @@ def _follows(own: np.ndarray, text: np.ndarray, mine: np.ndarray, theirs: np.nda
 
 @dataclass
 class Index:
-    """Terms (sorted hashes), postings by term, block maxima by term, and each part's threshold and text."""
+    """Terms (sorted hashes), postings by term, block maxima by term, each part's threshold and item, and each item's text and answer."""
 
     items: np.ndarray
+    owner: np.ndarray
     terms: np.ndarray
     post_at: np.ndarray
     post_part: np.ndarray
@@ -90,23 +118,23 @@ class Index:
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]]) -> Index | None:
-        """From (item_id, text); items of fewer than SHINGLE words are left out. Null without any item."""
+        """From (item_id, text); wordless items are left out. Null without any other."""
         rows = sorted(rows)
         words = _words(pa.array([t for _, t in rows], pa.string()))
         hashes = words.hashes(lower=True)
-        items, texts, answers = [], [], []
+        items, owner, wholes, answers, texts = [], [], [], [], []
         for i, (item, text) in enumerate(rows):
             a, b = int(words.first[i]), int(words.first[i + 1])
-            if b - a < SHINGLE:
+            if a == b:
                 continue
             cut = words.offsets[i] + len(text[: answer_start(text)].encode())
-            answer = int(np.searchsorted(words.start[a:b], cut))
             count = -(-(b - a) // STRIDE)
-            for p in range(count):
-                low, high = a + (b - a) * p // count, a + (b - a) * (p + 1) // count
-                items.append(item)
-                texts.append(hashes[low:high])
-                answers.append(min(max(a + answer - low, 0), high - low))
+            cuts = [(b - a) * p // count for p in range(count + 1)]
+            owner += [len(items)] * count
+            texts += [hashes[a + low : a + high] for low, high in zip(cuts, cuts[1:])]
+            items.append(item)
+            wholes.append(hashes[a:b])
+            answers.append(int(np.searchsorted(words.start[a:b], cut)))
         if not items:
             return None
         lengths = np.array([len(t) for t in texts], float)
@@ -122,9 +150,9 @@ class Index:
         blocks = int(-(-len(texts) // BLOCK_ITEMS))
         cell, first = np.unique(term * blocks + block_of, return_index=True)
         return cls(
-            np.array(items), terms, np.searchsorted(term, np.arange(len(terms) + 1)), part, impact,
+            np.array(items), np.array(owner), terms, np.searchsorted(term, np.arange(len(terms) + 1)), part, impact,
             np.searchsorted(cell // blocks, np.arange(len(terms) + 1)), cell % blocks, np.maximum.reduceat(impact, first),
-            least, np.minimum.reduceat(least, np.arange(0, len(texts), BLOCK_ITEMS)), np.maximum.reduceat(impact, np.searchsorted(term, np.arange(len(terms)))), texts, answers,
+            least, np.minimum.reduceat(least, np.arange(0, len(texts), BLOCK_ITEMS)), np.maximum.reduceat(impact, np.searchsorted(term, np.arange(len(terms)))), wholes, answers,
         )
 
     def retrieve(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -145,44 +173,110 @@ class Index:
         passage, term = pair // len(self.terms), pair % len(self.terms)
         keep = np.bincount(passage, self.ceiling[term], total)[passage] >= self.least.min()
         passage, term = passage[keep], term[keep]
-        # upper bounds of each block of items that a passage shares a term with
+        # long lists of weak terms aren't opened: their ceilings stand for them
         sizes = self.block_at[term + 1] - self.block_at[term]
-        at = _ragged(self.block_at[term], sizes)
+        order = np.lexsort((self.ceiling[term], passage))
+        summed = np.cumsum(np.where(sizes >= LONG_LIST, self.ceiling[term], 0)[order])
+        edge = np.searchsorted(passage[order], passage[order], "left")
+        weak = np.empty(len(term), bool)
+        weak[order] = summed - np.where(edge > 0, summed[edge - 1], 0) < self.least.min() / 2
+        weak &= sizes >= LONG_LIST
+        spare = np.bincount(passage[weak], self.ceiling[term[weak]], total)
+        # upper bounds of each block of items that a passage shares another term with
+        opened = np.where(weak, 0, sizes)
+        at = _ragged(self.block_at[term], opened)
         blocks = len(self.block_least)
-        cell, inverse = np.unique(np.repeat(passage, sizes) * blocks + self.block[at], return_inverse=True)
-        cell = cell[np.bincount(inverse, self.block_impact[at], len(cell)) >= self.block_least[cell % blocks]]
-        # exact scores in the blocks that are left
-        keep = np.isin(passage, cell // blocks)
-        passage, term = passage[keep], term[keep]
-        sizes = self.post_at[term + 1] - self.post_at[term]
-        at = _ragged(self.post_at[term], sizes)
-        passage, part, impact = np.repeat(passage, sizes), self.post_part[at], self.post_impact[at]
-        keep = np.isin(passage * blocks + part // BLOCK_ITEMS, cell)
-        parts = len(self.least)
-        found, inverse = np.unique(passage[keep] * parts + part[keep], return_inverse=True)
-        score = np.bincount(inverse, impact[keep], len(found))
-        keep = score >= self.least[found % parts] - 1e-9
-        found, score = found[keep], score[keep]
-        passage, part = found // parts, found % parts
+        cell, inverse = np.unique(np.repeat(passage, opened) * blocks + self.block[at], return_inverse=True)
+        cell = cell[np.bincount(inverse, self.block_impact[at], len(cell)) + spare[cell // blocks] >= self.block_least[cell % blocks] - 1e-9]
+        passages, first = np.unique(cell // blocks, return_index=True)
+        low, high = np.searchsorted(passage, passages, "left"), np.searchsorted(passage, passages, "right")
+        ends = np.append(first[1:], len(cell))
+        found = []
+        for i, p in enumerate(passages.tolist()):
+            live = cell[first[i] : ends[i]] % blocks
+            found += [(p, part, score) for part, score in self.walk(term[low[i] : high[i]], live)]
+        passage, part = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
         row = np.searchsorted(base + counts, passage, side="right")
-        return row, passage - base[row], part, score
-
-    def overlap(self, part: int, hashes: np.ndarray) -> tuple[float, float, float]:
-        """Shares of the question's and the answer's words in sequences of SHINGLE words that both texts have, and of all words that are held or follow on."""
-        own = self.texts[part]
+        return row, passage - base[row], part, np.array([f[2] for f in found], float)
+
+    @cached_property
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sort keys (term, part) of the postings and (term, block) of the block maxima."""
+        parts, blocks = len(self.least), len(self.block_least)
+        terms = np.arange(len(self.terms))
+        return np.repeat(terms, np.diff(self.post_at)) * parts + self.post_part, np.repeat(terms, np.diff(self.block_at)) * blocks + self.block
+
+    def walk(self, terms: np.ndarray, live: np.ndarray) -> list[tuple[int, float]]:
+        """Block-max WAND over the ``live`` blocks: (part, score) at or above the part's threshold, in order.
+
+        A cursor holds its place, parts, impacts, ceiling and block maxima.
+        """
+        theta = float(self.block_least[live].min()) - 1e-9
+        postings, blocks = self.keys
+        parts = len(self.least)
+        at = terms[:, None] * parts + live * BLOCK_ITEMS
+        low, high = np.searchsorted(postings, at), np.searchsorted(postings, np.minimum(at + BLOCK_ITEMS, (terms[:, None] + 1) * parts))
+        top = np.searchsorted(blocks, terms[:, None] * len(self.block_least) + live)
+        cursors = []
+        for i in np.flatnonzero((high > low).any(axis=1)).tolist():
+            inside = np.flatnonzero(high[i] > low[i])
+            spans = [slice(a, b) for a, b in zip(low[i, inside].tolist(), high[i, inside].tolist())]
+            here, impacts = ([x for span in spans for x in column[span].tolist()] for column in (self.post_part, self.post_impact))
+            maxima = dict(zip(live[inside].tolist(), self.block_impact[top[i, inside]].tolist()))
+            cursors.append([0, here, impacts, float(self.ceiling[terms[i]]), maxima])
+        found = []
+        while cursors:
+            cursors.sort(key=lambda c: c[1][c[0]])
+            total, pivot = 0.0, None
+            for c in cursors:
+                total += c[3]
+                if total >= theta:
+                    pivot = c[1][c[0]]
+                    break
+            if pivot is None:
+                break
+            if cursors[0][1][cursors[0][0]] < pivot:  # nothing before the pivot can reach the threshold
+                for c in cursors:
+                    if c[1][c[0]] >= pivot:
+                        break
+                    c[0] = bisect_left(c[1], pivot, c[0])
+            else:
+                here = [c for c in cursors if c[1][c[0]] == pivot]
+                least = float(self.least[pivot]) - 1e-9
+                if sum(c[4][pivot // BLOCK_ITEMS] for c in here) >= least and (score := sum(c[2][c[0]] for c in here)) >= least:
+                    found.append((pivot, score))
+                for c in here:
+                    c[0] += 1
+            cursors = [c for c in cursors if c[0] < len(c[1])]
+        return found
+
+    def held(self, item: int, text: _Text) -> tuple[np.ndarray, np.ndarray]:
+        """Which words of an item lie in sequences of SHINGLE words (all, if it has fewer) that a text shares, and which do or follow on."""
+        own = self.texts[item]
         n = min(SHINGLE, len(own))
+        low, high, order = text.places(grams(own, n), n)
+        hit = np.flatnonzero(high > low)
         depth = np.zeros(len(own) + 1, np.int64)
-        mine, theirs = grams(own, n), grams(hashes, n)
-        hit = np.flatnonzero(np.isin(mine, theirs))
         np.add.at(depth, hit, 1)
         np.add.at(depth, hit + n, -1)
         held = np.cumsum(depth)[:-1] > 0
-        cut = self.answers[part]
-        question, answer = held[:cut] if cut else held, held[cut:] if cut < len(own) else held
-        question, answer = float(question.mean()), float(answer.mean())
-        if not len(hit) or question >= OVERLAP and answer >= OVERLAP:
-            return question, answer, float(held.mean())
-        return question, answer, float((held | _follows(own, hashes, mine, theirs, hit, n)).mean())
+        wide = held.copy()
+        for i in hit[~(held[np.maximum(hit - 1, 0)] & held[np.minimum(hit + n, len(own) - 1)])].tolist():  # sequences beside a gap
+            for at in range(int(low[i]), int(high[i]), 4096):
+                j = order[at : min(at + 4096, int(high[i]))]
+                wide |= _follows(own, text.hashes, np.full(len(j), i), j, n)
+        return held, wide
+
+    def verdict(self, item: int, held: np.ndarray, wide: np.ndarray) -> tuple[float, float, bool]:
+        """Overlap of question and answer (of the whole item where it has one of them alone), and whether the item counts."""
+        cut, size = self.answers[item], len(held)
+        question, answer = (held[:cut], held[cut:]) if 0 < cut < size else (held, held)
+        counts = question.mean() >= OVERLAP and answer.mean() >= OVERLAP
+        if not counts and 0 < cut < size:
+            counts = wide[:cut].mean() >= OVERLAP and wide[cut:].mean() >= OVERLAP
+        if not counts and (not 0 < cut < size or min(cut, size - cut) < SHORT):
+            counts = wide.mean() >= OVERLAP
+        return float(question.mean()), float(answer.mean()), bool(counts)
 
     def links(self, column: pa.Array) -> Iterator[tuple[int, int, int, float, float, float]]:
         """(batch row, item, first word of the passage, score, question and answer overlap), an item once for each row."""
@@ -192,42 +286,51 @@ class Index:
             return
         best: dict[tuple[int, int], tuple] = {}
         for row, passage, part, score in zip(*(x.tolist() for x in self.retrieve(words, hashes))):
-            low = int(words.first[row]) + passage * STRIDE
-            # copies that start late in a passage end after it
-            text = hashes[max(low - STRIDE, int(words.first[row])) : min(low + PASSAGE + STRIDE, int(words.first[row + 1]))]
-            question, answer, whole = self.overlap(part, text)
-            if question >= OVERLAP and answer >= OVERLAP or whole >= OVERLAP:
-                key = row, int(self.items[part])
-                if key not in best or (score, -passage) > (best[key][1], -best[key][0]):
-                    best[key] = passage, score, question, answer
-        for (row, item), (passage, *rest) in sorted(best.items()):
-            yield row, item, passage * STRIDE, *rest
-
-
-def indexes(spark: SparkSession, items: DataFrame, *, item_id: str = "item_id", text: str = "text", limit: int = INDEX_BYTES) -> list:
-    """Broadcast indexes of at most about ``limit`` bytes of item text each; null ids and texts are left out."""
+            key = row, int(self.owner[part])
+            if key not in best or (score, -passage) > (best[key][1], -best[key][0]):
+                best[key] = passage, score
+        last, text = -1, None
+        for (row, item), (passage, score) in sorted(best.items()):
+            if row != last:
+                last, text = row, _Text(hashes[words.first[row] : words.first[row + 1]])
+            question, answer, counts = self.verdict(item, *self.held(item, text))
+            if counts:
+                yield row, int(self.items[item]), passage * STRIDE, score, question, answer
+
+
+def indexes(spark: SparkSession, items: DataFrame, *, item_id: str = "item_id", text: str = "text", limit: int = INDEX_BYTES) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcast indexes of at most about ``limit`` bytes of item text each, one at a time, and whether there are more than one.
+
+    An index is taken back when the next is asked for, so that driver and
+    executors hold one, however large the benchmark is. Null ids and texts are
+    left out.
+    """
     held = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
     size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // limit))
-    out = []
     for p in range(parts):
         rows = held.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).distinct().collect()
         if (index := Index.build([(r["item_id"], r["text"]) for r in rows])) is not None:
-            out.append(spark.sparkContext.broadcast(index))
-    return out
+            shared = spark.sparkContext.broadcast(index)
+            yield shared, parts > 1
+            if parts > 1:
+                shared.unpersist()
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **index: object) -> DataFrame:
     """One row for each document and test item that it holds: see LINKS for the columns.
 
     Documents without a link give no row; null and empty texts have none. Rows of
-    one doc_id, also null, are judged each. Equal items are linked each. Items of
-    fewer than SHINGLE words are not matched. No items or no documents give no rows.
+    one doc_id, also null, are judged each, so equal rows give equal links. Equal
+    items are linked each. An item of fewer than SHINGLE words is matched by its
+    whole word sequence, so one of a single common word marks all documents that
+    have it. No items or no documents give no rows. Very long texts are judged
+    whole, passage by passage.
     """
     spark = docs.sparkSession
     held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = spark.createDataFrame([], LINKS)
-    for shared in indexes(spark, items, **index):
+    for shared, several in indexes(spark, items, **index):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
@@ -237,13 +340,19 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
                     kinds = [pa.int64()] * 3 + [pa.float64()] * 3
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in LINKS.split(", ")])
 
-        out = out.unionByName(held.mapInArrow(run, LINKS))
+        found = held.mapInArrow(run, LINKS)
+        out = out.unionByName(materialise(found, "leaks") if several else found)
     return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", **index: object) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, unchanged and without a shuffle."""
-    for shared in indexes(docs.sparkSession, items, **index):
+    """The rows of ``docs`` that hold no test item, unchanged and without a shuffle.
+
+    Rows are judged each, also repeated ones and those without an id; null and
+    empty texts are clean. Without items or documents, ``docs`` comes back. With
+    more than one index, what each leaves is written before the next.
+    """
+    for shared, several in indexes(docs.sparkSession, items, **index):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text):
@@ -252,6 +361,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", **in
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if several:
+            docs = materialise(docs, "clean")
     return docs
 
 

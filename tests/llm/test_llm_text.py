@@ -194,6 +194,76 @@ def test_long_items_and_several_indexes(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.contamination(docs, items, limit=200).collect()} == {(1, 5)}
 
 
+def test_answers_of_long_items_and_very_short_items(spark):
+    """The question alone of a long item is clean, wherever its answer is missing; short items are matched whole."""
+    question, answer = " ".join(f"ask{i}" for i in range(99)) + " end?", " ".join(f"tell{i}" for i in range(24)) + "."
+    noise = " ".join(f"noise{i}" for i in range(200))
+    far = " ".join(f"far{i}" for i in range(500))
+    texts = {
+        1: f"{noise} {question} {noise}", 2: f"{noise} {question} {answer} {noise}", 3: f"{noise} {answer} {noise}", 4: f"{question} {far} {answer}",
+        5: f"{noise} {question.replace('ask50 ', 'edit ')} {answer.replace('tell12 ', 'edit ')} {noise}", 6: f"{noise} capital of FRANCE, paris {noise}", 7: f"{noise} capital of noise paris", 8: f"{question} {' '.join(answer.split()[:12])} {noise}",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(1, f"{question} {answer}"), (2, "Capital of France? Paris"), (3, "?!"), (4, "Capital of France? Paris")], "item_id long, text string")
+    expected = [(2, 1), (4, 1), (5, 1), (6, 2), (6, 4)]
+    found = decontamination.contamination(docs, items)
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == expected
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.contamination(docs, items, limit=300).collect()) == expected
+    assert sorted(r.doc_id for r in decontamination.decontaminate(docs, items, limit=300).collect()) == [1, 3, 7, 8]
+    twice = docs.unionByName(docs)
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.contamination(twice, items).collect()) == sorted(expected * 2)
+
+
+def test_verdicts_against_brute_force():
+    """Copies of all lengths with edits: the verdict by plain loops over words, given that the item is retrieved."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{i}" for i in range(400)]
+    rows, texts = [], []
+    for i in range(60):
+        size = int(rng.integers(3, 150))
+        words = list(rng.choice(vocabulary, size))
+        cut = int(rng.integers(1, size)) if size > 4 else 0
+        rows.append((i, " ".join(words[:cut]) + ("? " if cut else "") + " ".join(words[cut:])))
+        for edits in (0, 1, 3, size // 6):
+            copy = list(words)
+            for at in rng.choice(size, min(edits, size), replace=False):
+                copy[at] = f"edit{at}"
+            texts.append(" ".join([*rng.choice(vocabulary, 90), *copy, *rng.choice(vocabulary, 70)]))
+    index = decontamination.Index.build(rows)
+    found = {(row, item) for row, item, *_ in index.links(pa.array(texts))}
+
+    def held(own, text):
+        n = min(5, len(own))
+        out = [False] * len(own)
+        grams = {tuple(text[j : j + n]) for j in range(len(text) - n + 1)}
+        for i in range(len(own) - n + 1):
+            if tuple(own[i : i + n]) in grams:
+                out[i : i + n] = [True] * n
+        return out
+
+    for t, text in enumerate(texts):
+        for i, (_, item) in enumerate(rows):
+            own, cut = item.replace("?", "").split(), len(item.split("?")[0].split()) if "?" in item else 0
+            got = held(own, text.split())
+            parts = [got[:cut], got[cut:]] if cut else [got]
+            if all(sum(x) >= 0.8 * len(x) for x in parts):
+                assert (t, i) in found
+            elif sum(got) < 0.35 * len(got):
+                assert (t, i) not in found
+    assert len({i for t, i in found if t % 4 == 0}) == 60
+
+
+def test_walk_and_long_lists(monkeypatch):
+    """Terms whose lists are left unopened lose nothing."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "the of and " + " ".join(rng.choice([f"t{j}" for j in range(300)], 20))) for i in range(300)]
+    texts = pa.array([" ".join(["the", "of", *rows[i][1].split(), "and"]) for i in range(0, 300, 7)])
+    index = decontamination.Index.build(rows)
+    plain = sorted(index.links(texts))
+    monkeypatch.setattr(decontamination, "LONG_LIST", 20)
+    assert sorted(index.links(texts)) == plain and {(a, b) for a, b, *_ in plain} >= {(k, 7 * k) for k in range(len(texts))}
+
+
 def test_decontamination_query_against_brute_force(spark):
     def shingles(t):
         w = re.findall(r"\S+", t.lower())
