@@ -1,9 +1,13 @@
 """URL filter: fixed host and path rules first, association rules over URL tokens for the rest.
 
-Spark's FP-growth mines the token combinations of labelled urls; rules that lead
-to the block label and pass support and confidence are kept unless a part of
-their tokens does as well, and urls are matched through an inverted index that
-holds each rule under its rarest token.
+Spark's FP-growth mines the token combinations of labelled urls. Before that,
+what cannot change a verdict is taken out, so that long or repeated urls don't
+multiply combinations: tokens in too few blocked rows (no rule has them), tokens
+that lead to the block label alone and always (rules by themselves; a longer rule
+with them says no more), and all but one of the tokens that stand in the same
+rows. Rules that lead to the block label and pass support and confidence are
+kept unless leaving out one item keeps the confidence, and urls are matched
+through an inverted index that holds each rule under its rarest item.
 """
 
 from __future__ import annotations
@@ -67,44 +71,74 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array(scheme), suffixes, segments, ext, keys)))
 
 
-def mine_rules(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Rules (rule_id, items, confidence, support, rarest) that lead to the block label.
+def _no_rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame([], "rule_id string, items array<string>, confidence double, support double, rarest string"), spark.createDataFrame([], "token string, item string")
 
-    ``labelled`` has tokens and blocked (boolean). A rule is dropped if a proper
-    part of its items has at least its confidence. With fewer labelled rows than
-    ``min_rows`` there are no rules.
+
+def mine_rules(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rules (rule_id, items, confidence, support, rarest) that lead to the block label, and the item (token, item) of each token that occurs in them.
+
+    ``labelled`` has tokens and blocked (boolean). Tokens of the same rows are one
+    item, named by the least of them; a rule fits a url that has a token of each
+    of its items. A rule is dropped if one item can be left out without loss of
+    confidence. Support counts blocked rows that the rule covers, of all rows.
+    With fewer labelled rows than ``min_rows`` there are no rules. Repeated rows
+    count each.
     """
     spark = labelled.sparkSession
-    schema = "rule_id string, items array<string>, confidence double, support double, rarest string"
-    label = F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))
-    baskets = materialise(labelled.where("tokens is not null").select(F.concat("tokens", label).alias("items")), "baskets")
-    rows = baskets.count()
+    held = labelled.where("tokens is not null and blocked is not null").select("tokens", "blocked")
+    held = materialise(held.withColumn("id", F.monotonically_increasing_id()), "baskets")
+    rows = held.count()
     if rows < min_rows or not rows:
-        return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / rows), minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCKED)))
-    items = F.array_sort("antecedent").alias("items")
-    found = materialise(found.select(items, "confidence", "support").withColumn("rule_id", F.array_join("items", " ")), "rules")
-    part = found.select(F.col("rule_id").alias("part"), F.col("confidence").alias("had"), F.size("items").alias("need"), F.explode("items").alias("item"))
-    whole = found.select("rule_id", "confidence", F.size("items").alias("n"), F.explode("items").alias("item"))
-    pairs = whole.join(part, "item").where("need < n and had >= confidence").groupBy("rule_id", "part", "need").count()
-    kept = found.join(pairs.where("count = need").select("rule_id").distinct(), "rule_id", "left_anti")
-    seen = baskets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("seen"))
-    rarest = kept.select("rule_id", F.explode("items").alias("item")).join(seen, "item").groupBy("rule_id").agg(F.min(F.struct("seen", "item"))["item"].alias("rarest"))
-    return kept.join(rarest, "rule_id").select("rule_id", "items", "confidence", "support", "rarest")
-
-
-def match_rules(urls: DataFrame, rules: DataFrame, *, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
-    """Add rule_id and confidence of the most confident rule whose items are all among ``tokens`` (null if none).
-
-    Equal token sets are matched once, however many rows share them.
+        return _no_rules(spark)
+    least = max(min_support * rows, min_rows)
+    marks = [F.sum(F.xxhash64("id", F.lit(salt)).cast("decimal(20,0)")).alias(f"mark{salt}") for salt in (1, 2)]
+    each = held.select("id", "blocked", F.explode("tokens").alias("token"))  # a token list is distinct: a row counts a token once
+    counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("bad"), *marks)
+    classes = counted.where(F.col("bad") >= least).groupBy("mark1", "mark2", "n", "bad").agg(F.min("token").alias("item"), F.collect_set("token").alias("tokens"))
+    classes = materialise(classes.select("item", "tokens", "n", "bad"), "items")
+    named = classes.select(F.explode("tokens").alias("token"), "item")
+    alone = classes.where("n = bad").select(F.array("item").alias("items"), F.lit(1.0).alias("confidence"), (F.col("bad") / rows).alias("support"))
+    mixed = classes.where("n > bad").select(F.explode(F.array("item")).alias("token"))  # one token stands for its class
+    label = F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))
+    baskets = each.join(mixed, "token", "left_semi").groupBy("id", "blocked").agg(F.collect_set("token").alias("items"))
+    baskets = materialise(baskets.select(F.concat("items", label).alias("items")), "mined")
+    size = baskets.count()
+    found = alone
+    if size:
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / size), minConfidence=min_confidence).fit(baskets)
+        mined = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCKED)))
+        scaled = F.col("support") * (size / rows)
+        found = found.unionByName(mined.select(F.array_sort("antecedent").alias("items"), "confidence", scaled.alias("support")))
+    found = materialise(found.where(F.col("confidence") >= min_confidence).withColumn("rule_id", F.array_join("items", " ")), "rules")
+    # each rule beside those with one item less, found by their own name
+    shorter = found.select("rule_id", "confidence", F.explode(F.transform("items", lambda x: F.array_join(F.array_remove("items", x), " "))).alias("part"))
+    part = found.select(F.col("rule_id").alias("part"), F.col("confidence").alias("had"))
+    idle = shorter.join(part, "part").where("had >= confidence").select("rule_id").distinct()
+    kept = found.join(idle, "rule_id", "left_anti")
+    often = classes.select("item", F.col("n").alias("seen"))
+    rarest = kept.select("rule_id", F.explode("items").alias("item")).join(often, "item").groupBy("rule_id").agg(F.min(F.struct("seen", "item"))["item"].alias("rarest"))
+    rules = materialise(kept.join(rarest, "rule_id").select("rule_id", "items", "confidence", "support", "rarest"), "index")
+    used = rules.select(F.explode("items").alias("item")).distinct()
+    return rules, materialise(named.join(used, "item", "left_semi").select("token", "item"), "named")
+
+
+def match_rules(urls: DataFrame, rules: DataFrame, named: DataFrame, *, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+    """Add rule_id and confidence of the most confident rule that fits ``tokens`` (null if none).
+
+    Of equally confident rules the one with the fewest items wins, then the
+    least rule_id. Equal token sets are matched once, however many rows share them.
     """
-    index = rules.select(F.col("rarest").alias("token"), "rule_id", "items", "confidence")
+    index = rules.select(F.col("rarest").alias("item"), "rule_id", F.col("items").alias("needed"), "confidence")
     if rules.count() <= broadcast_rules:  # counted: at most that many short rows
         index = F.broadcast(index)
-    sets = urls.select("tokens").distinct().withColumn("token", F.explode("tokens"))
-    hits = sets.join(index, "token").where(F.size(F.array_except("items", "tokens")) == 0)
-    best = hits.groupBy("tokens").agg(F.max(F.struct("confidence", "rule_id")).alias("best"))
+    if named.count() <= broadcast_rules:
+        named = F.broadcast(named)
+    sets = urls.select("tokens").distinct()
+    held = sets.withColumn("token", F.explode("tokens")).join(named, "token").groupBy("tokens").agg(F.collect_set("item").alias("items"))
+    hits = held.withColumn("item", F.explode("items")).join(index, "item").where(F.size(F.array_except("needed", "items")) == 0)
+    rank = F.struct((-F.col("confidence")).alias("low"), F.size("needed").alias("size"), "rule_id", "confidence")
+    best = hits.groupBy("tokens").agg(F.min(rank).alias("best"))
     return urls.join(best, "tokens", "left").select(*urls.columns, F.col("best.rule_id"), F.col("best.confidence"))
 
 
@@ -114,8 +148,8 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str,
     The longest fixed rule that fits decides; otherwise a matching mined rule
     blocks and no match allows. ``labelled`` has ``url`` and blocked. Null,
     empty and malformed urls have an empty host and path and are judged by
-    their few tokens. Repeated rows are each judged; input columns of the added
-    names are replaced.
+    their few tokens; very long ones by all of theirs. Repeated rows are each
+    judged; input columns of the added names are replaced, others are kept.
     """
 
     def parsed(df: DataFrame) -> DataFrame:
@@ -123,14 +157,13 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str,
         df = df.withColumn("host", host).withColumn("path", path)
         return df.withColumn("tokens", tokens(F.col(url), F.col("host"), F.col("path")))
 
-    mined = mine_rules(parsed(labelled.select(url, "blocked")), **limits)
+    rules_found, named = mine_rules(parsed(labelled.select(url, "blocked")), **limits)
     added = ["host", "path", "rule", "verdict", "mined_rule", "confidence", "tokens", "rule_id"]
     held = parsed(pages.drop(*[c for c in added if c != url]))
-    judged = match_rules(held, materialise(mined, "mined")).withColumnRenamed("rule_id", "mined_rule")
+    judged = match_rules(held, rules_found, named).withColumnRenamed("rule_id", "mined_rule")
     fixed = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumn("__fixed", fixed)
     guess = F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")
-    return judged.withColumn("rule", F.col("__fixed.rule")).withColumn("verdict", F.coalesce("__fixed.verdict", guess)).drop("__fixed", "tokens")
+    return judged.withColumns({"rule": fixed["rule"], "verdict": F.coalesce(fixed["verdict"], guess)}).drop("tokens")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """URL rules, toxicity, packing, search, token files and sharding: exact round trips, brute force, odd rows."""
 
 import io
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -207,6 +208,64 @@ def test_rules_are_mined_and_pruned(spark):
     assert {r.verdict for r in few.collect()} == {"allow"}
 
 
+def test_long_and_repeated_urls_are_mined(spark):
+    """A template of 40 segments in 30 equal rows, and one with a varying segment, give few combinations."""
+    path = "/".join(f"part-{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(40))
+    rows = [(f"https://spam.example.org/{path}", True)] * 30 + [(f"https://spam.example.org/{path}/{'abcdefghij'[i % 10]}", i % 10 < 9) for i in range(200)]
+    rows += [(f"https://good.example.org/{path}/{'abcdefghij'[i % 10]}?q=1", False) for i in range(100)]
+    df = spark.createDataFrame([(i, u, b, "old") for i, (u, b) in enumerate(rows)], "page_id long, url string, blocked boolean, mined_rule string")
+    found = urls.judge_urls(df, df, rules=()).collect()
+    assert len(found) == len(rows) and all((r.verdict == "block") == ("spam" in r.url) for r in found)
+    rules, named = urls.mine_rules(urls.judge_urls(df, df, rules=()).select("blocked", urls.tokens(urls.F.col("url"), urls.F.col("host"), urls.F.col("path")).alias("tokens")))
+    assert rules.count() < 20 and named.count() >= rules.count()
+
+
+def brute_rules(baskets, min_support, min_confidence, min_rows):
+    """All minimal token sets that lead to the block label, by enumeration."""
+    from itertools import combinations
+
+    every = sorted({t for b, _ in baskets for t in b})
+    share = {}
+    for n in range(1, 4):
+        for items in combinations(every, n):
+            rows = [bad for b, bad in baskets if set(items) <= b]
+            if sum(rows) >= max(min_support * len(baskets), min_rows) and sum(rows) >= min_confidence * len(rows):
+                share[frozenset(items)] = sum(rows) / len(rows)
+    return share
+
+
+def test_url_query_against_brute_force(spark, tmp_path):
+    """The query's verdicts beside enumeration of all rules, on labels that hosts, segments and keys explain in part."""
+    rng = np.random.default_rng(12)
+    rows, labels = [], []
+    for i in range(500):
+        host, section, key = (str(rng.choice(x)) for x in (["a.example.org", "b.example.org", "c.example.net"], ["news", "deal", "win"], ["ref", "page", "x"]))
+        rows.append((i, None if i == 9 else f"http://{host}/{section}/{i}?{key}=1"))
+        bad = section == "win" and key == "ref" or host == "b.example.org" and section == "deal"
+        if i % 7 and i != 9:
+            labels.append((i, int(not bad if rng.random() < 0.95 else bad), 0))
+    labels += [(3, None, None), (7001, 0, 1)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r.page_id: r for r in urls.op1_url_filter(spark, str(tmp_path)).collect()}
+    assert len(found) == 500 and found[9].host == "" and found[9].verdict == "allow"
+
+    def basket(url):
+        host, section, number, key = re.match(r"http://([^/]*)/([a-z]+)/(\d+)\?([a-z]+)=1", url).groups()
+        parts = host.split(".")
+        return {"scheme=http", f"path={section}", "path=0", f"key={key}", *(f"host={'.'.join(parts[i:])}" for i in range(3))}
+
+    text = dict(rows)
+    baskets = [(basket(text[k]), q == 0 or t == 1) for k, q, t in labels if k in text and q is not None]
+    rules = brute_rules(baskets, urls.MIN_SUPPORT, urls.MIN_CONFIDENCE, urls.MIN_ROWS)
+    assert rules
+    for k, url in rows:
+        if url and found[k].rule is None:
+            fits = [c for items, c in rules.items() if items <= basket(url)]
+            assert found[k].verdict == ("block" if fits else "allow") and (not fits or abs(found[k].confidence - max(fits)) < 1e-9)
+    assert {r.verdict for r in found.values() if r.rule is None} == {"allow", "block"}
+
+
 def test_toxicity_query_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
