@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share.
 
     The cluster names it in ``spark.checkpoint.dir``; a temporary folder is set
-    only where that is unset, which is the case in local tests.
+    only where that is unset and driver and executors are one process. A cluster
+    without it is an error, as a folder of the driver would not be shared.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="scholia-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", f"file://{found}")
@@ -50,6 +54,16 @@ def forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Take a scratch table out of the catalog; silent if the session has gone."""
+    if spark.sparkContext._jsc is None:
+        return
+    try:
+        spark.sql(f"drop table if exists {name}")
+    except Exception:  # the gateway may be closing
+        pass
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of finished steps, which a garbage collection tells it of."""
     gc.collect()

@@ -189,6 +189,32 @@ class Model:
         return names, np.clip(score, 0, 1), np.clip(sure, 0, 1)
 
 
+    def spans(self, column: pa.Array) -> list[list[dict]]:
+        """For each row, runs of words of one language in order: first word, words, first byte, end byte, lang and mean chance.
+
+        A word is a run of letters, as the model sees it; bytes are those of the
+        UTF-8 text. Rows without a word have no runs.
+        """
+        features = WordFeatures(*text_buffers(column))
+        words = features.words
+        if not len(words.start):
+            return [[] for _ in range(words.rows)]
+        chances = self.chances(features)
+        best = chances.argmax(axis=1)
+        fresh = np.ones(len(best), bool)
+        fresh[1:] = (best[1:] != best[:-1]) | (words.row[1:] != words.row[:-1])
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(best)) - 1
+        mean = np.add.reduceat(chances[np.arange(len(best)), best], first) / (last - first + 1)
+        out: list[list[dict]] = [[] for _ in range(words.rows)]
+        base = words.offsets
+        for a, b, c in zip(first.tolist(), last.tolist(), mean.tolist()):
+            row = int(words.row[a])
+            at = int(base[row])
+            out[row].append({"first": a - int(words.first[row]), "words": b - a + 1, "start": int(words.start[a]) - at, "end": int(words.end[b]) - at, "lang": self.languages[best[a]], "chance": min(1.0, c)})
+        return out
+
+
 def _plain(features: WordFeatures) -> np.ndarray:
     """Whether a word holds an ASCII letter."""
     words = features.words
@@ -299,6 +325,29 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", sure:
     return docs.mapInArrow(run, schema)
 
 
+SPANS = "array<struct<first:bigint,words:bigint,start:bigint,end:bigint,lang:string,chance:double>>"
+
+
+def label_words(docs: DataFrame, model: Model | None, *, text: str = "text", spans: str = "spans") -> DataFrame:
+    """``docs`` with the languages of its words: a list of runs (see ``Model.spans``), for texts that switch.
+
+    Null, empty and letterless texts have an empty list, as have all without a
+    model. Very long texts are labelled whole. Repeated rows are each labelled;
+    an input column of the added name is replaced; an empty table stays empty.
+    """
+    docs = docs.drop(spans)
+    limit = max(1, TEXT_BYTES * 4 // max(4, len(model.languages) if model else 0))
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("chance", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, limit):
+            found = model.spans(batch.column(text)) if model else [[] for _ in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, spans])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{spans}` {SPANS}"])
+    return docs.mapInArrow(run, schema)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), "text", "lang"))

@@ -33,7 +33,7 @@ class KdTree:
             self.children.append(None)
             low.append(rows.min(axis=0))
             high.append(rows.max(axis=0))
-            if b - a > leaf_rows and (wide := high[node] - low[node]).max() > 0:
+            if b - a > leaf_rows and vectors.shape[1] and (wide := high[node] - low[node]).max() > 0:
                 middle = (b - a) // 2
                 self.order[a:b] = self.order[a:b][np.argpartition(rows[:, int(wide.argmax())], middle)]
                 left = build(a, a + middle)
@@ -76,7 +76,7 @@ class KdTree:
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
 def _exact(vectors: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +108,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, shard_rows: int = S
     own vec_id. Only vectors of a query's length are compared. First each query
     searches the tree of its own shard; the kth score that it finds there is the
     bound with which it enters all others. Queries meet shards in blocks.
+    Vectors of length 0 score 0 with one another. Candidates that share a vec_id
+    are ranked each; queries that share one are one query, that of the least
+    vector. Without queries or vectors there are no rows.
     """
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     shards = max(1, -(-vectors.count() // shard_rows))
     blocks = max(1, -(-queries.count() // query_rows))
     dealt = [F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.col("vec_id").alias("vec_id"), F.col("v").alias("v")]

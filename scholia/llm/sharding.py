@@ -50,27 +50,35 @@ def shard_records(
     Rows are numbered in (shard, bucket) groups of about ``slot_rows`` rows, and
     the groups' counts give each its first slot: no shard meets in one task.
     Null and repeated keys share their key's shard; ``order`` breaks their ties.
-    An empty table stays empty. Input columns of the added names are replaced.
+    An empty table stays empty. Input columns of the added names are replaced,
+    also where key or order has such a name. Rows equal in key and order are
+    interchangeable: they share a bucket.
     """
     n = df.count()
     buckets = max(1, -(-n // (slot_rows * len(weights))))
-    best = F.array_max(_scores(F.col(key), _shards(weights)))
-    out = df.withColumn("__best", best).withColumn("shard", (-F.col("__best")["neg"]).cast("int"))
+    by = [key, *[c for c in order if c != key]]
+    added = ("shard", "slot", "grown_shard")
+    # what rows are ranked by is held aside, as it may have the name of an added column
+    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in added], F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(by)]).alias("__by"))
+    names = [c for c in out.columns if c != "__by"]
+    own = F.col("__by.k0")
+    out = out.withColumn("__best", F.array_max(_scores(own, _shards(weights)))).withColumn("shard", (-F.col("__best")["neg"]).cast("int"))
     if grown_weight is None:
         out = out.withColumn("grown_shard", F.lit(None).cast("int"))
     else:
         extra = F.struct(F.lit(len(weights)).alias("id"), F.lit(float(grown_weight)).alias("weight"))
-        new = _scores(F.col(key), F.array(extra))[0]["score"]
+        new = _scores(own, F.array(extra))[0]["score"]
         out = out.withColumn("grown_shard", F.when(new > F.col("__best")["score"], len(weights)).otherwise(F.col("shard")).cast("int"))
-    salt = [F.xxhash64(F.col(key), *[F.col(c) for c in order], F.lit("slot"))]
-    out = out.drop("__best").withColumn("__bucket", F.pmod(salt[0], F.lit(buckets)).cast("int"))
+    salt = F.xxhash64(*[F.col(f"__by.k{i}") for i in range(len(by))], F.lit("slot"))
+    out = out.drop("__best").withColumn("__bucket", F.pmod(salt, F.lit(buckets)).cast("int"))
     counts = out.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     # shards x buckets rows: one small row for each SLOT_ROWS rows of data
     first = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    within = Window.partitionBy("shard", "__bucket").orderBy(F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order])
+    within = Window.partitionBy("shard", "__bucket").orderBy(*[F.col(f"__by.k{i}").asc_nulls_first() for i in range(len(by))])
     numbered = out.withColumn("__row", F.row_number().over(within))
-    return numbered.join(first, ["shard", "__bucket"]).withColumn("slot", (F.col("__first") + F.col("__row") - 1).cast("long")).drop("__bucket", "__row", "__first")
+    slot = (F.col("__first") + F.col("__row") - 1).cast("long")
+    return numbered.join(first, ["shard", "__bucket"]).select(*names, "shard", "grown_shard", slot.alias("slot"))
 
 
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

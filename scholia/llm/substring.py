@@ -17,7 +17,7 @@ single windows compared.
 
 from __future__ import annotations
 
-import hashlib
+import atexit
 from collections.abc import Iterator
 from itertools import compress
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import materialise, release, scratch, slices, table
+from scholia.llm.common import drop_table, materialise, release, scratch, slices, table
 from scholia.llm.words import Words, grams, mix, text_buffers
 
 WINDOW = 13
@@ -219,6 +219,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc
     place = scratch(spark, "texts")
     name = "scholia_" + place.rsplit("-", 1)[1]
     held.repartition(buckets, "row").write.bucketBy(buckets, "row").option("path", place).option("compression", "zstd").saveAsTable(name)
+    atexit.register(drop_table, spark, name)  # its files go with the scratch path
     release(spark)
     whole = spark.table(name)
     texts = whole.select("doc_id", "text", "row")

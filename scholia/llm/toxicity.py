@@ -263,9 +263,16 @@ def learn_lexicon(rows: DataFrame, *, entries: int = LEXICON, min_docs: int = MI
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """A model from rows (key, text, toxic); null unless both labels occur in the parts that grow and grade it."""
+    """A model from rows (key, text, toxic); null unless both labels occur in the parts that grow and grade it.
+
+    Rows of one key, also of a null one, count once: the text with the least
+    hash, toxic if any of them is. So the caller's bound on keys bounds all that
+    is collected, however often a row is repeated.
+    """
     part = F.pmod(F.xxhash64("key", F.lit("part")), F.lit(20))
-    held = materialise(labelled.select("text", F.col("toxic").cast("long").alias("toxic"), part.alias("part")), "labelled")
+    own = F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text"))
+    once = labelled.groupBy("key").agg(F.min(own)["text"].alias("text"), F.max(F.col("toxic").cast("long")).alias("toxic"))
+    held = materialise(once.select("text", "toxic", part.alias("part")), "labelled")
     lexicon = learn_lexicon(held.where("part < 10"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,8 +300,10 @@ def held_out(key: Column) -> Column:
 def score_toxicity(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from 0.5 on).
 
-    Null and empty texts get the score of an empty text. Without a model every
-    score is 0. Input columns of the added names are replaced.
+    Null and empty texts get the score of an empty text, very long ones are
+    scored whole. Repeated rows are each scored, and alike. Without a model every
+    score is 0. Input columns of the added names are replaced; an empty table
+    stays empty.
     """
     docs = docs.drop("score", "predicted")
 
@@ -310,7 +319,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, *, text: str = "text")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
-    sample = labels.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(SAMPLE_ROWS)
+    sample = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(SAMPLE_ROWS)
     model = fit(docs.join(sample, "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic"))
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")

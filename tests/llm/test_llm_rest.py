@@ -1,7 +1,9 @@
 """URL rules, toxicity, packing, search, token files and sharding: exact round trips, brute force, odd rows."""
 
 import io
+import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +11,8 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from scholia.llm import binary, common, packing, search, sharding, tokens, toxicity, urls
 
@@ -41,11 +45,12 @@ def test_packed_ids_come_back(bits):
 def test_file_random_access():
     rng = np.random.default_rng(2)
     docs = [(i if i % 5 else None, rng.integers(0, 50257, rng.integers(0, 500)).astype(np.uint32)) for i in range(200)]
-    writer = binary.BlockWriter(16, 128)
+    out = io.BytesIO()
+    writer = binary.BlockWriter(out, 16, 128)
     for k, ids in docs:
         writer.add(k, ids)
-    out = io.BytesIO()
-    writer.write(out)
+        assert writer._held < 128  # blocks are written as they fill
+    writer.close()
     reader = binary.BlockReader(out)
     every = np.concatenate([x for _, x in docs])
     assert reader.n_ids == len(every) and binary.bits_for(50257) == 16
@@ -77,6 +82,48 @@ def test_token_files_round_trip(spark):
     assert [r.doc_id for r in sorted(binary.read_token_files(spark, files).collect(), key=lambda r: r.start)] == [None, None, 2, 2]
 
 
+def test_token_files_split_a_repeated_id(spark):
+    """A third of the rows share one id, and half of those the text: several files share them, in order and whole."""
+    rows = [(7 if i % 3 == 0 else i, "same" if i % 6 == 0 else f"text {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    files = binary.write_token_files(docs, common.scratch(spark, "t"), tokenizer=tokens.default_tokenizer(), partitions=6)
+    assert len(files) > 3 and max(f["docs"] for f in files) < 200
+    found = sorted(binary.read_token_files(spark, files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted(k for k, _ in rows)
+    at = 0
+    for r in found:
+        assert r.start == at
+        at += r.n_tokens
+    assert sorted((r.doc_id, r.ids_crc32) for r in found) == sorted((k, zlib.crc32(np.array(plain(t), "<u4").tobytes())) for k, t in rows)
+    assert binary.file_count(spark, 0) == 1 and binary.file_count(spark, 9 << 20) == 3 and binary.file_count(spark, 100 << 40) == 409600
+
+
+def test_token_query_against_brute_force(spark):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    start, expected = 0, []
+    for k, t in docs:
+        ids = plain(t)
+        expected.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, binary.op9_token_binary(spark, SF).collect())) == expected
+
+
+def test_packing_query_against_brute_force(spark):
+    """Every id of every document in exactly one piece, sequences gapless and at most 1024 long."""
+    docs = {r.doc_id: np.array(plain(r.text), "<u4") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = packing.op4_packing(spark, SF).collect()
+    at, ends = defaultdict(int), defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        ids = docs[r.doc_id]
+        assert r.start == at[r.doc_id] and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        at[r.doc_id] += r.length
+    assert at == {k: len(v) for k, v in docs.items()}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 1024
+
+
 def test_packing_holds_every_id_once(spark):
     docs = frame(spark, ODD * 8)
     rows = packing.pack_documents(docs, tokenizer=tokens.default_tokenizer()).collect()
@@ -141,6 +188,15 @@ def test_search_with_large_integers(spark):
     assert found == [5, 4, 3]
 
 
+def test_search_with_empty_vectors_and_repeated_ids(spark):
+    rows = [(i, []) for i in range(200)] + [(300, [1]), (300, [1]), (301, [2]), (302, [3])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    found = sorted(map(tuple, search.top_k(vectors, vectors.where("vec_id in (0, 300)"), 2).collect()))
+    assert found == [(0, 1, 1, 0), (0, 2, 2, 0), (300, 1, 302, 3), (300, 2, 301, 2)]
+    found = sorted(map(tuple, search.top_k(vectors, vectors.where("vec_id = 302"), 3).collect()))
+    assert found == [(302, 1, 301, 6), (302, 2, 300, 3), (302, 3, 300, 3)]
+
+
 def test_kd_tree_is_exact_and_prunes():
     rng = np.random.default_rng(4)
     vectors = rng.integers(-50, 50, (2000, 3)).astype(float)
@@ -175,6 +231,33 @@ def test_sharding_query(spark):
     assert all(r.law == "key" and 0 <= r.shard < 40 and r.grown_shard in (r.shard, 40) for r in rows)
 
 
+def brute_shard(key, shards):
+    """The shard by the published XXH64 of key and shard number, each hash seeding the next."""
+    best = (-1.0, 0)
+    for i in range(shards):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", i), h)
+        best = max(best, (-1 / math.log(((h >> 11) + 0.5) / (1 << 53)), -i))
+    return -best[1]
+
+
+def test_sharding_query_against_brute_force(spark):
+    rows = sharding.op10_rendezvous_sharding(spark, SF).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        assert (r.shard, r.grown_shard) == (brute_shard(r.doc_id, 40), brute_shard(r.doc_id, 41))
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_sharding_with_clashing_names(spark):
+    df = spark.createDataFrame([(i, f"s{i % 3}", i % 2, "kept") for i in range(50)] + [(None, None, None, None)], "shard long, slot string, grown_shard int, other string")
+    held = sharding.shard_records(df, "shard", [1.0, 1.0], grown_weight=2.0, order=("slot",), slot_rows=5)
+    assert held.columns == ["other", "shard", "grown_shard", "slot"] and held.count() == 51
+    plain_keys = sharding.shard_records(df.select(F.col("shard").alias("id"), "other"), "id", [1.0, 1.0], grown_weight=2.0)
+    assert Counter(r.shard for r in held.collect()) == Counter(r.shard for r in plain_keys.collect())
+
+
 def test_urls_are_judged(spark):
     cases = [
         ("http://a.com/x?q", "a.com", "/x", "com/", "allow"),
@@ -286,6 +369,18 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_repeated_and_contradicting_rows(spark):
+    """A key counts once however often it is repeated; with both labels it is toxic."""
+    rows = [(i, f"you are a horrid fool number{i}" if i % 2 else f"the calm river number{i}", i % 2) for i in range(400)]
+    once = spark.createDataFrame(rows, "key long, text string, toxic int")
+    often = once.unionByName(spark.createDataFrame([rows[7]] * 3000 + [(9, rows[9][1], 0), (None, "the calm river", 0)], once.schema))
+    models = [toxicity.fit(x) for x in (once, often)]
+    docs = spark.createDataFrame([(1, "you horrid fool"), (1, "you horrid fool"), (2, "calm river")], "doc_id long, text string")
+    for model in models:
+        found = [(r.doc_id, r.predicted) for r in toxicity.score_toxicity(docs, model).collect()]
+        assert sorted(found) == [(1, 1), (1, 1), (2, 0)]
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
     score = rng.normal(size=500)

@@ -357,3 +357,28 @@ def test_every_language_is_learned(spark):
     found = language.identify(docs, model).collect()
     assert sum(r.lang_pred == r.lang for r in found) >= 0.97 * len(rows)
     assert all(any(r.lang_pred == r.lang for r in found if r.lang == lang) for lang in ("l00", "l39"))
+
+
+def test_words_of_mixed_texts_are_labelled(spark):
+    """Spliced texts: the runs cover all words in order and mostly change where the text does."""
+    own = {lang: [f"{a}{b}{a}" for a in letters for b in letters] for lang, letters in {"aa": "bcdf", "bb": "klmn", "cc": "prst"}.items()}
+    rng = np.random.default_rng(2)
+    model = language.train([(" ".join(rng.choice(own[lang], 40)), lang) for lang in own for _ in range(60)])
+    truth, texts = [], []
+    for _ in range(30):
+        parts = [(lang, int(rng.integers(5, 40))) for lang in rng.permutation(list(own))]
+        truth.append([lang for lang, n in parts for _ in range(n)])
+        texts.append("  ".join(", ".join(rng.choice(own[lang], n)) for lang, n in parts))
+    rows = [*enumerate(texts), (100, None), (101, ""), (102, "12 !!"), (103, "bcb " * 40_000)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, spans int")
+    found = {r.doc_id: r.spans for r in language.label_words(docs, model).collect()}
+    right = total = 0
+    for i, labels in enumerate(truth):
+        got = [s.lang for s in found[i] for _ in range(s.words)]
+        assert len(got) == len(labels) and [s["first"] for s in found[i]] == np.cumsum([0, *(s.words for s in found[i])])[:-1].tolist()
+        assert all(re.findall("[a-z]+", texts[i].encode()[s.start : s.end].decode()) for s in found[i])
+        assert found[i][0].start == 0 and found[i][-1].end == len(texts[i].encode()) and all(0 < s.chance <= 1 for s in found[i])
+        right, total = right + sum(a == b for a, b in zip(got, labels)), total + len(labels)
+    assert right >= 0.97 * total
+    assert found[100] == found[101] == found[102] == [] and [(s.lang, s.words) for s in found[103]] == [("aa", 40_000)]
+    assert language.label_words(docs.limit(0), model).count() == 0 and all(r.spans == [] for r in language.label_words(docs, None).collect())
