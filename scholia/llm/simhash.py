@@ -14,8 +14,10 @@ from scholia.llm.common import materialise, slices, table
 from scholia.llm.components import connected
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Fingerprints that one side of a comparison task holds, and those of a tile in it.
-BLOCK, TILE = 1 << 16, 256
+#: Least and greatest number of fingerprints of a block, one side of a comparison; blocks that a table has between these; fingerprints of a tile.
+LEAST_BLOCK, BLOCK, BLOCKS, TILE = 1 << 11, 1 << 16, 32, 256
+#: Pairs of blocks up to which their list is broadcast; with more it is joined.
+BROADCAST_PAIRS = 200_000
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _LANES = np.uint64(0x0101010101010101)
 
@@ -122,32 +124,82 @@ def close_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS
     return nodes[moved], nodes[top[moved]]
 
 
-def _bits(fp: Column) -> Column:
-    return F.bit_count(fp)
+def _cell(fp: Column) -> Column:
+    """The bit counts of the four quarters as one number below 17 ** 4."""
+    quarters = [F.bit_count(F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
+    out = F.lit(0)
+    for q in quarters:
+        out = out * 17 + q
+    return out.cast("int")
 
 
-def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def blocks(cells: dict[int, int], block: int) -> tuple[dict[int, int], list[tuple[np.ndarray, np.ndarray, int]]]:
+    """Boxes of cells with at most ``block`` fingerprints each; a heavier single cell is salted.
+
+    Cells are halved by the bits in all until a box has one such count, then along
+    the widest quarter. Returns each cell's box and, for each box, its least and greatest
+    counts and number of salts.
+    """
+    codes = np.array(sorted(cells))
+    counts = np.array([cells[c] for c in codes.tolist()])
+    places = np.stack([codes // 17**i % 17 for i in (3, 2, 1, 0)], 1)
+    places = np.column_stack([places, places.sum(axis=1)])
+    owner: dict[int, int] = {}
+    boxes: list[tuple[np.ndarray, np.ndarray, int]] = []
+    todo = [np.arange(len(codes))]
+    while todo:
+        part = todo.pop()
+        low, high = places[part].min(axis=0), places[part].max(axis=0)
+        size = int(counts[part].sum())
+        if size > block and len(part) > 1:
+            axis = 4 if high[4] > low[4] else int((high - low).argmax())
+            order = part[np.argsort(places[part, axis], kind="stable")]
+            values = places[order, axis]
+            edges = np.flatnonzero(values[1:] != values[:-1]) + 1
+            half = np.cumsum(counts[order])[edges - 1] - size / 2
+            cut = int(edges[np.abs(half).argmin()])
+            todo += [order[cut:], order[:cut]]
+            continue
+        owner |= dict.fromkeys(codes[part].tolist(), len(boxes))
+        boxes.append((low, high, max(1, -(-size // block))))
+    return owner, boxes
+
+
+def _meetings(boxes: list[tuple[np.ndarray, np.ndarray, int]], radius: int) -> Iterator[tuple[int, int, int]]:
+    """(box, first block, last block) of the blocks that a box's fingerprints must meet: its own and those whose counts can be within the radius.
+
+    The salts of a box are blocks with consecutive numbers.
+    """
+    low, high = np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
+    ends = np.cumsum([b[2] for b in boxes])
+    for i in range(len(boxes)):
+        gap = np.maximum(low[i] - high, 0) + np.maximum(low - high[i], 0)
+        for j in np.flatnonzero(np.maximum(gap[:, :4].sum(axis=1), gap[:, 4]) <= radius).tolist():
+            yield i, int(ends[j]) - boxes[j][2], int(ends[j]) - 1
+
+
+def links(prints: DataFrame, radius: int = RADIUS, block: int | None = None) -> DataFrame:
     """Links (u, v) between different fingerprints that connect all those within ``radius`` bits.
 
-    ``prints`` holds each fingerprint once. A block has one bit count and, where
-    that has more than ``block`` fingerprints, one of several hash salts; a
-    block meets those whose bit count differs by at most the radius.
+    ``prints`` holds each fingerprint once. A fingerprint's block is a box of bit
+    counts of the four quarters, salted where one cell has more than ``block``
+    fingerprints; a block meets those whose box lies within the radius, so most
+    pairs of blocks are never dealt.
     """
-    ones = prints.select("fp", _bits(F.col("fp")).cast("int").alias("ones"))
-    sizes = {r["ones"]: -(-r["count"] // block) for r in ones.groupBy("ones").count().collect()}  # at most 65 rows
-    if not sizes:
+    spark = prints.sparkSession
+    celled = prints.select("fp", _cell(F.col("fp")).alias("cell"))
+    cells = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}  # at most 17 ** 4 rows
+    if not cells:
         return prints.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
-    names = [(k, s) for k in sorted(sizes) for s in range(sizes[k])]
-    number = {name: i for i, name in enumerate(names)}
-    salts = F.create_map(*[F.lit(x) for k in sizes for x in (k, sizes[k])])
-    # block numbers of a bit count are consecutive, so its blocks are a range
-    first = F.create_map(*[F.lit(x) for k in sizes for x in (k, number[k, 0])])
-    known = sorted(sizes)
-    reach = {k: [number[m, s] for m in known if abs(m - k) <= radius for s in range(sizes[m])] for k in known}
-    low = F.create_map(*[F.lit(x) for k in known for x in (k, reach[k][0])])
-    high = F.create_map(*[F.lit(x) for k in known for x in (k, reach[k][-1])])
-    own = ones.withColumn("own", first[F.col("ones")] + F.pmod(F.xxhash64("fp"), salts[F.col("ones")].cast("long")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(low[F.col("ones")], high[F.col("ones")])))
+    block = block or min(BLOCK, max(LEAST_BLOCK, -(-sum(cells.values()) // BLOCKS)))
+    owner, boxes = blocks(cells, block)
+    ends = np.cumsum([b[2] for b in boxes]).tolist()
+    home = spark.createDataFrame([(c, i, ends[i] - boxes[i][2], boxes[i][2]) for c, i in owner.items()], "cell int, box int, base int, salts int")
+    meet = list(_meetings(boxes, radius))
+    others = spark.createDataFrame(meet, "box int, low int, high int")
+    others = F.broadcast(others) if len(meet) <= BROADCAST_PAIRS else others
+    own = celled.join(F.broadcast(home), "cell").withColumn("own", F.col("base") + F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))  # at most 17 ** 4 rows are sent
+    dealt = own.join(others, "box").withColumn("other", F.explode(F.sequence("low", "high")))
     dealt = dealt.select("fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
 
     def compare(got: pa.Table) -> pa.Table:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -149,6 +150,32 @@ def test_small_blocks_give_the_same_groups(spark):
     assert groups[0] == groups[1]
 
 
+def test_blocks_cover_all_cells_and_meet_all_neighbours(spark):
+    rng = np.random.default_rng(9)
+    prints = rng.integers(-(1 << 63), 1 << 63, 3000, dtype=np.int64)
+    prints[:800] = prints[0] ^ (1 << rng.integers(0, 62, 800)) ^ (1 << rng.integers(0, 62, 800))
+    frame = spark.createDataFrame([(int(p),) for p in np.unique(prints)], "fp long")
+    cells = {r.cell: r["count"] for r in frame.select(simhash._cell(simhash.F.col("fp")).alias("cell")).groupBy("cell").count().collect()}
+    owner, boxes = simhash.blocks(cells, 100)
+    places = {c: np.array([c // 17**i % 17 for i in (3, 2, 1, 0)]) for c in cells}
+    sizes = Counter()
+    for c, n in cells.items():
+        low, high, _ = boxes[owner[c]]
+        assert (low[:4] <= places[c]).all() and (places[c] <= high[:4]).all() and low[4] <= places[c].sum() <= high[4]
+        sizes[owner[c]] += n
+    assert all(n <= 100 * boxes[i][2] for i, n in sizes.items())
+    ends = np.cumsum([b[2] for b in boxes])
+    reach = {(i, int(np.searchsorted(ends, low, "right"))) for i, low, high in simhash._meetings(boxes, 4)}
+    for a in cells:
+        for b in cells:
+            if np.abs(places[a] - places[b]).sum() <= 4:
+                assert (owner[a], owner[b]) in reach
+    assert len(reach) < len(boxes) ** 2  # some pairs are never dealt
+    expected = brute_components([(int(p), int(p)) for p in np.unique(prints)], 4)
+    found = {r.node: r.root for r in connected(simhash.links(frame, 4, 100)).collect()}
+    assert {k: v for k, v in expected.items() if k != v} == found
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (1, 0)]
     found = {r.node: r.root for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
