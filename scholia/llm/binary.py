@@ -184,7 +184,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str
 
     Returns a row for each file in that order: path, docs, ids, and ``before``,
     the ids in earlier files. Null ids come first; rows of one id, which several
-    files may share, come in order of a hash of their text. A null text holds the
+    files may share, come in the order of the scan. A null text holds the
     end id alone, an empty table gives no files. Without ``partitions`` the
     number of files follows the bytes of text. A task writes under a name of its
     own and reports it when it has ended, so a lost or repeated task leaves at
@@ -193,9 +193,9 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, doc_id: str
     spark = docs.sparkSession
     held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     count = partitions or file_count(spark, held.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
-    # the last key deals rows that are equal otherwise to several files
-    order = [F.col("doc_id").asc_nulls_first(), F.col("__hash").asc(), F.col("__row").asc()]
-    held = held.withColumns({"__hash": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
+    # the second key deals rows of one id to several files; texts aren't read to find the ranges
+    order = [F.col("doc_id").asc_nulls_first(), F.col("__row").asc()]
+    held = held.withColumn("__row", F.monotonically_increasing_id())
     ranged = held.repartitionByRange(count, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
