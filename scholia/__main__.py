@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from scholia.operators.structure import Manuscript
 from scholia.sources.manuscripts import read_manuscripts
-from scholia.sources.sinks import exit_code, finding_lines, write_findings
+from scholia.sources.sinks import exit_code, finding_lines, graph_pages, project_pages, write_findings, write_pages
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -19,16 +19,27 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--out", help="write the findings here instead")
     parser.add_argument("--format", choices=("text", "json", "parquet"), default="text")
     parser.add_argument("--fail-on", choices=("info", "warning", "error", "never"), default="error")
+    parser.add_argument("--main", default="main", help="name of a project's main file, without suffix")
+    parser.add_argument("--graph", help="write a page with each project's argument graph here")
+    parser.add_argument("--report", help="write a page with each project's results and findings here")
+    parser.add_argument("--partitions", type=int, default=4, help="shuffle partitions; a folder on one machine is small")
     args = parser.parse_args(argv)
-    spark = SparkSession.builder.appName("scholia").getOrCreate()
-    findings = Manuscript(read_manuscripts(spark, args.folder)).findings()
+    spark = SparkSession.builder.appName("scholia").config("spark.sql.shuffle.partitions", args.partitions).config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    manuscripts = Manuscript(read_manuscripts(spark, args.folder, main=args.main))
+    findings = manuscripts.keep(manuscripts.findings(), "findings")
     if args.out:
         write_findings(findings, args.out, args.format)
     else:
         lines = finding_lines(findings)
         for row in (lines.limit(args.limit) if args.limit else lines).toLocalIterator():
             print(row.value)
-    return exit_code(findings, args.fail_on)
+    if args.graph:
+        write_pages(graph_pages(manuscripts), args.graph)
+    if args.report:
+        write_pages(project_pages(findings, manuscripts.results), args.report)
+    code = exit_code(findings, args.fail_on)
+    manuscripts.release()
+    return code
 
 
 if __name__ == "__main__":

@@ -1,6 +1,8 @@
 """Source scanner: macros, environments, math, comments and defects of a LaTeX text, with exact spans.
 
-Offsets are code points, spans half-open, lines counted from 1. Braces nest, so
+Offsets are code points, spans half-open, lines and columns counted from 1.
+Scanning goes on behind a command's name, so macros inside arguments are facts
+too; only comments and literal environments are passed over. Braces nest, so
 this is a small machine and no SQL expression; it runs over Arrow batches.
 """
 
@@ -18,7 +20,9 @@ ARITY = {"begin": 1, "end": 1, "label": 1, "ref": 1, "eqref": 1, "autoref": 1, "
 #: Macros that define macros; their replacement is the fact's text.
 COMMANDS = ("newcommand", "renewcommand", "providecommand")
 LITERAL = ("verbatim", "lstlisting", "minted", "comment")
-SCHEMA = "project_id long, ord int, kind string, name string, arg string, option string, s int, e int, bs int, be int, sl int, el int, text string, before string, behind string, label string, proof_s int, proof_line int, proof_bs int, proof_be int, proof string"
+#: Environments that are no results and may hold a whole file; facts carry no text of theirs.
+STRUCTURAL = ("document", "figure", "figure*", "table", "table*", "center", "itemize", "enumerate", "description", "quote", "quotation", "appendix", "appendices", "abstract", "minipage", "subequations", "landscape", "multicols", "frame")
+SCHEMA = "project_id long, ord int, kind string, name string, arg string, option string, s int, e int, bs int, be int, sl int, el int, text string, before string, behind string, sc int, ec int, nested boolean, label string, proof_s int, proof_line int, proof_bs int, proof_be int, proof string"
 #: Fixed value: the longest gap between an environment and its proof in lines.
 PROOF_GAP = 40
 #: Characters of context that a formula carries on its left and right.
@@ -28,10 +32,12 @@ _MARK = re.compile(r"\\(?:([A-Za-z]+)(\*?)|(.))|%[^\n]*|\$\$?", re.DOTALL)
 _FEED = re.compile("\n")
 _SPACE = re.compile(r"[ \t]*")
 _COMMAND = re.compile(r"[ \t]*(\\[A-Za-z@]+)")
+_ARGUMENT = re.compile(r"\\(?:[A-Za-z@]+\*?|.)\s*\Z", re.DOTALL)
+_INNER = re.compile(r"\\.|[{}]|%[^\n]*", re.DOTALL)
 
 
 def group(text: str, at: int, opening: str = "{", closing: str = "}") -> tuple[str, int] | None:
-    """The balanced group that starts at ``at`` and the offset after it; escaped braces don't count."""
+    """The balanced group that starts at ``at`` and the offset after it; escaped braces and comments don't count."""
     if at >= len(text) or text[at] != opening:
         return None
     depth, i = 0, at
@@ -40,7 +46,12 @@ def group(text: str, at: int, opening: str = "{", closing: str = "}") -> tuple[s
         if c == "\\":
             i += 2
             continue
-        if c == opening:
+        if c == "%":
+            feed = text.find("\n", i)
+            if feed < 0:
+                return None
+            i = feed
+        elif c == opening:
             depth += 1
         elif c == closing:
             depth -= 1
@@ -50,10 +61,34 @@ def group(text: str, at: int, opening: str = "{", closing: str = "}") -> tuple[s
     return None
 
 
+def in_argument(text: str, at: int) -> bool:
+    """Whether ``at`` lies in a braced argument of some macro."""
+    open_at: list[int] = []
+    for found in _INNER.finditer(text, 0, at):
+        if found[0] == "{":
+            open_at.append(found.start())
+        elif found[0] == "}" and open_at:
+            open_at.pop()
+    for brace in open_at:
+        if group(text, brace) is None:
+            continue
+        before = text[max(0, brace - 400) : brace].rstrip()
+        while before and before[-1] in "]}":  # earlier arguments of the same macro
+            cut = before.rfind("[" if before[-1] == "]" else "{")
+            if cut < 0:
+                break
+            before = before[:cut].rstrip()
+        if _ARGUMENT.search(before):
+            return True
+    return False
+
+
 def scan(text: str) -> list[tuple]:
-    """Facts (kind, name, arg, option, s, e, body s, body e, first line, last line, text, context) in source order.
+    """Facts (kind, name, arg, option, s, e, body s, body e, first line, last line, text, context, columns, nested) in source order.
 
-    The context, for formulas alone, is the text shortly before and behind.
+    The context, for formulas alone, is the text shortly before and behind. An
+    include inside another macro's argument is nested. A macro whose required
+    argument isn't complete has no arg.
     """
     lines = [m.start() for m in _FEED.finditer(text)]
 
@@ -62,9 +97,13 @@ def scan(text: str) -> list[tuple]:
 
     facts: list[tuple] = []
 
-    def add(kind, name, arg, option, s, e, bs=None, be=None, body=None) -> None:
+    def column(at: int) -> int:
+        n = bisect_right(lines, at - 1)
+        return at - (lines[n - 1] + 1 if n else 0) + 1
+
+    def add(kind, name, arg, option, s, e, bs=None, be=None, body=None, nested=None) -> None:
         context = (text[max(0, s - BEFORE) : s], text[e : e + BEHIND]) if kind == "math" else (None, None)
-        facts.append((kind, name, arg, option, s, e, bs, be, line(s), line(max(s, e - 1)), body, *context))
+        facts.append((kind, name, arg, option, s, e, bs, be, line(s), line(max(s, e - 1)), body, *context, column(s), column(e), nested))
 
     stack: list[tuple] = []
     math: tuple[str, int, int] | None = None
@@ -111,9 +150,11 @@ def scan(text: str) -> list[tuple]:
                     end = got[1]
                 if name == "begin" and args and (got := group(text, end, "[", "]")):
                     option, end = got
-                at = end
+                if name in ("begin", "end"):
+                    at = _name_end(text, at, end)
             arg = args[0].strip() if args else None
-            add("macro", name, arg, option, s, end, body=args[1] if name in COMMANDS and len(args) > 1 else None)
+            nested = in_argument(text, s) if name in ("input", "include") else None
+            add("macro", name, arg, option, s, end, body=args[1] if name in COMMANDS and len(args) > 1 else None, nested=nested)
             if name == "begin" and arg:
                 if arg in LITERAL:
                     close = text.find("\\end{" + arg + "}", end)
@@ -129,7 +170,7 @@ def scan(text: str) -> list[tuple]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == arg:
                         _, bs, body, opt = stack.pop(i)
-                        add("env", arg, None, opt, bs, end, body, s, text[body:s])
+                        add("env", arg, None, opt, bs, end, body, s, None if arg in STRUCTURAL else text[body:s])
                         break
                 else:
                     add("defect", "unopened", arg, None, s, end)
@@ -140,11 +181,18 @@ def scan(text: str) -> list[tuple]:
     return sorted(facts, key=lambda f: (f[4], -f[5]))
 
 
+def _name_end(text: str, at: int, end: int) -> int:
+    """Where scanning goes on behind ``begin`` or ``end``: after the environment's name, before its options."""
+    found = group(text, _SPACE.match(text, at).end())
+    return min(found[1], end) if found else at
+
+
 def attached(facts: list[tuple]) -> Iterator[tuple]:
     """For each fact, in order: the first label in an environment's body, and start, line, body span and body of the first proof behind it.
 
     A file is scanned as a whole, so both are found here and need no join. The
-    proof is null if it starts more than ``PROOF_GAP`` lines after the environment.
+    proof is null if it starts more than ``PROOF_GAP`` lines after the environment,
+    and for structural environments and proofs themselves.
     """
     labels = [(f[4], f[5], f[2]) for f in facts if f[0] == "macro" and f[1] == "label" and f[2] is not None]
     proofs = [(f[4], f[8], f[6], f[7], f[10]) for f in facts if f[0] == "env" and f[1] == "proof"]
@@ -154,17 +202,17 @@ def attached(facts: list[tuple]) -> Iterator[tuple]:
         if f[0] == "env":
             if (i := bisect_left(label_starts, f[6])) < len(labels) and labels[i][1] <= f[7]:
                 label = labels[i][2]
-            if (i := bisect_left(proof_starts, f[5])) < len(proofs) and proofs[i][1] - f[9] <= PROOF_GAP:
+            if f[1] not in STRUCTURAL and f[1] != "proof" and (i := bisect_left(proof_starts, f[5])) < len(proofs) and proofs[i][1] - f[9] <= PROOF_GAP:
                 proof = proofs[i]
         yield label, *proof
 
 
 def scan_manuscripts(manuscripts: DataFrame) -> DataFrame:
-    """One row for each fact; environments and math carry their body's text, environments their label and proof. Null raw has no facts."""
+    """One row for each fact; math and all but structural environments carry their body's text, environments their label and proof. Null raw has no facts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.int32(), *[pa.string()] * 4, *[pa.int32()] * 6, *[pa.string()] * 4, *[pa.int32()] * 4, pa.string()]
+        kinds = [pa.int64(), pa.int32(), *[pa.string()] * 4, *[pa.int32()] * 6, *[pa.string()] * 3, *[pa.int32()] * 2, pa.bool_(), pa.string(), *[pa.int32()] * 4, pa.string()]
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)

@@ -12,9 +12,9 @@ _NAMES = re.compile(_NAME)
 _ONE = re.compile(rf"\s*({_NAME})\s*$")
 _SEVERAL = re.compile(rf"\s*{_NAME}(?:\s*,\s*{_NAME})+\s*$")
 _MAP = re.compile(rf"\s*({_NAME})\s*(?::|\\colon(?![A-Za-z]))\s*.+?\s*\\(?:to|rightarrow|longrightarrow)(?![A-Za-z])\s*.+?\s*$")
-_FUNCTION = re.compile(rf"\s*({_NAME})\s*\([^()]*\)\s*(?::=|=|\\coloneqq)\s*.+?\s*$")
-_EQUAL = re.compile(rf"\s*({_NAME})\s*(?::=|=|\\coloneqq)\s*.+?\s*$")
-_RELATION = re.compile(rf"\s*({_NAME})\s*(>|<|\\(?:geq?|leq?|in)(?![A-Za-z]))\s*.+?\s*$")
+_FUNCTION = re.compile(rf"\s*({_NAME})\s*\([^()]*\)\s*(:=|=|\\coloneqq)\s*(.+?)\s*$")
+_EQUAL = re.compile(rf"\s*({_NAME})\s*(:=|=|\\coloneqq)\s*(.+?)\s*$")
+_RELATION = re.compile(rf"\s*({_NAME})\s*(>|<|\\(?:geq?|leq?|in)(?![A-Za-z]))\s*(.+?)\s*$")
 _QUANTIFIER = re.compile(rf"\\(?:forall|exists)(?![A-Za-z])\s*({_NAME})")
 _CUES = (("let", re.compile(r"(?i)\blet\s*$")), ("for", re.compile(r"(?i)\bfor(?:\s+(?:each|every))?\s*$")), ("define", re.compile(r"(?i)\bdefine\s*$")), ("set", re.compile(r"(?i)\bset\s*$")))
 _BE = re.compile(r"(?i)\s+be\b")
@@ -57,6 +57,15 @@ def introduced(formula: str, kind: str) -> list[tuple[str, int, str]]:
     return []
 
 
+def stated(formula: str, kind: str) -> tuple[str, str] | None:
+    """What an introducing formula says of its symbol: (``constraint`` or ``definition``, name, sign and term in one), if anything."""
+    if kind == "define" and (found := _FUNCTION.match(formula)) or kind in ("define", "set") and (found := _EQUAL.match(formula)):
+        return "definition", canonical(found[1]) + found[2] + found[3]
+    if not _MAP.match(formula) and (found := _RELATION.match(formula)):
+        return "constraint", canonical(found[1]) + found[2] + found[3]
+    return None
+
+
 def quantified(formula: str) -> list[tuple[str, int]]:
     return [(canonical(x[1]), x.start(1)) for x in _QUANTIFIER.finditer(formula)]
 

@@ -54,9 +54,19 @@ def wire_bound(text: Column) -> Column:
     return (F.octet_length(text) + 2048).cast("long")
 
 
-def item_id(ids: Column) -> Column:
-    """Identity of a set of ids, whatever their order."""
-    return F.substr(F.sha2(F.to_json(F.array_sort(F.array_distinct(ids))), 256), F.lit(1), F.lit(16))
+def item_id(owner: Column, ids: Column) -> Column:
+    """Identity of an owner's set of ids, whatever their order: 16 digits of the sha256 of all, joined by NUL."""
+    return F.substr(F.sha2(F.array_join(F.concat(F.array(owner), F.array_sort(ids)), "\0"), 256), F.lit(1), F.lit(16))
+
+
+def fingerprint(content: Column) -> Column:
+    """sha256 of a struct's JSON; fields must be in alphabetical order, nulls are kept."""
+    return F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256)
+
+
+def safe_uri(path: Column) -> Column:
+    """A file URI whose path holds nothing but safe characters; others are percent-encoded byte by byte."""
+    return F.concat(F.lit("file://"), F.replace(F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20")))
 
 
 def status_mark(status: Column) -> Column:

@@ -64,7 +64,7 @@ def case_splits(propositions: DataFrame) -> DataFrame:
     parts = _expressions(
         propositions.select("scope", "formula").distinct(), "formula", "own string, disjuncts array<string>, premise string, conclusion string",
         lambda x: (_key(x), [_key(d) for d in _disjuncts(x)] if x[0] == "or" else None, _key(x[1]) if x[0] == "implies" else None, _key(x[2]) if x[0] == "implies" else None),
-    ).persist()
+    )
     splits = parts.where("disjuncts is not null").select("scope", "own", F.array_distinct("disjuncts").alias("disjuncts"))
     each = splits.select("scope", "own", F.size("disjuncts").alias("needed"), F.explode("disjuncts").alias("premise"))
     rules = parts.where("premise is not null").select("scope", "premise", "conclusion").distinct()
@@ -131,22 +131,23 @@ def rewrites(pairs: DataFrame) -> DataFrame:
 
 
 def name_references(manuscript) -> DataFrame:
-    """Every name in a result's formulas: resolved by one introduction, ambiguous by several, else unresolved."""
+    """Every name in a result's formulas: resolved by one introduction, ambiguous by several, bound by a quantifier alone, else unresolved."""
     from scholia.operators.symbols import canonical_name, introductions, mentions
 
     m = manuscript
-    math = m.facts.where("kind = 'math'").select("project_id", "ord", "s", F.col("text").alias("formula"))
+    math = m.facts.where("kind = 'math'").select("project_id", "ord", "s", "e", F.col("text").alias("formula"))
     names = F.regexp_extract_all("formula", F.lit(r"(?<![\\A-Za-z])[A-Za-z](?:_(?:\{[A-Za-z0-9]+\}|[A-Za-z0-9]+))?(?![A-Za-z])"), F.lit(0))
-    places = m.results.select("project_id", "ord", F.col("s").alias("result_s"), "bs", F.coalesce("proof_be", "be").alias("scope_e"))
-    used = math.join(places, ["project_id", "ord"]).where("bs <= s and s < scope_e").select("project_id", "ord", "result_s", F.explode(names).alias("name"))
+    used = m.placed(math).select("project_id", "ord", "result_s", F.explode(names).alias("name"))
     used = used.select("project_id", "ord", "result_s", canonical_name(F.col("name")).alias("name"))
     found = introductions(m)
     # commands and compound subscripts are names where the result introduces them
     commands = mentions(m, found.where(F.col("name").rlike(r"[\\{]"))).select("project_id", "ord", "result_s", "name")
     used = used.unionByName(commands).distinct()
-    known = found.groupBy("project_id", "ord", "result_s", "name").agg(F.count(F.lit(1)).alias("n"))
-    held = used.join(known, ["project_id", "ord", "result_s", "name"], "left")
-    return held.select("project_id", "ord", "name", F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved").alias("resolution"))
+    free = F.count_if(F.col("scope") != "local").alias("n")
+    known = found.groupBy("project_id", "ord", "result_s", "name").agg(free, F.count_if(F.col("scope") == "local").alias("bound"))
+    held = used.join(known, ["project_id", "ord", "result_s", "name"], "left").join(m.results.select("project_id", "ord", F.col("s").alias("result_s"), "node"), ["project_id", "ord", "result_s"])
+    outcome = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").when(F.col("bound") > 0, "bound").otherwise("unresolved")
+    return held.select("project_id", "ord", "node", "name", outcome.alias("resolution"))
 
 
 def greedy_spans(spans: DataFrame, key: str) -> DataFrame:

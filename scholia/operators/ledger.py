@@ -106,11 +106,11 @@ def roundtrip(packets: DataFrame) -> DataFrame:
                 lines = text.split("\n")
                 kept, coded = encode(lines)
                 rows.append((len(text.encode()), sum(len(x.encode()) + 1 for x in [*kept, *coded]), decode(kept, coded) == lines))
-            out = frame[["project_id", "ord"]].copy()
+            out = frame[["project_id", "node"]].copy()
             out[["bytes", "coded", "same"]] = pd.DataFrame(rows, columns=["bytes", "coded", "same"], index=out.index)
             yield out
 
-    return packets.select("project_id", "ord", "packet").mapInPandas(run, "project_id long, ord int, bytes long, coded long, same boolean")
+    return packets.select("project_id", "node", "packet").mapInPandas(run, "project_id long, node int, bytes long, coded long, same boolean")
 
 
 def term_matches(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:

@@ -14,8 +14,7 @@ from scholia.functions import formula as fx
 from scholia.functions.text import normal_math
 from scholia.operators import support
 
-RESULT = ["project_id", "ord", "result_s"]
-CLAIM = support.CLAIM
+RESULT, CLAIM = support.RESULT, support.CLAIM
 
 
 def lowered(df: DataFrame, column: str) -> DataFrame:
@@ -86,74 +85,14 @@ def contexts(manuscript) -> DataFrame:
 def packets(manuscript) -> DataFrame:
     """Each proof as numbered lines."""
     line = F.struct("idx", F.concat(F.lit("C"), F.col("idx"), F.lit(" "), F.col("claim")).alias("line"))
-    grouped = manuscript.claims.groupBy("project_id", "ord", "result_s").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    return grouped.select("project_id", "ord", "result_s", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("packet"))
+    grouped = manuscript.claims.groupBy(*RESULT).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    return grouped.select(*RESULT, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("packet"))
 
 
-def review_groups(manuscript) -> DataFrame:
-    """Unsure edges of a proof, in one group while their claims are at most one apart."""
-    unsure = manuscript.support.where("status <> 'confident'")
-    order = Window.partitionBy(*RESULT).orderBy("idx", "kind", "source")
-    fresh = F.when(F.col("idx") - F.lag("idx").over(order) <= 1, 0).otherwise(1)
-    marked = unsure.withColumn("fresh", fresh).withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*RESULT, "part").agg(F.count(F.lit(1)).alias("edges"))
-
-
-def snapshot(manuscript) -> DataFrame:
-    """What a stored review of a result depends on: its own content and the identifiers of its targets."""
-    m = manuscript
-    targets = m.edges.where("resolution = 'resolved'").groupBy("project_id", "ord", "s").agg(F.array_sort(F.collect_set("label")).alias("targets"))
-    own = m.results.select("project_id", "ord", "s", "identifier", "title")
-    held = own.join(targets, ["project_id", "ord", "s"], "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
-    content = F.to_json(F.struct("identifier", "targets", "title"))
-    return held.withColumn("cache_key", F.sha2(content, 256))
-
-
-def decisions(now: DataFrame, stored: DataFrame) -> DataFrame:
-    """Reuse or recheck of each result, with the first reason that holds.
-
-    Both have project_id, ord, identifier, title, targets and cache_key. The
-    order of reasons is: no prior review, changed edges, changed targets, changed
-    own content.
-    """
-    result = ["project_id", "ord", "identifier"]
-    old = stored.select(*result, F.col("title").alias("old_title"), F.col("targets").alias("old_targets"), F.col("cache_key").alias("old_key"))
-    held = now.join(old, result, "left")
-    retitled = ~F.col("old_title").eqNullSafe(F.col("title"))
-    changed = held.where(F.col("old_key").isNotNull() & retitled).select("project_id", F.col("identifier").alias("target")).distinct()
-    links = held.select(*result, F.explode("targets").alias("target")).join(changed, ["project_id", "target"], "left_semi")
-    upstream = links.select(*result, F.lit(True).alias("upstream")).distinct()
-    reason = (
-        F.when(F.col("old_key").isNull(), "no_prior_review")
-        .when(F.col("old_targets") != F.col("targets"), "dependency_edge_changed")
-        .when(F.col("upstream"), "upstream_dependency_changed")
-        .when(retitled, "local_ir_changed")
-        .otherwise("cache_hit_exact_packet")
-    )
-    out = held.join(upstream, result, "left").withColumn("reason", reason)
-    return out.select(*result, F.when(F.col("reason").startswith("cache_hit"), "reused").otherwise("rechecked").alias("decision"), "reason")
-
-
-def nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """Each source's k nearest reachable targets by distance, then number."""
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        adjacent: dict[int, list[int]] = {}
-        for a, b in zip(rows["source"].tolist(), rows["target"].tolist()):
-            adjacent.setdefault(a, []).append(b)
-        out = []
-        for a in sorted(adjacent):
-            seen, layer, distance = {a}, [a], 0
-            while layer:
-                distance += 1
-                layer = sorted({b for x in layer for b in adjacent.get(x, ()) if b not in seen})
-                seen.update(layer)
-                out += [(rows["project_id"].iloc[0], a, b, distance) for b in layer]
-        return pd.DataFrame(out, columns=["project_id", "source", "target", "distance"]).astype({"project_id": "int64", "source": "int32", "target": "int32", "distance": "int32"})
-
-    found = pairs.groupBy("project_id").applyInPandas(search, "project_id long, source int, target int, distance int")
+def nearest(paths: DataFrame, k: int) -> DataFrame:
+    """Each source's k nearest reachable targets by distance, then number, of ``Manuscript.paths``."""
     order = Window.partitionBy("project_id", "source").orderBy("distance", "target")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return paths.select("project_id", "source", "target", "distance").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def lean_statements(manuscript) -> DataFrame:
@@ -162,7 +101,7 @@ def lean_statements(manuscript) -> DataFrame:
     last = found.groupBy(*RESULT).agg(F.max_by("atom", "idx").alias("atom"))
     typed = lowered(last, "atom")
     a, b = F.regexp_extract("rendered", r"^\((\w+) => (\w+)\)$", 1), F.regexp_extract("rendered", r"^\((\w+) => (\w+)\)$", 2)
-    name = F.concat(F.lit("t"), F.col("project_id"), F.lit("_"), F.col("ord"))
+    name = F.concat(F.lit("t"), F.col("project_id"), F.lit("_"), F.col("node"))
     text = F.concat(F.lit("theorem "), name, F.lit(" ("), a, F.lit(" "), b, F.lit(" : Prop) : "), a, F.lit(" -> "), b, F.lit(" := by sorry"))
     return typed.select(*RESULT, F.when(a != "", text).alias("lean"), F.when(a != "", "partial").otherwise("unsupported").alias("lean_status"))
 
@@ -170,10 +109,13 @@ def lean_statements(manuscript) -> DataFrame:
 def report_counts(manuscript) -> DataFrame:
     """Per project: results, findings, open obligations, results that need attention and clean ones."""
     m = manuscript
-    per_result = m.results.select("project_id", "ord")
-    found = m.findings().groupBy("project_id", "ord").agg(F.count(F.lit(1)).alias("findings"))
-    todo = obligations(m).groupBy("project_id", "ord").agg(F.count_if(F.col("status") == "open").alias("open"))
-    joined = per_result.join(found, ["project_id", "ord"], "left").join(todo, ["project_id", "ord"], "left").fillna(0, ["findings", "open"])
+    per_result = m.results.select("project_id", "node", F.col("identifier").alias("unit"), "ord")
+    found = m.findings().groupBy("project_id", "unit", "ord").agg(F.count(F.lit(1)).alias("findings"))
+    # a finding names its result by identifier and file; of results that share both, the first bears it
+    first = Window.partitionBy("project_id", "unit", "ord").orderBy("node")
+    per_result = per_result.withColumn("nth", F.row_number().over(first)).join(found.withColumn("nth", F.lit(1)), ["project_id", "unit", "ord", "nth"], "left")
+    todo = obligations(m).groupBy("project_id", "node").agg(F.count_if(F.col("status") == "open").alias("open"))
+    joined = per_result.join(todo, ["project_id", "node"], "left").fillna(0, ["findings", "open"])
     attention = (F.col("findings") > 0) | (F.col("open") > 0)
     return joined.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("results"),
@@ -182,15 +124,3 @@ def report_counts(manuscript) -> DataFrame:
         F.count_if(attention).alias("attention"),
         F.count_if(~attention).alias("clean"),
     )
-
-
-def severity_rank(severity: Column) -> Column:
-    return F.when(severity == "error", 2).when(severity == "warning", 1).otherwise(0)
-
-
-def evaluate(findings: DataFrame, cases: DataFrame) -> DataFrame:
-    """Cases (project_id, accepted rules, minimum severity) with passed: a finding matches, or none is expected and none is there."""
-    held = cases.join(findings.select("project_id", "rule", "severity"), "project_id", "left")
-    hit = F.array_contains("accepted", F.col("rule")) & (severity_rank(F.col("severity")) >= severity_rank(F.col("minimum")))
-    grouped = held.groupBy("project_id", "accepted").agg(F.count_if(hit).alias("matched"), F.count("rule").alias("observed"))
-    return grouped.select("project_id", "matched", "observed", F.when(F.size("accepted") == 0, F.col("observed") == 0).otherwise(F.col("matched") > 0).alias("passed"))

@@ -54,7 +54,7 @@ def regions(manuscript) -> DataFrame:
 def formulas(manuscript) -> DataFrame:
     """Formulas inside a result's statement or proof; ``start`` is where the formula's text begins."""
     math = manuscript.facts.where("kind = 'math'").select(*FILE, "s", "e", F.col("bs").alias("start"), F.col("text").alias("formula"), "before", "behind")
-    return math.join(regions(manuscript), FILE).where("region_s <= s and e <= region_e").drop("e", "region_s", "region_e")
+    return manuscript.placed(math).select(*FILE, "s", "start", "formula", "before", "behind", "result_s", F.col("context").alias("part"))
 
 
 def _introduced(row: dict) -> Iterator[tuple]:
@@ -110,7 +110,9 @@ def role_conflicts(manuscript) -> DataFrame:
     # quantified symbols have no role, so formulas need no scope of their own here
     grouped = found.where("scope <> 'local'").groupBy(*FILE, "result_s", "scope", "name").agg(F.collect_set("family").alias("families"), F.sort_array(F.collect_list(F.struct("at", "role"))).alias("seen"))
     story = F.concat(F.col("name"), F.lit(": "), F.array_join(F.transform("seen", lambda x: x["role"]), ", "))
-    return grouped.where(F.size("families") >= 2).select("project_id", F.lit("TH113").alias("rule"), F.lit("warning").alias("severity"), "ord", story.alias("subject"))
+    nodes = manuscript.results.select(*FILE, F.col("s").alias("result_s"), "node", F.col("sl").alias("line"))
+    bad = grouped.where(F.size("families") >= 2).join(nodes, [*FILE, "result_s"])
+    return manuscript._finding(bad.select("project_id", "node", "line", story.alias("subject"), F.transform("seen", lambda x: F.concat(F.lit("introduced as "), x["role"])).alias("evidence")), "TH113", "warning")
 
 
 def mentions(manuscript, known: DataFrame) -> DataFrame:
@@ -142,3 +144,96 @@ def resolved_uses(manuscript) -> DataFrame:
     latest = Window.partitionBy(*FILE, "result_s", "name", "use_at").orderBy(rank, F.desc("at"))
     nearest = before.withColumn("rank", F.row_number().over(latest)).where("rank = 1")
     return nearest.dropDuplicates([*FILE, "result_s", "name", "use_s", "at"]).select(*FILE, "name", "use_s", "intro_s", "role")
+
+
+# symbols of the project, over occurrences
+
+
+def declarations(manuscript) -> DataFrame:
+    """Project definitions of reachable files, numbered in project order: symbol, name, place of each occurrence and where the introducing formula ends."""
+    m = manuscript
+    found = project_definitions(m).select(*FILE, "s", "at", "name", "formula").join(m.order.select(*FILE, "way"), FILE)
+    order = Window.partitionBy("project_id").orderBy(F.concat("way", F.array("at")))
+    return found.withColumn("symbol", (F.row_number().over(order) - 1).cast("int")).drop("way")
+
+
+def positions(manuscript, frame: DataFrame, at: str) -> DataFrame:
+    """``frame`` once for each occurrence of its file, with ``position``, comparable over the whole project: the way to the occurrence, then ``at``."""
+    ways = manuscript.workspace.where("kind = 'file'").select(*FILE, "way")
+    return frame.join(ways, FILE).withColumn("position", F.concat("way", F.array(F.col(at)))).drop("way")
+
+
+def _project_mentions(manuscript, known: DataFrame) -> DataFrame:
+    """Every place in a formula of a reachable file that holds a name which the project defines: (file, s, name, use_at)."""
+    m = manuscript
+    names = known.groupBy("project_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    math = m.facts.where("kind = 'math'").select(*FILE, "s", F.col("bs").alias("start"), F.col("text").alias("formula"))
+    held = math.join(m.order.select(*FILE), FILE).join(names, "project_id")
+
+    def found(row: dict) -> Iterator[tuple]:
+        for name, at in sx.mentions(row["formula"], row["names"]):
+            yield row["project_id"], row["ord"], row["s"], name, row["start"] + at
+
+    return _each(held, found, "project_id long, ord int, s int, name string, use_at int")
+
+
+def project_uses(manuscript) -> DataFrame:
+    """Uses of project symbols with the one symbol that all occurrences of the use agree on, else null.
+
+    In each occurrence the latest definition before the use counts (as-of over
+    the expanded project); a tie, or occurrences that differ, give none. Nothing
+    is resolved in a workspace that isn't resolved. A definition's own place is
+    no use, and a name that the use's own result introduces is none of the project.
+    """
+    m = manuscript
+    known = declarations(m)
+    own = known.select(*FILE, "name", F.col("at").alias("use_at"))
+    uses = _project_mentions(m, known).join(own, [*FILE, "name", "use_at"], "left_anti")
+    local = introductions(m).select(*FILE, "result_s", "name").distinct()
+    inside = m.placed(uses.select(*FILE, F.col("use_at").alias("s"), F.col("use_at").alias("e"), "name")).select(*FILE, "result_s", "name", F.col("s").alias("use_at"))
+    shadowed = inside.join(local, [*FILE, "result_s", "name"]).select(*FILE, "name", "use_at").distinct()
+    uses = uses.join(shadowed, [*FILE, "name", "use_at"], "left_anti")
+    use = [*FILE, "name", "s", "use_at"]
+    places = positions(m, uses, "use_at")
+    declared = positions(m, known.select(*FILE, "name", "symbol", "at"), "at").select("project_id", "name", "symbol", F.col("position").alias("declared"))
+    met = places.join(declared, ["project_id", "name"], "left").where(F.col("declared").isNull() | (F.col("declared") < F.col("position")))
+    latest = Window.partitionBy(*use, "position")
+    nearest = met.withColumn("last", F.max("declared").over(latest)).where("declared = last")
+    each = nearest.groupBy(*use, "position").agg(F.collect_set("symbol").alias("symbols"))
+    every = places.join(each, [*use, "position"], "left")
+    target = F.when(F.size("symbols") == 1, F.col("symbols")[0]).otherwise(F.lit(-1))
+    agreed = every.groupBy(*use).agg(F.collect_set(target).alias("targets")).join(m.status, "project_id")
+    one = (F.size("targets") == 1) & (F.col("targets")[0] >= 0) & (F.col("workspace") == "resolved")
+    return agreed.select(*use, F.when(one, F.col("targets")[0]).alias("symbol"))
+
+
+def symbol_dependencies(manuscript) -> DataFrame:
+    """(project_id, source, target): project symbols whose defining formula uses another."""
+    known = declarations(manuscript)
+    uses = project_uses(manuscript).where("symbol is not null").select(*FILE, "s", F.col("symbol").alias("target"))
+    return known.select(*FILE, "s", F.col("symbol").alias("source")).join(uses, [*FILE, "s"]).select("project_id", "source", "target").where("source <> target").distinct()
+
+
+def symbol_closure(manuscript) -> DataFrame:
+    """For each result the project symbols that it uses, directly or through their definitions."""
+    from scholia.plans.fixpoint import reachable_pairs
+
+    m = manuscript
+    uses = project_uses(m).where("symbol is not null")
+    direct = m.placed(uses.select(*FILE, F.col("use_at").alias("s"), F.col("use_at").alias("e"), "symbol")).select("project_id", "node", "symbol").distinct()
+    behind = reachable_pairs(symbol_dependencies(m)).select("project_id", F.col("source").alias("symbol"), F.col("target").alias("through"))
+    further = direct.join(behind, ["project_id", "symbol"]).select("project_id", "node", F.col("through").alias("symbol"))
+    return direct.unionByName(further).distinct()
+
+
+#: Scopes from the innermost out; a chain is a scope and all behind it.
+SCOPES = ("local", "proof", "result", "project")
+
+
+def visible(manuscript) -> DataFrame:
+    """Names that a result's proof sees by scope, innermost first: (node, name, scope, rank, role)."""
+    m = manuscript
+    ranks = F.create_map(*[F.lit(x) for i, scope in enumerate(SCOPES) for x in (scope, i)])
+    own = introductions(m).where("scope <> 'local'").join(m.results.select(*FILE, F.col("s").alias("result_s"), "node"), [*FILE, "result_s"])
+    own = own.select("project_id", "node", "name", "scope", ranks[F.col("scope")].alias("rank"), "role", "at")
+    return own.withColumn("nearest", F.row_number().over(Window.partitionBy("project_id", "node", "name").orderBy("rank", F.desc("at"))) == 1).drop("at")

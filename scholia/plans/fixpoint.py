@@ -44,25 +44,76 @@ def reachable_pairs(edges: DataFrame, *, start: bool = False) -> DataFrame:
     return edges.select("project_id", "source", "target").groupBy("project_id").applyInPandas(close, "project_id long, source int, target int")
 
 
-def cyclic_components(edges: DataFrame, order: DataFrame) -> DataFrame:
-    """(project_id, members) of each set of mutually reachable nodes, and of single nodes with a loop; members in ``order``'s position."""
-
-    def close(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        adjacent = _adjacent(left)
-        place = dict(zip(right["node"].tolist(), right["position"].tolist()))
-        reach = {a: _reach(adjacent, a) for a in adjacent}
-        found, used = [], set()
-        for a in sorted(adjacent, key=lambda x: (place.get(x, len(place)), x)):
-            if a in used or a not in reach[a]:
-                continue
-            members = [a, *(b for b in reach[a] if b != a and a in reach.get(b, ()))]
-            used.update(members)
-            found.append(sorted(members, key=lambda x: (place.get(x, len(place)), x)))
-        project = left["project_id"].iloc[0] if found else 0
+def cyclic_components(edges: DataFrame) -> DataFrame:
+    """(project_id, members) of each set of mutually reachable nodes, and of single nodes with a loop; nodes in their own order."""
+
+    def close(rows: pd.DataFrame) -> pd.DataFrame:
+        found = _components(_adjacent(rows))
+        project = rows["project_id"].iloc[0]
         return pd.DataFrame({"project_id": pd.Series([project] * len(found), dtype="int64"), "members": pd.Series(found, dtype=object)})
 
-    grouped = edges.select("project_id", "source", "target").groupBy("project_id")
-    return grouped.cogroup(order.groupBy("project_id")).applyInPandas(close, "project_id long, members array<int>")
+    return edges.select("project_id", "source", "target").groupBy("project_id").applyInPandas(close, "project_id long, members array<int>")
+
+
+def _components(adjacent: dict[int, list[int]]) -> list[list[int]]:
+    """Strongly connected sets that hold a cycle, by one depth-first pass with low marks, in order of their least node."""
+    number: dict[int, int] = {}
+    low: dict[int, int] = {}
+    stack: list[int] = []
+    waiting: set[int] = set()
+    found = []
+    for start in sorted(adjacent):
+        if start in number:
+            continue
+        trail = [(start, iter(sorted(adjacent[start])))]
+        number[start] = low[start] = len(number)
+        stack.append(start)
+        waiting.add(start)
+        while trail:
+            node, rest = trail[-1]
+            child = next(rest, None)
+            if child is None:
+                trail.pop()
+                if trail:
+                    low[trail[-1][0]] = min(low[trail[-1][0]], low[node])
+                if low[node] == number[node]:
+                    members = []
+                    while not members or members[-1] != node:
+                        members.append(stack.pop())
+                        waiting.discard(members[-1])
+                    if len(members) > 1 or node in adjacent.get(node, ()):
+                        found.append(sorted(members))
+            elif child not in number:
+                number[child] = low[child] = len(number)
+                stack.append(child)
+                waiting.add(child)
+                trail.append((child, iter(sorted(adjacent.get(child, ())))))
+            elif child in waiting:
+                low[node] = min(low[node], number[child])
+    return sorted(found)
+
+
+def shortest_paths(edges: DataFrame) -> DataFrame:
+    """(project_id, source, target, distance, path) of every node reachable from a source; of equal paths the least."""
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        adjacent = _adjacent(rows)
+        project = rows["project_id"].iloc[0]
+        out = []
+        for start in sorted(adjacent):
+            paths, layer = {start: [start]}, [start]
+            while layer:
+                following = []
+                for node in layer:  # in order of their paths, so the first that reaches a node has the least
+                    for child in sorted(set(adjacent.get(node, ()))):
+                        if child not in paths:
+                            paths[child] = [*paths[node], child]
+                            following.append(child)
+                layer = following
+            out += [(project, start, end, len(path) - 1, path) for end, path in sorted(paths.items()) if end != start]
+        return pd.DataFrame(out, columns=["project_id", "source", "target", "distance", "path"])
+
+    return edges.select("project_id", "source", "target").groupBy("project_id").applyInPandas(search, "project_id long, source int, target int, distance int, path array<int>")
 
 
 def doubled_pairs(edges: DataFrame, *, rounds: int = 40) -> DataFrame:

@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions import text as tx
-from scholia.operators import control, ledger, proofs, support
-from scholia.operators.structure import Manuscript
+from scholia.operators import control, evaluation, ir, ledger, proofs, review, support
+from scholia.operators.structure import REFERENCES, Manuscript
 from scholia.operators.symbols import all_introductions, resolved_uses, role_conflicts
-from scholia.plans.oracle import BASE, CLAIMS, REACH
+from scholia.plans.oracle import BASE, CLAIMS, FINDINGS, REACH, SHOWN
 from scholia.sources.manuscripts import projected_manuscripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: The manuscripts that queries share: the last folder's, given back when another is asked for.
+_HELD: dict[str, Manuscript] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -30,105 +32,138 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def manuscript(spark: SparkSession, sf_dir: str) -> Manuscript:
-    return Manuscript(projected_manuscripts(spark, sf_dir))
+    """The manuscripts of a folder, scanned once for all queries of a session."""
+    name = f"{spark.sparkContext.applicationId} {sf_dir}"
+    if name not in _HELD:
+        forget()
+        _HELD[name] = Manuscript(projected_manuscripts(spark, sf_dir))
+    return _HELD[name]
 
 
-FINDING = "project_id, rule, severity, ord, subject"
+def forget() -> None:
+    """Give back what queries share."""
+    for held in _HELD.values():
+        held.release()
+    _HELD.clear()
 
 
-@query(BASE + """
-select project_id, rule, severity, ord, label as subject from (
-  select m.project_id, 'TH101' as rule, 'error' as severity, ord, label, row_number() over (partition by m.project_id, label order by place) as n
-  from m where is_result
-) x where n = 2""")
+def show(findings: DataFrame) -> DataFrame:
+    return findings.select(*SHOWN.split(", "))
+
+
+def _findings(base: str, *rules: str) -> str:
+    return base + " union all ".join(f"(select {SHOWN} from ({FINDINGS[r]}) {r.lower()})" for r in rules)
+
+
+@query(_findings(BASE, "TH101"))
 def findings_duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscript(spark, sf_dir).duplicate_labels()
+    return show(manuscript(spark, sf_dir).duplicate_labels())
 
 
-@query(BASE + "select project_id, 'TH102' as rule, 'error' as severity, ord, label as subject from edges where resolution = 'ambiguous'")
+@query(_findings(BASE, "TH102"))
 def findings_ambiguous_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscript(spark, sf_dir).reference_findings("ambiguous", "TH102")
+    return show(manuscript(spark, sf_dir).reference_findings("ambiguous", "TH102"))
 
 
-@query(BASE + "select project_id, 'TH103' as rule, 'error' as severity, ord, label as subject from edges where resolution = 'missing'")
+@query(_findings(BASE, "TH103"))
 def findings_missing_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscript(spark, sf_dir).reference_findings("missing", "TH103")
+    return show(manuscript(spark, sf_dir).reference_findings("missing", "TH103"))
 
 
-@query(REACH + "select project_id, 'TH104' as rule, 'error' as severity, nodes[1] as ord, array_to_string(members, ' -> ') || ' -> ' || members[1] as subject from components")
+@query(_findings(REACH, "TH104"))
 def findings_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscript(spark, sf_dir).cycle_findings()
+    return show(manuscript(spark, sf_dir).cycle_findings())
 
 
-@query(BASE + "select project_id, 'TH113' as rule, 'warning' as severity, ord, 'x: scalar, map' as subject from m where is_result and doc_id % 10 = 4")
+@query(_findings(BASE, "TH113"))
 def findings_role_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return role_conflicts(manuscript(spark, sf_dir))
+    return show(role_conflicts(manuscript(spark, sf_dir)))
 
 
-@query(REACH + """
-select project_id, rule, severity, ord, label as subject from (
-  select m.project_id, 'TH101' as rule, 'error' as severity, ord, label, row_number() over (partition by m.project_id, label order by place) as n
-  from m where is_result) x where n = 2
-union all select project_id, 'TH102', 'error', ord, label from edges where resolution = 'ambiguous'
-union all select project_id, 'TH103', 'error', ord, label from edges where resolution = 'missing'
-union all select project_id, 'TH104', 'error', nodes[1], array_to_string(members, ' -> ') || ' -> ' || members[1] from components
-union all select project_id, 'TH113', 'warning', ord, 'x: scalar, map' from m where is_result and doc_id % 10 = 4""")
+@query(_findings(REACH, *FINDINGS))
 def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscript(spark, sf_dir).findings().orderBy("project_id", "ord", "rule", "subject")
+    return show(manuscript(spark, sf_dir).findings().orderBy("project_id", "file", "line", "rule", "subject"))
 
 
 @query(BASE + r"""
-, bare as (select project_id, ord, regexp_replace(raw, '%[^\n]*', '', 'g') as t from p),
-lists as (select project_id, ord, unnest(regexp_extract_all(t, '\\(?:ref|eqref|autoref|cref|Cref)\{([^{}]*)\}', 1)) as keys from bare),
-items as (select project_id, ord, unnest(string_split(keys, ',')) as key from lists)
-select project_id, ord, 'label' as kind, unnest(regexp_extract_all(t, '\\label\{([^{}]*)\}', 1)) as key from bare
-union all select project_id, ord, 'ref', trim(key) from items""")
+select project_id, ord, 'label' as kind, label as key from labelled
+union all select project_id, ord, 'ref', trim(unnest(string_split(keys, ','))) from (
+  select project_id, ord, unnest(regexp_extract_all(t, '\\(?:ref|eqref|autoref|cref|Cref)\{([^{}]*)\}', 1)) as keys from bare) x""")
 def scan_labels_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = manuscript(spark, sf_dir)
-    refs = m.macros.where("name in ('ref', 'eqref', 'autoref', 'cref', 'Cref')").select("project_id", "ord", F.lit("ref").alias("kind"), F.explode(F.split("arg", ",")).alias("key"))
+    refs = m.macros.where(F.col("name").isin(*REFERENCES)).select("project_id", "ord", F.lit("ref").alias("kind"), F.explode(F.split("arg", ",")).alias("key"))
     refs = refs.withColumn("key", F.trim("key"))
     return m.labels.select("project_id", "ord", F.lit("label").alias("kind"), F.col("label").alias("key")).unionByName(refs)
 
 
-@query(BASE + "select project_id, ord, env, 'Title ' || cast(doc_id as varchar) as title, label as identifier, has_proof from m where is_result")
+@query(BASE + "select project_id, node, ord, env, title, identifier, sl as line, has_proof from m")
 def theorem_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscript(spark, sf_dir).results.select("project_id", "ord", "env", "title", "identifier", F.col("proof").isNotNull().alias("has_proof"))
+    return manuscript(spark, sf_dir).results.select("project_id", "node", "ord", "env", "title", "identifier", F.col("sl").alias("line"), F.col("proof").isNotNull().alias("has_proof"))
 
 
-@query(BASE + "select project_id, ord, 1 as gap from m where is_result and has_proof")
+@query(BASE + "select project_id, node, cast(gap as int) as gap from m where has_proof")
 def proof_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = manuscript(spark, sf_dir).results.where("proof is not null")
-    return r.select("project_id", "ord", (F.col("proof_line") - F.col("el")).alias("gap"))
+    return r.select("project_id", "node", (F.col("proof_line") - F.col("el")).alias("gap"))
 
 
-@query(BASE + "select project_id, ord, cast(item as int) as item, label, resolution, target_ord from edges")
+@query(BASE + "select project_id, node, context, item, label, resolution, target from edges")
 def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscript(spark, sf_dir).edges.select("project_id", "ord", "item", "label", "resolution", "target_ord")
+    return manuscript(spark, sf_dir).edges.select("project_id", "node", "context", "item", "label", "resolution", "target")
 
 
-@query(BASE + "select project_id, cast(source as int) as source, target from pairs")
+@query(BASE + "select project_id, source, target from pairs")
 def deps_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscript(spark, sf_dir).resolved_pairs
+    return manuscript(spark, sf_dir).resolved_pairs.select("project_id", "source", "target")
+
 
+@query(BASE + "select project_id, target as source, source as dependent from pairs")
+def deps_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manuscript(spark, sf_dir).reverse()
 
-@query(REACH + "select project_id, cast(source as int) as source, cast(target as int) as target from reach where source <> target")
+
+@query(REACH + "select project_id, source, target from reach where source <> target")
 def deps_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manuscript(spark, sf_dir).transitive()
 
 
+NEAR = BASE.rstrip() + """,
+steps as (
+  select project_id, source, target, 1 as distance from pairs
+  union select s.project_id, s.source, e.target, s.distance + 1 from steps s join pairs e on s.project_id = e.project_id and s.target = e.source where s.distance < 64
+),
+near as (select project_id, source, target, cast(min(distance) as int) as distance from steps where source <> target group by all)
+"""
+
+
+@query(NEAR.rstrip() + """,
+trails as (
+  select project_id, source, target, [source, target] as path from pairs where source <> target
+  union all select t.project_id, t.source, e.target, list_append(t.path, e.target) from trails t join pairs e on t.project_id = e.project_id and t.target = e.source
+    join near n on n.project_id = t.project_id and n.source = t.source and n.target = e.target and n.distance = len(t.path)
+)
+select project_id, source, target, array_to_string(min(path), ' ') as path from trails group by all""")
+def dependency_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest path of results from each to each that it rests on."""
+    return manuscript(spark, sf_dir).paths().select("project_id", "source", "target", F.array_join("path", " ").alias("path"))
+
+
+@query(BASE + r"""
+select m.project_id, p.source as node, count(*) as lines, sha256(string_agg('[' || env || ' ' || identifier || '] ' || trim(regexp_replace(stmt, '\s+', ' ', 'g')) || ' (' || file || ':' || cast(sl as varchar) || '-'
+  || cast(sl + length(body) - length(replace(body, chr(10), '')) as varchar) || ')', chr(10) order by m.node)) as context
+from pairs p join m on p.project_id = m.project_id and p.target = m.node group by all""")
+def dependency_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = manuscript(spark, sf_dir).dependency_context()
+    return found.select("project_id", "node", F.size("context").cast("long").alias("lines"), F.sha2(F.array_join("context", "\n"), 256).alias("context"))
+
+
 @query(BASE + """
-select project_id, kind, count(*) as n from (
-  select project_id, 'missing' as kind from m where ord = 4 and project_id % 4 = 1
-  union all select project_id, 'cycle' from m where ord = 4 and project_id % 4 = 2
-  union all select m.project_id, case when ord > 0 then 'file' else 'file' end from m, range(occurrences)
-) x group by all""")
+select project_id, kind, count(*) as n from (select project_id, 'file' as kind from walk union all select project_id, kind from sites where kind <> 'file') x group by all""")
 def include_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manuscript(spark, sf_dir).workspace.groupBy("project_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(BASE + """
-select project_id, cast(row_number() over (partition by project_id order by place, again) - 1 as int) as occurrence, ord
-from (select *, unnest(range(occurrences)) as again from m) x""")
+@query(BASE + "select project_id, cast(row_number() over (partition by project_id order by way) - 1 as int) as occurrence, ord from walk")
 def workspace_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manuscript(spark, sf_dir).workspace.where("kind = 'file'").select("project_id", "occurrence", "ord")
 
@@ -138,117 +173,160 @@ def workspace_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manuscript(spark, sf_dir).status
 
 
-@query(BASE + r"""
-, spans as (
-  select project_id, ord, unnest(regexp_extract_all(raw, '%[^\n]*|\$[^$]*\$|\\begin\{equation\}[^\n]*\\end\{equation\}|\\(?:begin|end)\{[a-z]+\}(?:\[[^\]]*\])?(?:\\label\{[^}]*\})?|\\(?:input|cref|eqref)\{[^}]*\}|\\newtheorem\{remark\}\{Remark\}')) as t from p
-)
-select project_id, ord, cast(sum(length(t)) as bigint) as covered from spans group by all""")
+COVERED = BASE.rstrip() + r""",
+middles as (select project_id, ord, raw, case when ord = 0 then regexp_extract(raw, '(?s)\\begin\{document\}(.*)\\end\{document\}', 1) else raw end as mid from bare),
+spans as (
+  select project_id, ord, unnest(regexp_extract_all(mid, '%[^\n]*|(?s:\\begin\{verbatim\}.*?\\end\{verbatim\})|\\caption\{(?:[^{}%]|%[^\n]*\n|\{[^{}]*\})*\}|\\section\{(?:[^{}]|\{[^{}]*\})*\}|(?s:\\begin\{equation\}.*?\\end\{equation\})|(?s:\\\[.*?\\\])|\$[^$]*\$|\\(?:begin|end)\{[a-z]+\}(?:\[[^\]]*\])?|\\(?:input|cref|ref|autoref|eqref|label)\{[^{}]*\}|\\(?:foo|emph)')) as x from middles
+),
+covered as (select project_id, ord, cast(length(raw) - length(mid) + coalesce(n, 0) as bigint) as covered, length(raw) as size from middles left join (select project_id, ord, sum(length(x)) as n from spans group by all) y using (project_id, ord))
+"""
+
+
+@query(COVERED + "select project_id, ord, covered from covered where covered > 0")
 def source_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manuscript(spark, sf_dir).regions().groupBy("project_id", "ord").agg(F.sum(F.col("e") - F.col("s")).cast("long").alias("covered"))
 
 
-@query(BASE + r"""
-, spans as (
-  select project_id, ord, unnest(regexp_extract_all(raw, '%[^\n]*|\$[^$]*\$|\\begin\{equation\}[^\n]*\\end\{equation\}|\\(?:begin|end)\{[a-z]+\}(?:\[[^\]]*\])?(?:\\label\{[^}]*\})?|\\(?:input|cref|eqref)\{[^}]*\}|\\newtheorem\{remark\}\{Remark\}')) as t from p
-), held as (select project_id, ord, sum(length(t)) as covered from spans group by all)
-select project_id, ord, cast(length(raw) - covered as bigint) as prose from p join held using (project_id, ord)""")
+@query(COVERED + "select project_id, ord, cast(size - covered as bigint) as prose from covered where size > covered")
 def eligible_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manuscript(spark, sf_dir).prose().groupBy("project_id", "ord").agg(F.sum(F.col("e") - F.col("s")).cast("long").alias("prose"))
 
 
-@query(CLAIMS + "select project_id, ord, idx, 'prose' as form, claim from claims")
+@query(CLAIMS + "select project_id, node, idx, form, claim, follows, coalesce(qualifier, '') as qualifiers from claims")
 def sentence_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscript(spark, sf_dir).claims.select("project_id", "ord", "idx", "form", "claim")
+    return manuscript(spark, sf_dir).claims.select("project_id", "node", "idx", "form", "claim", "follows", F.array_join("qualifiers", " ").alias("qualifiers"))
 
 
-@query(CLAIMS + "select project_id, ord, idx, kind, source, status from support")
+@query(CLAIMS + "select project_id, node, idx, kind, source, status, edge from support")
 def support_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscript(spark, sf_dir).support.select("project_id", "ord", "idx", "kind", "source", "status")
+    return manuscript(spark, sf_dir).support.select("project_id", "node", "idx", "kind", "source", "status", "edge")
+
+
+@query(CLAIMS + "select project_id, node, idx, cast(source as int) as prior from support where kind = 'prior_claim'")
+def support_prior_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that a conclusion word links to the claim before, where nothing that is no document text lies between."""
+    return support.claim_links(manuscript(spark, sf_dir).support).select("project_id", "node", F.col("target").alias("idx"), F.col("source").alias("prior"))
 
 
-@query(CLAIMS + """
-, used as (select distinct project_id, ord, cast(source as int) as idx from support where kind = 'prior_claim')
-select project_id, ord, idx, exists (select 1 from support s where s.project_id = u.project_id and s.ord = u.ord and s.idx = u.idx and s.status = 'confident') as supported
-from used u""")
+USED = CLAIMS.rstrip() + """,
+used as (select distinct project_id, node, cast(source as int) as idx from support where kind = 'prior_claim'),
+bearing as (select project_id, node, idx, exists (select 1 from support s where s.project_id = u.project_id and s.node = u.node and s.idx = u.idx and s.status = 'confident') as supported from used u)
+"""
+
+
+@query(USED + "select project_id, node, idx, supported from bearing")
 def load_bearing_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return support.load_bearing(manuscript(spark, sf_dir)).select("project_id", "ord", "idx", "supported")
+    return support.load_bearing(manuscript(spark, sf_dir)).select("project_id", "node", "idx", "supported")
 
 
-@query(CLAIMS + """
-, used as (select distinct project_id, ord, cast(source as int) as idx from support where kind = 'prior_claim')
-select project_id, ord, idx from used u
-where not exists (select 1 from support s where s.project_id = u.project_id and s.ord = u.ord and s.idx = u.idx and s.status = 'confident')""")
+@query(USED + "select project_id, node, idx from bearing where not supported")
 def unsupported_load_bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return support.load_bearing(manuscript(spark, sf_dir)).where("not supported").select("project_id", "ord", "idx")
+    return support.load_bearing(manuscript(spark, sf_dir)).where("not supported").select("project_id", "node", "idx")
 
 
-@query(CLAIMS.replace("with p as", "with recursive p as", 1) + """
-, links as (select project_id, ord, cast(source as int) as a, idx as b from support where kind = 'prior_claim'),
-chain as (select project_id, ord, a, b from links union select c.project_id, c.ord, c.a, l.b from chain c join links l on c.project_id = l.project_id and c.ord = l.ord and c.b = l.a)
-select project_id, ord, a as claim, b as later from chain""")
+@query(CLAIMS.rstrip() + """,
+links as (select project_id, node, cast(source as int) as a, idx as b from support where kind = 'prior_claim'),
+chain as (select project_id, node, a, b from links union select c.project_id, c.node, c.a, l.b from chain c join links l on c.project_id = l.project_id and c.node = l.node and c.b = l.a)
+select project_id, node, a as claim, b as later from chain""")
 def downstream_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return support.downstream(manuscript(spark, sf_dir)).select("project_id", "ord", "claim", "later")
+    return support.downstream(manuscript(spark, sf_dir)).select("project_id", "node", "claim", "later")
 
 
-@query(CLAIMS + """
-, inside as (
-  select project_id, ord, idx from support union select project_id, ord, cast(source as int) from support where kind = 'prior_claim'
-  union select project_id, ord, max(idx) from claims group by project_id, ord)
-select c.project_id, c.ord, c.idx, case when i.idx is not null then case when contains(claim, '$') then 'C' else 'P' end
-  when contains(claim, '$') then 'U' else 'pruned' end as kind
-from claims c left join inside i on c.project_id = i.project_id and c.ord = i.ord and c.idx = i.idx""")
+@query(CLAIMS + "select project_id, node, idx, kind from sliced")
 def proof_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return support.proof_slice(manuscript(spark, sf_dir)).select("project_id", "ord", "idx", "kind")
+    return support.proof_slice(manuscript(spark, sf_dir)).select("project_id", "node", "idx", "kind")
 
 
-@query(BASE + r"""
-select project_id, ord, 'x' as name, 'scalar' as role, 'x > 0' as formula from m where is_result and doc_id % 2 = 0
-union all select project_id, ord, 'x', 'map', 'x \colon A \to B' from m where is_result and doc_id % 2 = 1
-union all select project_id, ord, 'x', 'map', 'x \colon U \to V' from m where is_result and doc_id % 10 = 4""")
+NAME = r"regexp_extract(formula, '^(\\[A-Za-z]+|[A-Za-z](?:_\{[A-Za-z0-9]+\})?)', 1)"
+ROLE = r"case when contains(formula, '\to') then 'map' when regexp_matches(formula, '^[a-z]\([a-z]\) = ') then 'function' when contains(formula, ' > ') then 'scalar' else 'unknown' end"
+
+
+@query(BASE.rstrip() + r""",
+said as (
+  select project_id, ord, 'result' as scope, unnest(regexp_extract_all(stmt, '(?:Let|For every|define) \$([^$]*)\$', 1)) as formula from m
+  union all select project_id, ord, 'project', unnest(regexp_extract_all(t, 'Put \$([^$]*)\$', 1)) from bare join files using (project_id, ord)
+)
+select project_id, ord, scope, regexp_replace(""" + NAME + r""", '_\{(.*)\}', '_\1') as name, case when scope = 'project' then 'unknown' else """ + ROLE + r""" end as role, formula from said
+union all select project_id, ord, 'local', regexp_extract(formula, 'forall ([a-z])', 1), 'unknown', formula from (select project_id, ord, unnest(regexp_extract_all(stmt, '\$(\\forall [^$]*)\$', 1)) as formula from m) x""")
 def symbol_introductions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_introductions(manuscript(spark, sf_dir)).select("project_id", "ord", "name", "role", "formula")
+    m = manuscript(spark, sf_dir)
+    return all_introductions(m).join(m.order.select("project_id", "ord"), ["project_id", "ord"]).select("project_id", "ord", "scope", "name", "role", "formula")
 
 
-@query(BASE + "select project_id, ord, 'x' as name, 'scalar' as role from m where is_result and doc_id % 10 = 4")
+@query(BASE + r"""
+select project_id, ord, 'x' as name, 'scalar' as role from m where contains(stmt, 'Let $x > 0$ be') and contains(stmt, 'Let $x \colon U \to V$ be')
+union all select project_id, ord, 'x', 'map' from m where contains(stmt, 'Let $x \colon A \to B$ be') and contains(stmt, 'Let $x \colon U \to V$ be')
+union all select project_id, ord, unnest(['\varepsilon', 'y']), unnest(['scalar', 'unknown']) from m where contains(stmt, '$\varepsilon < y$')
+union all select project_id, ord, 'z', 'unknown' from m where contains(stmt, '$\forall z \in Z, z > b$')""")
 def symbol_uses_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved_uses(manuscript(spark, sf_dir)).select("project_id", "ord", "name", "role")
 
 
-ATOM = r"""case when starts_with(claim, 'By Lemma') then 'A_' || cast(doc_id % 5 as varchar) when starts_with(claim, 'By definition') then 'B'
-  when starts_with(claim, 'By compactness') then 'C' when starts_with(claim, 'Since') then 'u > v'
-  when starts_with(claim, 'Therefore') then 'D_' || cast(doc_id % 3 as varchar)
-  when starts_with(claim, 'Hence') then 'A_' || cast(doc_id % 5 as varchar) || ' => D_' || cast(doc_id % 3 as varchar) end"""
-KIND = """
-, inside as (
-  select project_id, ord, idx from support union select project_id, ord, cast(source as int) from support where kind = 'prior_claim'
-  union select project_id, ord, max(idx) from claims group by project_id, ord),
-sliced as (
-  select c.project_id, c.ord, c.idx, claim, case when i.idx is not null then case when contains(claim, '$') then 'C' else 'P' end
-    when contains(claim, '$') then 'U' else 'pruned' end as kind
-  from claims c left join inside i on c.project_id = i.project_id and c.ord = i.ord and c.idx = i.idx),
-duties as (
-  select project_id, ord, idx, kind, case when kind = 'C' and exists (select 1 from support s where s.project_id = x.project_id and s.ord = x.ord and s.idx = x.idx and s.status = 'confident')
-    then 'discharged' else 'open' end as status from sliced x where kind <> 'pruned')
+ADDRESSED = CLAIMS.rstrip() + r""",
+atoms as (
+  select s.*, case when form = 'display' then trim(claim[4:-4])
+    when kind in ('C', 'P') and regexp_matches(claim, '(?i)^(?:therefore|hence|thus|consequently)\s*,?\s*\$[^$]*\$\.$') and exists (select 1 from support e where e.project_id = s.project_id and e.node = s.node and e.idx = s.idx and e.kind = 'prior_claim')
+      then replace(regexp_extract(claim, '\$([^$]*)\$', 1), '\Rightarrow', '⇒')
+    when kind in ('C', 'P') and regexp_matches(claim, '^By [a-z]+, \$[^$]*\$\.$') and exists (select 1 from good e where e.project_id = s.project_id and e.node = s.node and e.idx = s.idx)
+      then regexp_extract(claim, '\$([^$]*)\$', 1)
+    when kind = 'U' then replace(regexp_extract(claim, '\$([^$]*)\$', 1), '\Rightarrow', '⇒') end as atom
+  from sliced s where kind <> 'pruned'
+),
+lettered as (select *, case when kind = 'U' then 'U' when atom is null then 'P' else 'C' end as letter from atoms),
+placed as (
+  select project_id, ord, node, idx, qualifier, letter || cast(row_number() over (partition by project_id, node, letter order by idx) as varchar) as address,
+    case letter when 'U' then 'unresolved_math' when 'P' then 'opaque_prose' else 'claim' end as kind, coalesce(atom, claim) as atom from lettered
+)
 """
 
 
-@query(CLAIMS + f"select project_id, ord, idx, {ATOM} as atom from claims")
-def canonical_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proofs.atoms(manuscript(spark, sf_dir)).select("project_id", "ord", "idx", "atom")
+@query(ADDRESSED + "select project_id, node, idx, address, kind, atom from placed")
+def canonical_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addressed claims of each proof's IR."""
+    return ir.proof_ir(manuscript(spark, sf_dir)).where("kind in ('claim', 'opaque_prose', 'unresolved_math')").select("project_id", "node", "idx", "address", "kind", "atom")
+
+
+@query(ADDRESSED + r"""
+, owned as (select p.project_id, p.source as node, identifier, 'R' || cast(row_number() over (partition by p.project_id, p.source order by m.node) as varchar) as address from pairs p join m on p.project_id = m.project_id and p.target = m.node),
+numbered as (
+  select s.*, t.address as target, 'E' || cast(row_number() over (partition by s.project_id, s.node order by number) as varchar) as address
+  from support s join placed t on s.project_id = t.project_id and s.node = t.node and s.idx = t.idx)
+select n.project_id, n.node, n.address, n.kind, case when n.kind = 'prior_claim' then b.address when n.kind in ('result_reference', 'equation_reference') then coalesce(o.address, '@' || n.source) end as source, n.target, n.status
+from numbered n left join placed b on n.kind = 'prior_claim' and b.project_id = n.project_id and b.node = n.node and b.idx = n.idx - 1
+  left join owned o on n.kind in ('result_reference', 'equation_reference') and o.project_id = n.project_id and o.node = n.node and o.identifier = n.source
+union all select project_id, node, 'Q' || cast(row_number() over (partition by project_id, node order by idx) as varchar), 'quantifier', null, address, 'confident' from placed where qualifier is not null and kind <> 'unresolved_math'""")
+def canonical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support and qualifiers between the addresses of each proof's IR."""
+    return ir.proof_ir(manuscript(spark, sf_dir)).where("target is not null").select("project_id", "node", "address", "kind", "source", "target", "status")
 
 
 @query(BASE + r"""
-, found as (
-  select 'x > 0' as formula, '(x > 0)' as rendered from m where doc_id % 2 = 0
-  union all select 'x \colon A \to B', null from m where doc_id % 2 = 1
-  union all select 'x \colon U \to V', null from m where doc_id % 10 = 4
-  union all select 'A_{' || cast(doc_id % 5 as varchar) || '}', 'A_' || cast(doc_id % 5 as varchar) from m
-  union all select 'B', 'B' from m where doc_id % 3 = 0 union all select 'C', 'C' from m where doc_id % 4 = 1
-  union all select 'u > v', '(u > v)' from m where doc_id % 7 = 1 union all select 'w', 'w' from m where doc_id % 7 = 1
-  union all select 'D_{' || cast(doc_id % 3 as varchar) || '}', 'D_' || cast(doc_id % 3 as varchar) from m where doc_id % 2 = 0
-  union all select 'A_{' || cast(doc_id % 5 as varchar) || '} \Rightarrow D_{' || cast(doc_id % 3 as varchar) || '}', '(A_' || cast(doc_id % 5 as varchar) || ' => D_' || cast(doc_id % 3 as varchar) || ')' from m
-)
-select distinct formula, coalesce(rendered, '?[' || formula || ']') as rendered, case when rendered is null then 'opaque' else 'full' end as expression_status from found""")
+select project_id, node, 'T0' as address, 'result' as kind, case when contains(stmt, 'If $a$, then $b$.') then 'a⇒b' end as atom from m
+union all select project_id, node, 'H1', 'hypothesis', 'x>0' from m where contains(stmt, 'Let $x > 0$ be')
+union all select project_id, node, unnest(['H1', 'H2', 'D1']), unnest(['hypothesis', 'hypothesis', 'definition']), unnest(['\varepsilon>0', 'y\inY', 'g=t']) from m where contains(stmt, 'For every $\varepsilon > 0$ define $g(t) = t$. Let $y \in Y$ be')""")
+def canonical_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement, hypotheses and definitions of each result's IR; a statement that is no formula shows none."""
+    found = ir.proof_ir(manuscript(spark, sf_dir)).where("target is null and kind in ('result', 'hypothesis', 'local_constraint', 'definition')")
+    return found.select("project_id", "node", "address", "kind", F.when(~F.col("opaque"), F.col("atom")).alias("atom"))
+
+
+@query(CLAIMS + "select project_id, node, count(*) as claims, count(*) filter (where kind = 'pruned') as pruned, count(*) filter (where kind = 'U') as unresolved_math from sliced group by all")
+def slice_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ir.pruned(manuscript(spark, sf_dir)).select("project_id", "node", "claims", "pruned", "unresolved_math")
+
+
+@query(BASE.rstrip() + r""",
+shown as (
+  select distinct trim(unnest(regexp_extract_all(regexp_replace(t, '(?s)\\\[(.*?)\\\]', '$\1$', 'g'), '\$([^$]*)\$', 1))) as formula from bare
+),
+plain as (select formula, regexp_replace(formula, '_\{([A-Za-z0-9]+)\}', '_\1', 'g') as f from shown)
+select formula, case when regexp_matches(f, '^[A-Za-z](_[0-9]+)?$') then f
+    when regexp_matches(f, '^\S+ [<>=] \S+$') then '(' || replace(f, '\', '') || ')'
+    when regexp_matches(f, '^\S+ \\in \S+$') then '(' || replace(f, '\', '') || ')'
+    when contains(f, '\Rightarrow') then '(' || replace(f, '\Rightarrow', '=>') || ')'
+    when contains(f, '\forall') then '(' || regexp_replace(replace(f, '\', ''), ', (.*)$', ', (\1)') || ')'
+    else '?[' || formula || ']' end as rendered,
+  case when contains(f, '\to') or contains(f, ':=') then 'opaque' else 'full' end as expression_status from plain""")
 def formula_lowering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.formulas(manuscript(spark, sf_dir)).select("formula", "rendered", "expression_status")
 
@@ -263,108 +341,168 @@ def alpha_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("p_size", "formulas", "spellings")
 
 
-@query(CLAIMS + """select project_id, ord, idx, kind, source, status, case when kind in ('result_reference', 'equation_reference') then 'apply_result'
-  when kind = 'definition' then 'definition_use' when kind = 'named_property' then 'named_property_application' else 'unknown' end as rule from support""")
+FRAG = CLAIMS.rstrip() + r""",
+frags as (select *, regexp_extract(claim, '\$([^$]*)\$', 1) as f, starts_with(claim, '\[') as shown from claims),
+typed as (select project_id, node, idx, case when shown then trim(claim[4:-4]) else f end as f from frags)
+"""
+
+
+@query(FRAG + r"""
+select s.project_id, s.node, s.idx, s.kind, s.source, s.status, case when s.kind in ('result_reference', 'equation_reference') then 'apply_result' when s.kind = 'definition' then 'definition_use'
+  when s.kind = 'named_property' then 'named_property_application'
+  when s.kind = 'prior_claim' and contains(b.f, ' \Rightarrow ') and string_split(b.f, ' \Rightarrow ')[2] = c.f
+    and exists (select 1 from typed k where k.project_id = s.project_id and k.node = s.node and k.f = string_split(b.f, ' \Rightarrow ')[1]) then 'implication_elimination' else 'unknown' end as rule
+from support s join typed c on c.project_id = s.project_id and c.node = s.node and c.idx = s.idx
+  left join typed b on s.kind = 'prior_claim' and b.project_id = s.project_id and b.node = s.node and b.idx = s.idx - 1""")
 def proof_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proofs.steps(manuscript(spark, sf_dir)).select("project_id", "ord", "idx", "kind", "source", "status", "rule")
+    return proofs.steps(manuscript(spark, sf_dir)).select("project_id", "node", "idx", "kind", "source", "status", "rule")
+
 
+DUTIES = CLAIMS.rstrip() + """,
+duties as (
+  select project_id, node, idx, kind, case when kind = 'C' and exists (select 1 from support s where s.project_id = x.project_id and s.node = x.node and s.idx = x.idx and s.status = 'confident')
+    then 'discharged' else 'open' end as status from sliced x where kind <> 'pruned')
+"""
 
-@query(CLAIMS + KIND + "select project_id, ord, idx, kind, status from duties")
+
+@query(DUTIES + "select project_id, node, idx, kind, status from duties")
 def obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proofs.obligations(manuscript(spark, sf_dir)).select("project_id", "ord", "idx", "kind", "status")
+    return proofs.obligations(manuscript(spark, sf_dir)).select("project_id", "node", "idx", "kind", "status")
 
 
-@query(CLAIMS + "select project_id, ord, idx, coalesce(string_agg('C' || cast(idx as varchar), ' ') over (partition by project_id, ord order by idx rows between unbounded preceding and 1 preceding), '') as context from claims")
+@query(CLAIMS + "select project_id, node, idx, coalesce(string_agg('C' || cast(idx as varchar), ' ') over (partition by project_id, node order by idx rows between unbounded preceding and 1 preceding), '') as context from claims")
 def obligation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proofs.contexts(manuscript(spark, sf_dir)).select("project_id", "ord", "idx", "context")
+    return proofs.contexts(manuscript(spark, sf_dir)).select("project_id", "node", "idx", "context")
 
 
-@query(CLAIMS + "select project_id, ord, string_agg('C' || cast(idx as varchar) || ' ' || claim, chr(10) order by idx) as packet from claims group by project_id, ord")
+@query(CLAIMS + "select project_id, node, string_agg('C' || cast(idx as varchar) || ' ' || claim, chr(10) order by idx) as packet from claims group by project_id, node")
 def review_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proofs.packets(manuscript(spark, sf_dir)).select("project_id", "ord", "packet")
+    return proofs.packets(manuscript(spark, sf_dir)).select("project_id", "node", "packet")
 
 
-@query(CLAIMS + "select project_id, ord, cast(1 as bigint) as part, count(*) as edges from support where status <> 'confident' group by project_id, ord")
+@query(CLAIMS.rstrip() + """,
+places as (select project_id, node, idx, case when idx - lag(idx) over w <= 1 then 0 else 1 end as fresh from (select distinct project_id, node, idx from support where status <> 'confident') x window w as (partition by project_id, node order by idx)),
+islands as (select project_id, node, idx, cast(sum(fresh) over (partition by project_id, node order by idx) as bigint) as part from places)
+select s.project_id, s.node, part, count(*) as edges, substr(sha256(identifier || chr(0) || string_agg(s.edge, chr(0) order by s.edge)), 1, 16) as item
+from support s join islands i on s.project_id = i.project_id and s.node = i.node and s.idx = i.idx join m on m.project_id = s.project_id and m.node = s.node
+where s.status <> 'confident' group by s.project_id, s.node, part, identifier""")
 def review_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proofs.review_groups(manuscript(spark, sf_dir)).select("project_id", "ord", "part", "edges")
+    return review.review_groups(manuscript(spark, sf_dir)).select("project_id", "node", "part", "edges", "item")
 
 
-KEYED = BASE + r"""
-, aims as (select project_id, ord, list_sort(list(distinct label)) as targets from edges where resolution = 'resolved' group by project_id, ord),
+KEYED = REACH.rstrip() + r""",
+told as (select project_id, node, identifier, row_number() over (partition by project_id, identifier order by node) as nth from m),
+inner_nodes as (select project_id, source as node, target from reach union select project_id, node, node from m),
+hops as (select distinct i.project_id, i.node, a.identifier || ' > ' || b.identifier as hop from inner_nodes i join pairs p on p.project_id = i.project_id and p.source = i.target
+  join m a on a.project_id = p.project_id and a.node = p.source join m b on b.project_id = p.project_id and b.node = p.target),
 now as (
-  select m.project_id, m.ord, doc_id, label as identifier, coalesce(targets, []) as targets from m left join aims a using (project_id, ord) where is_result
+  select t.project_id, t.node, identifier, cast(nth as int) as nth, coalesce((select sha256(string_agg(hop, chr(10) order by hop)) from hops h where h.project_id = t.project_id and h.node = t.node), sha256('')) as edges,
+    (select count(*) from reach r where r.project_id = t.project_id and r.source = t.node and r.target <> t.node) as behind from told t
 )
 """
 
 
-@query(KEYED + r"""
-select project_id, ord, sha256('{"identifier":"' || identifier || '","targets":[' || array_to_string(list_transform(targets, lambda x: '"' || x || '"'), ',') || '],"title":"Title ' || cast(doc_id as varchar) || '"}') as cache_key from now""")
+@query(KEYED + "select project_id, node, identifier, nth, edges, cast(behind as int) as behind from now")
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proofs.snapshot(manuscript(spark, sf_dir)).select("project_id", "ord", "cache_key")
+    """What a stored review rests on: the references among all results behind it, and how many those are."""
+    return review.snapshot(manuscript(spark, sf_dir)).select("project_id", "node", "identifier", "nth", "edges", F.size("dependencies").alias("behind"))
+
+
+def stored_reviews(now: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Heads and entries as an earlier version might have left them: changed by the number of the result, one rule after another."""
+    n = F.col("node")
+    moved = {"edges": n % 6 == 2, "dependencies": n % 5 == 1, "semantic": n % 7 == 0, "contract": n % 4 == 3, "cache_key": n % 19 == 18}
+    empty = F.array().cast("array<struct<name:string,held:string>>")
+    lost = moved["edges"] | (moved["dependencies"] & (F.size("dependencies") > 0)) | moved["semantic"] | moved["contract"] | moved["cache_key"]
+    old = now.withColumns({
+        "cache_key": F.when(lost, F.concat(F.lit("old "), "cache_key")).otherwise(F.col("cache_key")),
+        "edges": F.when(moved["edges"], "old").otherwise(F.col("edges")),
+        "dependencies": F.when(moved["dependencies"], empty).otherwise(F.col("dependencies")),
+        "semantic": F.when(moved["semantic"], "old").otherwise(F.col("semantic")),
+        "contract": F.when(moved["contract"], "old").otherwise(F.col("contract")),
+        "content": F.when(n % 13 == 4, "old").otherwise(F.col("content")),
+        "rescue": F.when(n % 9 == 5, "asked").otherwise(F.col("rescue")),
+    })
+    return old.where(n % 11 != 3), old.where((n % 11 != 3) & (n % 17 != 16))
+
+
+DECIDED = KEYED.rstrip() + """,
+changed as (select *, node % 6 = 2 or (node % 5 = 1 and behind > 0) or node % 7 = 0 or node % 4 = 3 or node % 19 = 18 as lost from now),
+decided as (
+  select project_id, node, case
+    when node % 11 <> 3 and node % 17 <> 16 and not lost then case when node % 9 = 5 then 'rescued_source_changed' when node % 13 = 4 then 'cache_hit_unaffected_dependency_slice' else 'cache_hit_exact_packet' end
+    when node % 11 = 3 then 'no_prior_review' when not lost then 'cache_entry_missing' when node % 6 = 2 then 'dependency_edge_changed' when node % 5 = 1 and behind > 0 then 'upstream_dependency_changed'
+    when node % 7 = 0 then 'local_ir_changed' when node % 4 = 3 then 'review_contract_changed' else 'cache_identity_changed' end as reason from changed
+)
+"""
 
 
-@query(KEYED + """
-, moved as (select distinct project_id, identifier from now where doc_id % 7 = 0 and doc_id % 11 <> 3)
-select project_id, ord, case when reason = 'cache_hit_exact_packet' then 'reused' else 'rechecked' end as decision, reason from (
-  select project_id, ord, case when doc_id % 11 = 3 then 'no_prior_review' when doc_id % 6 = 2 and len(targets) > 0 then 'dependency_edge_changed'
-    when exists (select 1 from moved v where v.project_id = n.project_id and list_contains(n.targets, v.identifier)) then 'upstream_dependency_changed'
-    when doc_id % 7 = 0 then 'local_ir_changed' else 'cache_hit_exact_packet' end as reason from now n) x""")
+@query(DECIDED + "select project_id, node, case when starts_with(reason, 'cache_hit') then 'reused' else 'rechecked' end as decision, reason from decided")
 def cache_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against a stored state in which some results were missing, titled otherwise or without targets."""
-    now = proofs.snapshot(manuscript(spark, sf_dir))
-    number = F.col("project_id") * 20 + F.col("ord")
-    title = F.when(number % 7 == 0, F.lit("Earlier title")).otherwise(F.col("title"))
-    targets = F.when(number % 6 == 2, F.array().cast("array<string>")).otherwise(F.col("targets"))
-    stored = now.where(number % 11 != 3).select("project_id", "ord", "identifier", title.alias("title"), targets.alias("targets"), "cache_key")
-    return proofs.decisions(now, stored).select("project_id", "ord", "decision", "reason")
-
-
-@query(REACH.replace("with recursive p as", "with recursive p as", 1) + CLAIMS[len(BASE.rstrip()):] + KIND + """
-, found as (
-  select project_id, ord, 1 as n from (select m.project_id, ord, row_number() over (partition by m.project_id, label order by place) as n from m where is_result) x where n = 2
-  union all select project_id, ord, 1 from edges where resolution <> 'resolved'
-  union all select project_id, nodes[1], 1 from components
-  union all select project_id, ord, 1 from m where is_result and doc_id % 10 = 4),
-tally as (select project_id, ord, sum(n) as n from found group by all),
-todo as (select project_id, ord, count(*) as n from duties where status = 'open' group by all)
+    """Against a stored state in which every reason occurs."""
+    now = review.snapshot(manuscript(spark, sf_dir))
+    return review.decisions(now, *stored_reviews(now)).select("project_id", "node", "decision", "reason")
+
+
+@query(DECIDED + """
+select project_id, count(*) as units, count(*) filter (where starts_with(reason, 'cache_hit')) as reused, count(*) filter (where not starts_with(reason, 'cache_hit')) as rechecked,
+  cast(count(*) filter (where starts_with(reason, 'cache_hit')) as bigint) as requests_avoided from decided group by project_id""")
+def cache_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = review.snapshot(manuscript(spark, sf_dir))
+    return review.cache_summary(review.decisions(now, *stored_reviews(now))).drop("tokens_avoided")
+
+
+@query(REACH + CLAIMS[len(BASE.rstrip()):].rstrip() + DUTIES[len(CLAIMS.rstrip()):].rstrip() + f""",
+shown as ({" union all ".join(f"(select {SHOWN} from ({sql}) {rule.lower()})" for rule, sql in FINDINGS.items())}),
+tally as (select project_id, unit, ord, count(*) as n from shown group by all),
+todo as (select project_id, node, count(*) as n from duties where status = 'open' group by all),
+ranked as (select *, row_number() over (partition by project_id, identifier, ord order by node) as nth from m)
 select m.project_id, count(*) as results, cast(sum(coalesce(t.n, 0)) as bigint) as findings, cast(sum(coalesce(o.n, 0)) as bigint) as open_obligations,
   count(*) filter (where coalesce(t.n, 0) > 0 or coalesce(o.n, 0) > 0) as attention, count(*) filter (where coalesce(t.n, 0) = 0 and coalesce(o.n, 0) = 0) as clean
-from m left join tally t using (project_id, ord) left join todo o using (project_id, ord) where is_result group by m.project_id""")
+from ranked m left join tally t on t.project_id = m.project_id and t.unit = m.identifier and t.ord = m.ord and m.nth = 1 left join todo o on o.project_id = m.project_id and o.node = m.node group by m.project_id""")
 def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.report_counts(manuscript(spark, sf_dir))
 
 
-@query(BASE + """select project_id, ord, 'theorem t' || cast(project_id as varchar) || '_' || cast(ord as varchar) || ' (A_' || cast(doc_id % 5 as varchar) || ' D_' || cast(doc_id % 3 as varchar)
-  || ' : Prop) : A_' || cast(doc_id % 5 as varchar) || ' -> D_' || cast(doc_id % 3 as varchar) || ' := by sorry' as lean, 'partial' as lean_status from m where is_result and has_proof""")
+@query(FRAG + r"""
+, last as (select project_id, node, arg_max(f, idx) as f from typed group by project_id, node)
+select project_id, node, case when contains(f, ' \Rightarrow ') then 'theorem t' || cast(project_id as varchar) || '_' || cast(node as varchar) || ' (' || replace(g, ' => ', ' ') || ' : Prop) : ' || replace(g, ' => ', ' -> ') || ' := by sorry' end as lean,
+  case when contains(f, ' \Rightarrow ') then 'partial' else 'unsupported' end as lean_status from (select *, replace(regexp_replace(f, '_\{([0-9]+)\}', '_\1', 'g'), '\Rightarrow', '=>') as g from last) x""")
 def lean_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proofs.lean_statements(manuscript(spark, sf_dir)).select("project_id", "ord", "lean", "lean_status")
+    return proofs.lean_statements(manuscript(spark, sf_dir)).select("project_id", "node", "lean", "lean_status")
 
 
-@query(BASE + """
-, found as (
-  select project_id, 'TH101' as rule from (select m.project_id, row_number() over (partition by m.project_id, label order by place) as n from m where is_result) x where n = 2
-  union all select project_id, case resolution when 'ambiguous' then 'TH102' else 'TH103' end from edges where resolution <> 'resolved'
-  union all select project_id, 'TH113' from m where is_result and doc_id % 10 = 4)
+EVALUATED = REACH.rstrip() + f""",
+shown as ({" union all ".join(f"(select {SHOWN} from ({sql}) {rule.lower()})" for rule, sql in FINDINGS.items())})
+"""
+
+
+@query(EVALUATED + """
 select s.project_id, count(*) filter (where rule in ('TH101', 'TH103')) as matched, count(rule) as observed, count(*) filter (where rule in ('TH101', 'TH103')) > 0 as passed
-from state s left join found f using (project_id) group by s.project_id""")
+from (select distinct project_id from p) s left join shown f using (project_id) group by s.project_id""")
 def evaluation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every project as a case that expects an error about a label."""
     m = manuscript(spark, sf_dir)
-    from scholia.operators.symbols import role_conflicts as symbol_findings
-
-    found = m.duplicate_labels().unionByName(m.reference_findings("ambiguous", "TH102")).unionByName(m.reference_findings("missing", "TH103")).unionByName(symbol_findings(m))
     cases = m.files.select("project_id").distinct().select("project_id", F.array(F.lit("TH101"), F.lit("TH103")).alias("accepted"), F.lit("error").alias("minimum"))
-    return proofs.evaluate(found, cases)
+    return evaluation.evaluate(m.findings(), cases)
+
+
+@query(EVALUATED + """
+select s.project_id, list_sort(coalesce(list(rule) filter (where rule is not null), [])) = case when s.project_id % 3 = 0 then ['TH104'] else [] end as passed, cast(count(rule) as int) as observed
+from (select distinct project_id from p) s left join shown f using (project_id) group by s.project_id""")
+def evaluation_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third project as a case that expects one cycle and nothing else, others as clean ones."""
+    m = manuscript(spark, sf_dir)
+    rules = F.when(F.col("project_id") % 3 == 0, F.array(F.lit("TH104"))).otherwise(F.array().cast("array<string>"))
+    held = evaluation.evaluate_exactly(m.findings(), m.files.select("project_id").distinct().withColumn("rules", rules))
+    return held.select("project_id", "passed", F.size("observed").alias("observed"))
 
 
-@query("""with recursive """ + REACH[REACH.index("p as ("):] + """
-, steps as (select project_id, source, target, 1 as distance from pairs where source <> target
-  union all select s.project_id, s.source, e.target, s.distance + 1 from steps s join pairs e on s.project_id = e.project_id and s.target = e.source where s.distance < 20),
-near as (select project_id, source, target, min(distance) as distance from steps where source <> target group by all)
-select project_id, cast(source as int) as source, cast(target as int) as target, cast(distance as int) as distance, cast(rank as int) as rank from (
+@query(NEAR + """
+select project_id, source, target, distance, cast(rank as int) as rank from (
   select *, row_number() over (partition by project_id, source order by distance, target) as rank from near) x where rank <= 3""")
 def rescue_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proofs.nearest(manuscript(spark, sf_dir).resolved_pairs, 3)
+    return proofs.nearest(manuscript(spark, sf_dir).paths(), 3)
 
 
 @query("""select event_id, cast(sum(cast(value as decimal(18, 6))) over w as double) as spent, sum(cast(value as decimal(18, 6))) over w <= 500 as within
@@ -423,22 +561,31 @@ def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.ranked_dictionary(ledger.ngrams(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "text"))
 
 
-@query(CLAIMS + "select project_id, ord, cast(sum(strlen('C' || cast(idx as varchar) || ' ' || claim)) + count(*) - 1 as bigint) as bytes, true as same from claims group by project_id, ord")
+@query(CLAIMS + "select project_id, node, cast(sum(strlen('C' || cast(idx as varchar) || ' ' || claim)) + count(*) - 1 as bigint) as bytes, true as same from claims group by project_id, node")
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.roundtrip(proofs.packets(manuscript(spark, sf_dir))).select("project_id", "ord", "bytes", "same")
-
-
-@query("""
-with doubled as (select conv_id, role, count(*) as n from conversations group by conv_id, role having count(*) > 1),
-same as (select conv_id, text, count(*) as n from conversations group by conv_id, text having count(*) > 1)
-select conv_id, 'role answered ' || role as violation, n from doubled
-union all select conv_id, 'text repeated', n from same""")
+    return ledger.roundtrip(proofs.packets(manuscript(spark, sf_dir))).select("project_id", "node", "bytes", "same")
+
+
+@query(CLAIMS.rstrip() + """,
+sizes as (select project_id, node, cast(count(*) as int) as n from claims group by project_id, node),
+asked as (select *, n + node % 3 as wanted from sizes)
+select project_id, node, 'too many addresses' as violation, cast(wanted as varchar) as detail from asked where wanted > 4
+union all select project_id, node, 'address was not advertised', 'K' || cast(unnest(range(n, wanted)) as varchar) from asked where wanted > n
+union all select project_id, node, 'carried item omitted', 'K0' from asked where node % 4 = 1
+union all select project_id, node, 'item answered more than once', 'K' || cast(n - 1 as varchar) from asked where node % 4 = 2
+union all select project_id, node, 'unknown item answered', 'other' from asked where node % 4 = 3
+union all select project_id, node, 'finding reuses a carried id', 'K0' from asked where node % 5 = 0""")
 def review_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as responses: each role must answer once, and no text may come twice."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    doubled = turns.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    same = turns.groupBy("conv_id", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return doubled.select("conv_id", F.concat(F.lit("role answered "), "role").alias("violation"), "n").unionByName(same.select("conv_id", F.lit("text repeated").alias("violation"), "n"))
+    """Responses to each proof's turn that ask for and answer more or less than its claims."""
+    claims = manuscript(spark, sf_dir).claims.groupBy("project_id", "node").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    named = lambda count: F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat(F.lit("K"), i.cast("string")))
+    turns = claims.select("project_id", "node", F.lit("rescue").alias("stage"), named(F.col("n")).alias("allowed"), F.lit(4).alias("max_addresses"), F.lit(True).alias("rescue_allowed"), named(F.col("n")).alias("expected"))
+    k, own = F.col("node") % 4, named(F.col("n"))
+    answered = F.when(k == 1, F.slice(own, 2, F.size(own))).when(k == 2, F.concat(own, F.slice(own, -1, 1))).when(k == 3, F.concat(own, F.array(F.lit("other")))).otherwise(own)
+    dispositions = F.transform(answered, lambda i: F.struct(i.alias("item_id"), F.lit(None).cast("string").alias("finding"), F.lit(None).cast("string").alias("payload")))
+    finding = F.array(F.struct(F.when(F.col("node") % 5 == 0, "K0").otherwise("new").alias("id"), F.lit("text").alias("payload")))
+    responses = claims.select("project_id", "node", F.lit("need_source").alias("action"), named(F.col("n") + F.col("node") % 3).alias("source_addresses"), finding.alias("findings"), dispositions.alias("dispositions"))
+    return review.violations(turns, responses, ["project_id", "node"])
 
 
 @query(r"""
@@ -463,40 +610,39 @@ def text_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(tx.compact(text), 256).alias("compacted"), F.sha2(tx.html_escape(text), 256).alias("escaped"), tx.token_estimate(text).alias("tokens"), tx.wire_bound(text).alias("bound"))
 
 
-@query(BASE + """select project_id, ord, trim(regexp_replace(label, '[^a-z0-9]+', '-', 'g'), '-') || '-' || substr(sha256(label), 1, 8) as anchor,
-  substr(sha256('["' || label || '","' || env || '"]'), 1, 16) as item from m where is_result and label < env
-union all select project_id, ord, trim(regexp_replace(label, '[^a-z0-9]+', '-', 'g'), '-') || '-' || substr(sha256(label), 1, 8),
-  substr(sha256('["' || env || '","' || label || '"]'), 1, 16) from m where is_result and label >= env""")
+@query(BASE + """
+select project_id, node, trim(regexp_replace(lower(identifier), '[^a-z0-9]+', '-', 'g'), '-') || '-' || substr(sha256(identifier), 1, 8) as anchor, substr(sha256(identifier || chr(0) || least(env, file) || chr(0) || greatest(env, file)), 1, 16) as item from m""")
 def result_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = manuscript(spark, sf_dir).results
-    return r.select("project_id", "ord", tx.anchor(F.col("identifier")).alias("anchor"), tx.item_id(F.array("identifier", "env")).alias("item"))
+    return r.select("project_id", "node", tx.anchor(F.col("identifier")).alias("anchor"), tx.item_id(F.col("identifier"), F.array("env", "file")).alias("item"))
 
 
-@query(CLAIMS + """
-, inner_math as (select project_id, ord, sum(case when starts_with(claim, 'Since') then 2 when contains(claim, '$') then 1 else 0 end) as n from claims group by all)
-select m.project_id, m.ord, cast(1 + case when doc_id % 10 = 4 then 1 else 0 end as bigint) as in_statement, cast(coalesce(n, 0) as bigint) as in_proof
-from m left join inner_math using (project_id, ord) where is_result""")
+@query(BASE + r"""
+select project_id, node, cast(len(regexp_extract_all(stmt, '\$[^$]*\$')) as bigint) as in_statement, cast(len(regexp_extract_all(proof, '\$[^$]*\$|(?s:\\\[.*?\\\])')) as bigint) as in_proof from m
+where regexp_matches(stmt, '\$') or regexp_matches(proof, '\$|\\\[')""")
 def formulas_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containment join of formulas and result regions."""
-    from scholia.operators.structure import inside
-
+    """Formulas in each result's statement and proof."""
     m = manuscript(spark, sf_dir)
-    math = m.facts.where("kind = 'math'").select("project_id", "ord", F.col("s").alias("ms"), F.col("e").alias("me"))
-    held = m.results.join(math, ["project_id", "ord"], "left")
-    count = lambda a, b: F.count_if(inside(F.col("ms"), F.col("me"), F.col(a), F.col(b))).alias
-    return held.groupBy("project_id", "ord").agg(count("bs", "be")("in_statement"), count("proof_bs", "proof_be")("in_proof"))
+    held = m.placed(m.facts.where("kind = 'math'").select("project_id", "ord", "s", "e"))
+    return held.groupBy("project_id", "node").agg(F.count_if(F.col("context") == "statement").alias("in_statement"), F.count_if(F.col("context") == "proof").alias("in_proof"))
 
 
-@query("""
-with turns as (select conv_id, turn, text, lag(turn) over (partition by conv_id order by turn) as prior from conversations)
-select conv_id, turn, prior from turns where prior is not null""")
-def support_prior_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with the turn before, the ordered scan that links a claim to its predecessor."""
-    from pyspark.sql.window import Window
+@query(BASE + """
+select m.project_id, node, least(sl - 1, 120) as lines, sha256(array_to_string(string_split(raw, chr(10))[greatest(1, sl - 120):sl - 1], chr(10))) as context
+from m join p on p.project_id = m.project_id and p.ord = m.ord""")
+def local_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines before each result, up to 120."""
+    m = manuscript(spark, sf_dir)
+    held = m.local_context().join(m.results.select("project_id", "node", "sl"), ["project_id", "node"])
+    return held.select("project_id", "node", F.least(F.col("sl") - 1, F.lit(120)).alias("lines"), F.sha2("context", 256).alias("context"))
 
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    before = Window.partitionBy("conv_id").orderBy("turn")
-    return turns.select("conv_id", "turn", F.lag("turn").over(before).alias("prior")).where("prior is not null")
+
+@query(CLAIMS + r"""
+select project_id, node, 'subproof' as structure, min(idx) as idx from claims where regexp_matches(claim, '(?i)\b(?:we first show|it suffices to show|we claim that)\b') group by all""")
+def proof_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures that the wording of a proof claims."""
+    m = manuscript(spark, sf_dir)
+    return control.asserted(m.claims).join(m.results.select("project_id", "ord", F.col("s").alias("result_s"), "node"), ["project_id", "ord", "result_s"]).select("project_id", "node", "structure", "idx")
 
 
 @query("""
@@ -550,18 +696,18 @@ def rewrite_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.rewrites(pairs).select("c_custkey", "sites")
 
 
-@query(BASE + """
-, names as (
-  select project_id, ord, doc_id, 'x' as name from m where is_result
-  union select project_id, ord, doc_id, unnest(['A', 'B']) from m where is_result and doc_id % 2 = 1
-  union select project_id, ord, doc_id, unnest(['U', 'V']) from m where is_result and doc_id % 10 = 4
-  union select project_id, ord, doc_id, unnest(['A_' || cast(doc_id % 5 as varchar), 'D_' || cast(doc_id % 3 as varchar)]) from m where is_result and has_proof
-  union select project_id, ord, doc_id, 'B' from m where is_result and has_proof and doc_id % 3 = 0
-  union select project_id, ord, doc_id, 'C' from m where is_result and has_proof and doc_id % 4 = 1
-  union select project_id, ord, doc_id, unnest(['u', 'v', 'w']) from m where is_result and has_proof and doc_id % 7 = 1)
-select distinct project_id, ord, name, case when name <> 'x' then 'unresolved' when doc_id % 10 = 4 then 'ambiguous' else 'resolved' end as resolution from names""")
+@query(BASE.rstrip() + r""",
+texts as (
+  select project_id, node, unnest(regexp_extract_all(stmt || ' ' || coalesce(regexp_replace(proof, '(?s)\\\[(.*?)\\\]', '$\1$', 'g'), ''), '\$([^$]*)\$', 1)) as f, stmt from m
+),
+said as (
+  select distinct project_id, node, stmt, regexp_replace(unnest(regexp_extract_all(regexp_replace(f, '\\[A-Za-z]+', ' ', 'g'), '\b[A-Za-z](?:_(?:\{[A-Za-z0-9]+\}|[A-Za-z0-9]+))?')), '_\{(.*)\}', '_\1') as name from texts
+  union select project_id, node, stmt, '\varepsilon' from m where contains(stmt, '\varepsilon')
+)
+select project_id, node, name, case when name = 'x' and len(regexp_extract_all(stmt, 'Let \$x ')) = 2 then 'ambiguous' when name = 'x' and contains(stmt, 'Let $x ') then 'resolved'
+  when name in ('\varepsilon', 'g', 'y') and contains(stmt, '\varepsilon') then 'resolved' when name = 'z' and contains(stmt, '\forall z') then 'bound' else 'unresolved' end as resolution from said""")
 def name_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return control.name_references(manuscript(spark, sf_dir))
+    return control.name_references(manuscript(spark, sf_dir)).select("project_id", "node", "name", "resolution")
 
 
 @query("""
@@ -580,20 +726,23 @@ def greedy_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.greedy_spans(lines.select("l_orderkey", s.cast("long").alias("s"), (s + F.col("l_quantity").cast("int")).cast("long").alias("e")), "l_orderkey")
 
 
-@query(BASE + "select distinct project_id, ord, label from refs r where not exists (select 1 from owners o where o.project_id = r.project_id and o.label = r.label) union select project_id, ord, 'eq:' || cast(doc_id as varchar) from m where is_result and has_proof and doc_id % 5 = 2")
+@query(BASE + """
+select distinct project_id, node, label from refs r where not exists (select 1 from owners o where o.project_id = r.project_id and o.label = r.label)""")
 def closed_world_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested labels that no result of the project offers."""
+    """Labels that a result asks for and no result of the project offers."""
     m = manuscript(spark, sf_dir)
-    offered = m.results.select("project_id", "label").where("label is not null").distinct()
-    return m.references.select("project_id", "ord", "label").distinct().join(offered, ["project_id", "label"], "left_anti").select("project_id", "ord", "label")
+    offered = m.results.where("label is not null").groupBy("project_id").agg(F.array_distinct(F.collect_list("label")).alias("allowed"))
+    asked = m.references.groupBy("project_id", "node").agg(F.array_distinct(F.collect_list("label")).alias("source_addresses"))
+    limits = {"stage": F.lit("initial"), "max_addresses": F.lit(1 << 30), "rescue_allowed": F.lit(True), "expected": F.array().cast("array<string>")}
+    turns = asked.select("project_id", "node").join(offered, "project_id").withColumns(limits)
+    responses = asked.withColumns({"action": F.lit("need_source"), "findings": F.lit(None).cast("array<struct<id:string,payload:string>>"), "dispositions": F.lit(None).cast("array<struct<item_id:string,finding:string,payload:string>>")})
+    return review.violations(turns, responses, ["project_id", "node"]).select("project_id", "node", F.col("detail").alias("label"))
 
 
-@query("""
-select coalesce(d.doc_id, l.doc_id) as doc_id, case when l.doc_id is null then 'not expected' else 'not observed' end as difference
-from (select distinct doc_id from documents) d full join (select distinct doc_id from labels) l on d.doc_id = l.doc_id where d.doc_id is null or l.doc_id is null""")
+@query(BASE + """
+, wanted as (select distinct label as name from refs), seen as (select distinct identifier as name from m)
+select coalesce(s.name, w.name) as name, case when w.name is null then 'not expected' else 'not observed' end as difference from seen s full join wanted w on s.name = w.name where s.name is null or w.name is null""")
 def expectation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names on one side only, of observed (documents) and expected (labels)."""
-    seen = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").distinct()
-    wanted = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct()
-    extra = seen.exceptAll(wanted).withColumn("difference", F.lit("not expected"))
-    return extra.unionByName(wanted.exceptAll(seen).withColumn("difference", F.lit("not observed")))
+    """Names on one side only, of observed results and expected references."""
+    m = manuscript(spark, sf_dir)
+    return evaluation.coverage(m.results.select(F.col("identifier").alias("name")), m.references.select(F.col("label").alias("name")), "name")

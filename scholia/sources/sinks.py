@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions.text import html_escape
-from scholia.operators.proofs import severity_rank
+from scholia.operators.evaluation import severity_rank
 
 SEVERITIES = ("info", "warning", "error")
 
 
 def finding_lines(findings: DataFrame) -> DataFrame:
-    """``project:ord rule severity subject`` in project order."""
-    line = F.format_string("%d:%d %s %s %s", "project_id", "ord", "rule", "severity", "subject")
-    return findings.orderBy("project_id", "ord", "rule", "subject").select(line.alias("value"))
+    """``file:line: rule severity subject`` by file, line, rule and title."""
+    line = F.format_string("%s:%d: %s %s %s", "file", "line", "rule", "severity", "subject")
+    return findings.orderBy("project_id", "file", "line", "rule", "title", "subject").select(line.alias("value"))
 
 
 def write_findings(findings: DataFrame, path: str, form: str = "json") -> None:
@@ -39,6 +39,60 @@ def project_pages(findings: DataFrame, results: DataFrame) -> DataFrame:
     return joined.select("project_id", body.alias("html"))
 
 
+def overview_edges(manuscript) -> DataFrame:
+    """Argument graph of results: (project_id, source, target, status, sources) from what is used to what uses it, with the strongest status and how many references say so."""
+    m = manuscript
+    labels = m.results.select("project_id", F.col("identifier").alias("label"), "node").groupBy("project_id", "label").agg(F.max("node").alias("from"))
+    rank = F.when(F.col("status") == "confident", 2).when(F.col("status") == "ambiguous", 1).otherwise(0)
+    used = m.support.where("kind = 'result_reference'").select("project_id", F.col("source").alias("label"), F.col("node").alias("target"), "status", rank.alias("rank"))
+    found = used.join(labels, ["project_id", "label"])
+    return found.groupBy("project_id", F.col("from").alias("source"), "target").agg(F.max_by("status", "rank").alias("status"), F.count(F.lit(1)).alias("sources"))
+
+
+def graph_data(manuscript) -> DataFrame:
+    """One JSON document a project: results, overview edges, and each proof's claims and support."""
+    m = manuscript
+    listed = lambda frame, name, *columns: frame.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    results = listed(m.results.select("project_id", F.col("node").alias("order"), F.col("identifier").alias("id"), F.col("env").alias("kind"), "title", "statement", "file", F.col("sl").alias("line"), F.col("proof").isNotNull().alias("hasProof")), "results", "order", "id", "kind", "title", "statement", "file", "line", "hasProof")
+    edges = listed(overview_edges(m), "overviewEdges", "source", "target", "status", "sources")
+    claims = listed(m.claims, "claims", "node", "idx", "form", "claim")
+    support = listed(m.support, "support", "node", "idx", "edge", "kind", "source", "status")
+    held = results.join(edges, "project_id", "left").join(claims, "project_id", "left").join(support, "project_id", "left")
+    return held.select("project_id", F.to_json(F.struct("results", "overviewEdges", "claims", "support")).alias("data"))
+
+
+def graph_pages(manuscript) -> DataFrame:
+    """One self-contained HTML document a project that draws its argument graph; the JSON inside can't end the script it stands in."""
+    safe = F.col("data")
+    for sign, code in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e")):
+        safe = F.replace(safe, F.lit(sign), F.lit(code))
+    return graph_data(manuscript).select("project_id", F.concat(F.lit(_GRAPH[0]), safe, F.lit(_GRAPH[1])).alias("html"))
+
+
+_GRAPH = (
+    "<!DOCTYPE html><meta charset=utf-8><title>Argument graph</title><style>body{font:14px sans-serif}li{margin:.3em}small{color:#666}</style><h1>Results</h1><ol id=r></ol><script type=application/json id=d>",
+    """</script><script>
+const d = JSON.parse(document.getElementById('d').textContent), list = document.getElementById('r');
+for (const r of d.results) {
+  const item = document.createElement('li'), name = document.createElement('b'), more = document.createElement('small');
+  name.textContent = r.kind + ' ' + r.id; item.id = 'n' + r.order;
+  const used = (d.overviewEdges || []).filter(e => e.target === r.order).map(e => d.results[e.source].id + (e.status === 'confident' ? '' : ' (' + e.status + ')'));
+  more.textContent = ' ' + r.file + ':' + r.line + (used.length ? ' uses ' + used.join(', ') : '') + (r.hasProof ? '' : ' without proof');
+  item.append(name, more);
+  const steps = document.createElement('ul');
+  for (const c of (d.claims || []).filter(c => c.node === r.order)) { const s = document.createElement('li'); s.textContent = c.claim; steps.append(s); }
+  item.append(steps); list.append(item);
+}
+</script>
+""",
+)
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """One text row a project, under a folder for each project."""
+    pages.select("project_id", F.col("html").alias("value")).write.partitionBy("project_id").mode("overwrite").text(path)
+
+
 def write_lean(statements: DataFrame, path: str) -> None:
     """A text part file set with the statements that have a form, one a line."""
     statements.where("lean is not null").orderBy("project_id", "ord").select(F.col("lean").alias("value")).write.text(path)

@@ -1,6 +1,5 @@
 """Every registered query with SQL gives the rows that DuckDB computes."""
 
-import functools
 import os
 
 import duckdb
@@ -22,11 +21,9 @@ def db():
 
 @pytest.fixture(scope="module", autouse=True)
 def one_scan(spark):
-    """All queries of the module read one kept scan."""
-    held = queries.manuscript
-    queries.manuscript = functools.cache(held)
+    """All queries of the module read one scan, which is given back."""
     yield
-    queries.manuscript = held
+    queries.forget()
     spark.catalog.clearCache()
 
 

@@ -126,7 +126,7 @@ def test_cycle_duplicate_missing_and_known_labels(spark):
     m = project(spark, [("main", main), ("two", result("b", "By \\cref{c, nowhere} and \\eqref{eq}.")), ("three", result("c", "By \\ref{a}, \\ref{d}.") + "\\input{four}"), ("four", result("d", "") + result("d", ""))])
     assert [r.members for r in m.cycles().collect()] == [[0, 1, 2]]
     rules = sorted((r.rule, r.subject) for r in m.findings().collect())
-    assert rules == [("TH101", "d"), ("TH102", "d"), ("TH103", "nowhere"), ("TH104", "0 -> 1 -> 2 -> 0")]
+    assert rules == [("TH101", "d"), ("TH102", "d"), ("TH103", "nowhere"), ("TH104", "a -> b -> c -> a")]
 
 
 def test_partial_workspace_resolves_nothing(spark):
@@ -165,4 +165,4 @@ def test_a_proof_belongs_to_the_last_result_before_it(spark):
     raw = "\\begin{lemma}x\\end{lemma}\n\\begin{claim}y\\end{claim}\n\\begin{proof}P\\end{proof}\n\\begin{proof}Q\\end{proof}"
     files = spark.createDataFrame([(1, 0, "main", raw), (2, 0, "main", None), (3, 0, "main", "")], "project_id long, ord int, file string, raw string")
     rows = Manuscript(files).results.orderBy("s").collect()
-    assert [(r.env, r.label, r.identifier, r.proof) for r in rows] == [("lemma", None, "s0:1:lemma", None), ("claim", None, "s0:2:claim", "P")]
+    assert [(r.env, r.label, r.identifier, r.proof) for r in rows] == [("lemma", None, "main:1:lemma", None), ("claim", None, "main:2:claim", "P")]
