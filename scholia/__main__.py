@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from scholia.operators.structure import Manuscript
+from scholia.sources.frontends import DEFAULT, get_scanner
 from scholia.sources.manuscripts import read_manuscripts
 from scholia.sources.sinks import exit_code, finding_lines, graph_pages, project_pages, write_findings, write_pages
 
@@ -20,12 +21,13 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--format", choices=("text", "json", "parquet"), default="text")
     parser.add_argument("--fail-on", choices=("info", "warning", "error", "never"), default="error")
     parser.add_argument("--main", default="main", help="name of a project's main file, without suffix")
+    parser.add_argument("--frontend", default=DEFAULT, help="scanner of the sources")
     parser.add_argument("--graph", help="write a page with each project's argument graph here")
     parser.add_argument("--report", help="write a page with each project's results and findings here")
     parser.add_argument("--partitions", type=int, default=4, help="shuffle partitions; a folder on one machine is small")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("scholia").config("spark.sql.shuffle.partitions", args.partitions).config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    manuscripts = Manuscript(read_manuscripts(spark, args.folder, main=args.main))
+    manuscripts = Manuscript(read_manuscripts(spark, args.folder, main=args.main), get_scanner(args.frontend))
     findings = manuscripts.keep(manuscripts.findings(), "findings")
     if args.out:
         write_findings(findings, args.out, args.format)

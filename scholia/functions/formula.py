@@ -15,24 +15,27 @@ from collections.abc import Iterator
 #: Commands and the symbol that each stands for.
 COMMANDS = {
     "Rightarrow": "=>", "implies": "=>", "Longrightarrow": "=>", "iff": "<=>", "Leftrightarrow": "<=>", "land": "/\\", "wedge": "/\\", "lor": "\\/", "vee": "\\/",
-    "neg": "~", "lnot": "~", "le": "<=", "leq": "<=", "ge": ">=", "geq": ">=", "ne": "!=", "neq": "!=", "in": "in", "subset": "subset", "subseteq": "subseteq",
+    "neg": "~", "lnot": "~", "le": "<=", "leq": "<=", "ge": ">=", "geq": ">=", "ne": "!=", "neq": "!=", "in": "in", "notin": "notin", "subset": "subset", "subseteq": "subseteq",
     "cdot": "*", "times": "*", "forall": "forall", "exists": "exists", "colon": ":", "to": "->", "mapsto": "|->", "infty": "infty", "mathbb": "", "mathrm": "", "mathcal": "",
 }
 SPACING = ("quad", "qquad", ",", ";", "!", ":", " ")
-RELATIONS = ("=", "<", ">", "<=", ">=", "!=", "in", "subset", "subseteq", "->", ":")
+RELATIONS = ("=", "<", ">", "<=", ">=", "!=", "in", "notin", "subset", "subseteq", "->", ":")
 #: Left and right binding powers; implication and power bind to the right, relations do not chain.
 POWER = {"<=>": (1, 2), "=>": (4, 3), "\\/": (5, 6), "/\\": (7, 8), **dict.fromkeys(RELATIONS, (10, 10)), "+": (11, 12), "-": (11, 12), "*": (13, 14), "/": (13, 14), "^": (18, 17)}
 NAMES = {"<=>": "iff", "=>": "implies", "\\/": "or", "/\\": "and"}
-_TOKEN = re.compile(r"\s+|\\([A-Za-z]+)|\\(.)|([A-Za-z](?:_(?:\{[A-Za-z0-9]+\}|[A-Za-z0-9]))?)|([0-9]+(?:\.[0-9]+)?)|(<=>|=>|\|->|->|<=|>=|!=|.)", re.DOTALL)
+_TOKEN = re.compile(r"\s+|\\([A-Za-z]+)|\\(.)|([A-Za-zℕ](?:_(?:\{[A-Za-z0-9]+\}|[A-Za-z0-9]))?)|([0-9]+(?:\.[0-9]+)?)|(<=>|=>|\|->|->|<=|>=|!=|.)", re.DOTALL)
 
 
 class Unreadable(ValueError):
     pass
 
 
+_NATURALS = re.compile(r"\\mathbb\s*\{N\}")
+
+
 def tokenize(source: str) -> list[tuple[str, str]]:
     out = []
-    for m in _TOKEN.finditer(source):
+    for m in _TOKEN.finditer(_NATURALS.sub("ℕ", source)):
         if m[1] is not None:
             if m[1] in SPACING:
                 continue

@@ -156,12 +156,20 @@ def greedy_spans(spans: DataFrame, key: str) -> DataFrame:
     The choice depends on what was kept before, so it is a fold over each key's
     sorted spans.
     """
+    schema = spans.schema[key].dataType.simpleString()
     ordered = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", (-F.col("e")).alias("neg")))).alias("spans"))
-    start = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("kept"))
 
-    def step(acc, x):
-        taken = F.struct((-x["neg"]).cast("long").alias("end"), F.concat(acc["kept"], F.array(F.struct(x["s"].cast("long").alias("s"), (-x["neg"]).cast("long").alias("e")))).alias("kept"))
-        return F.when(x["s"] >= acc["end"], taken).otherwise(acc)
-
-    folded = ordered.select(key, F.aggregate("spans", start, step, lambda acc: acc["kept"]).alias("kept"))
-    return folded.select(key, F.explode("kept").alias("span")).select(key, "span.s", "span.e")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, starts, ends = [], [], []
+            for i, row in enumerate(batch.column("spans").to_pylist()):
+                reach = None
+                for span in row:
+                    if reach is None or span["s"] >= reach:
+                        reach = -span["neg"]
+                        place.append(i)
+                        starts.append(span["s"])
+                        ends.append(reach)
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(place, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], [key, "s", "e"])
+
+    return ordered.mapInArrow(run, f"`{key}` {schema}, s long, e long")

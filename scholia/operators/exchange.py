@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from scholia.functions.text import fingerprint, wire_bound
 from scholia.operators import review
 from scholia.operators.support import RESULT
+from scholia.sources.store import written
 
 #: The review's instructions, as sent with every request.
 PROMPT = """You review one proof. Its packet lists nodes and support edges by address.
@@ -197,10 +198,11 @@ def review_results(ir_lines: DataFrame, transport: Transport, *, provider: str,
 
     Results whose first answer asks for advertised source get a second turn with
     it; other first answers are final. An answer that breaks its contract, or is
-    missing, is a fault and gives no finding.
+    missing, is a fault and gives no finding. What the transport answers is
+    written when it comes, so that no request is made twice.
     """
-    first = review.turns(ir_lines)
-    sent = answers(transport(envelopes(first, provider=provider, model=model)))
+    first, _ = written(review.turns(ir_lines), "turns")
+    sent, _ = written(answers(transport(envelopes(first, provider=provider, model=model))), "answers")
     broken = review.violations(first, sent.where("action is not null").select(*RESULT, "action", "source_addresses", "findings", "dispositions"), RESULT)
     missing = sent.where("action is null").select(*RESULT, F.when(F.col("response").isNull(), "no response").otherwise("no answer of the protocol").alias("violation"), F.lit("").alias("detail"))
     good = sent.where("action is not null").join(broken.select(*RESULT).distinct(), RESULT, "left_anti")
@@ -210,7 +212,8 @@ def review_results(ir_lines: DataFrame, transport: Transport, *, provider: str,
     carried = F.transform(F.coalesce("findings", F.array().cast("array<struct<id:string,payload:string>>")), lambda f: f["id"])
     asked = asking.select(*RESULT, F.concat_ws("\n", "user", "response").alias("transcript"), carried.alias("expected"))
     second = texts.join(asked, RESULT).withColumns({"stage": F.lit("rescue"), "allowed": F.array().cast("array<string>"), "max_addresses": F.lit(0), "rescue_allowed": F.lit(False)})
-    final = answers(transport(envelopes(second, provider=provider, model=model)))
+    second, _ = written(second, "turns")
+    final, _ = written(answers(transport(envelopes(second, provider=provider, model=model))), "answers")
     columns = [*RESULT, "action", "source_addresses", "findings", "dispositions"]
     late = review.violations(second, final.where("action is not null").select(*columns), RESULT)
     gone = final.where("action is null").select(*RESULT, F.lit("no response").alias("violation"), F.lit("second turn").alias("detail"))

@@ -49,13 +49,27 @@ def settle(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     return held.where("verdict <> 'dismissed'").drop("v")
 
 
-def ngrams(texts: DataFrame, text: str, max_words: int = MAX_WORDS) -> DataFrame:
-    """Counts of word sequences that occur twice or more, of at most ``max_words`` words."""
+#: Words of a text that one row holds while sequences are made of it.
+STRETCH = 256
+
+
+def ngrams(texts: DataFrame, text: str, max_words: int = MAX_WORDS, *, tails: bool = False) -> DataFrame:
+    """Counts of word sequences that occur twice or more, of at most ``max_words`` words.
+
+    A text is cut in stretches that share their last words, so a row holds few
+    words however long the text is, and sequences are made inside one expression.
+    ``tails`` counts each whole text once more, at any length.
+    """
     words = texts.select(F.filter(F.split(text, " "), lambda x: x != "").alias("w")).where(F.size("w") > 0)
-    spans = words.select("w", F.posexplode("w").alias("i", "_")).select("w", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("w") - F.col("i")))).alias("n"))
-    grams = spans.select(F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ").alias("gram"))
-    counted = grams.where(F.length("gram").between(MIN_CHARS, MAX_CHARS)).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where("n >= 2")
+    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(STRETCH))
+    cut = F.transform(starts, lambda i: F.slice("w", i + 1, STRETCH + max_words - 1))
+    stretches = words.select(F.explode(cut).alias("w"))
+    ends = lambda i: F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("w") - i))
+    made = F.transform(F.sequence(F.lit(0), F.least(F.size("w"), F.lit(STRETCH)) - 1), lambda i: F.transform(ends(i), lambda n: F.array_join(F.slice("w", i + 1, n), " ")))
+    grams = stretches.select(F.explode(F.flatten(made)).alias("gram")).where(F.length("gram").between(MIN_CHARS, MAX_CHARS))
+    if tails:
+        grams = grams.unionByName(texts.select(F.col(text).alias("gram")).where(F.length("gram") >= MIN_CHARS))
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
 def ranked_dictionary(counted: DataFrame, top: int = RANKED) -> DataFrame:

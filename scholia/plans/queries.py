@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions import text as tx
-from scholia.operators import control, evaluation, ir, ledger, proofs, review, support
+from scholia.operators import control, evaluation, experiment, ir, ledger, proofs, review, support, transform
 from scholia.operators.structure import REFERENCES, Manuscript
-from scholia.operators.symbols import all_introductions, resolved_uses, role_conflicts
+from scholia.operators.symbols import all_introductions, project_uses, resolved_uses, role_conflicts
 from scholia.plans.oracle import BASE, CLAIMS, FINDINGS, REACH, SHOWN
 from scholia.sources.manuscripts import projected_manuscripts
 
@@ -262,14 +262,16 @@ def symbol_uses_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved_uses(manuscript(spark, sf_dir)).select("project_id", "ord", "name", "role")
 
 
+#: The first formula of a claim with its commands as signs.
+SIGNS = r"replace(replace(replace(regexp_extract(claim, '\$([^$]*)\$', 1), '\Rightarrow', '⇒'), '\lor', '∨'), '\neg', '¬')"
 ADDRESSED = CLAIMS.rstrip() + r""",
 atoms as (
   select s.*, case when form = 'display' then trim(claim[4:-4])
     when kind in ('C', 'P') and regexp_matches(claim, '(?i)^(?:therefore|hence|thus|consequently)\s*,?\s*\$[^$]*\$\.$') and exists (select 1 from support e where e.project_id = s.project_id and e.node = s.node and e.idx = s.idx and e.kind = 'prior_claim')
-      then replace(regexp_extract(claim, '\$([^$]*)\$', 1), '\Rightarrow', '⇒')
+      then SIGNS
     when kind in ('C', 'P') and regexp_matches(claim, '^By [a-z]+, \$[^$]*\$\.$') and exists (select 1 from good e where e.project_id = s.project_id and e.node = s.node and e.idx = s.idx)
       then regexp_extract(claim, '\$([^$]*)\$', 1)
-    when kind = 'U' then replace(regexp_extract(claim, '\$([^$]*)\$', 1), '\Rightarrow', '⇒') end as atom
+    when kind = 'U' then SIGNS end as atom
   from sliced s where kind <> 'pruned'
 ),
 lettered as (select *, case when kind = 'U' then 'U' when atom is null then 'P' else 'C' end as letter from atoms),
@@ -277,7 +279,7 @@ placed as (
   select project_id, ord, node, idx, qualifier, letter || cast(row_number() over (partition by project_id, node, letter order by idx) as varchar) as address,
     case letter when 'U' then 'unresolved_math' when 'P' then 'opaque_prose' else 'claim' end as kind, coalesce(atom, claim) as atom from lettered
 )
-"""
+""".replace("SIGNS", SIGNS)
 
 
 @query(ADDRESSED + "select project_id, node, idx, address, kind, atom from placed")
@@ -324,6 +326,7 @@ select formula, case when regexp_matches(f, '^[A-Za-z](_[0-9]+)?$') then f
     when regexp_matches(f, '^\S+ [<>=] \S+$') then '(' || replace(f, '\', '') || ')'
     when regexp_matches(f, '^\S+ \\in \S+$') then '(' || replace(f, '\', '') || ')'
     when contains(f, '\Rightarrow') then '(' || replace(f, '\Rightarrow', '=>') || ')'
+    when contains(f, '\lor') then '(' || replace(f, '\lor', '\/') || ')' when starts_with(f, '\neg ') then '~' || substr(f, 6) when regexp_matches(f, '^[A-Z]\([0-9]\)$') then f
     when contains(f, '\forall') then '(' || regexp_replace(replace(f, '\', ''), ', (.*)$', ', (\1)') || ')'
     else '?[' || formula || ']' end as rendered,
   case when contains(f, '\to') or contains(f, ':=') then 'opaque' else 'full' end as expression_status from plain""")
@@ -637,12 +640,57 @@ def local_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("project_id", "node", F.least(F.col("sl") - 1, F.lit(120)).alias("lines"), F.sha2("context", 256).alias("context"))
 
 
-@query(CLAIMS + r"""
-select project_id, node, 'subproof' as structure, min(idx) as idx from claims where regexp_matches(claim, '(?i)\b(?:we first show|it suffices to show|we claim that)\b') group by all""")
+@query(FRAG + r"""
+, held as (
+  select project_id, node, 'subproof' as structure, true as asserted, bool_or(exists (select 1 from typed b where b.project_id = a.project_id and b.node = a.node and b.idx > a.idx and b.f = a.f)) as sure from frags a where contains(claim, 'We claim that') group by all
+  union all select project_id, node, 'cases', false, bool_or(exists (select 1 from typed x, typed y where x.project_id = a.project_id and y.project_id = a.project_id and x.node = a.node and y.node = a.node
+    and string_split(x.f, ' \Rightarrow ')[1] = string_split(a.f, ' \lor ')[1] and string_split(y.f, ' \Rightarrow ')[1] = string_split(a.f, ' \lor ')[2] and string_split(x.f, ' \Rightarrow ')[2] = string_split(y.f, ' \Rightarrow ')[2]))
+    from typed a where contains(f, '\lor') group by all
+  union all select project_id, node, 'contradiction', false, bool_or(exists (select 1 from typed b where b.project_id = a.project_id and b.node = a.node and a.f = '\neg ' || b.f)) from typed a where starts_with(f, '\neg ') group by all)
+select project_id, node, structure, asserted, case when sure then 'confident' else 'unresolved' end as support_status from held where asserted or sure""")
 def proof_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structures that the wording of a proof claims."""
+    """Control structures that a proof's wording claims or its formulas bear out."""
+    return transform.structures(manuscript(spark, sf_dir))
+
+
+@query(CLAIMS + """
+select project_id, node, idx, case kind when 'result_reference' then 'result_application' when 'definition' then 'definition_use' else 'named_property' end as step, source,
+  case when kind = 'result_reference' then 'unresolved' else status end as status from support where kind in ('result_reference', 'definition', 'named_property')""")
+def proof_transformations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each support edge does; the results here say nothing that a template could apply."""
+    return transform.transformations(manuscript(spark, sf_dir)).select("project_id", "node", "idx", "step", "source", "status")
+
+
+@query(BASE.rstrip() + r""",
+defined as (
+  select b.project_id, regexp_extract(t, 'Put \$(K_\{[0-9]+\}) :=', 1) as name, list_append(f.way, 0) as place from bare b join files f using (project_id, ord) where contains(t, 'Put $K_{')
+),
+used as (select project_id, node, place, unnest(regexp_extract_all(proof, 'Here \$(K_\{[0-9]+\}) > 0', 1)) as name from m where has_proof)
+select u.project_id, u.node, regexp_replace(u.name, '_\{(.*)\}', '_\1') as name, resolved and d.place < u.place as resolved
+from used u join state using (project_id) join defined d on d.project_id = u.project_id and d.name = u.name""")
+def project_symbol_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses in results of symbols that the project defines, as-of over the expanded project."""
     m = manuscript(spark, sf_dir)
-    return control.asserted(m.claims).join(m.results.select("project_id", "ord", F.col("s").alias("result_s"), "node"), ["project_id", "ord", "result_s"]).select("project_id", "node", "structure", "idx")
+    uses = project_uses(m).select("project_id", "ord", F.col("use_at").alias("s"), F.col("use_at").alias("e"), "name", F.col("symbol").isNotNull().alias("resolved"))
+    return m.placed(uses).select("project_id", "node", "name", "resolved")
+
+
+@query(ADDRESSED + """
+select c.project_id, c.node, count(*) filter (where kind = 'claim') as claim, count(*) filter (where kind = 'opaque_prose') as opaque_prose, count(*) filter (where kind = 'unresolved_math') as unresolved_math,
+  (select count(*) from support s join placed x on x.project_id = s.project_id and x.node = s.node and x.idx = s.idx where s.project_id = c.project_id and s.node = c.node and s.status = 'unresolved') as unresolved_edges
+from placed c group by c.project_id, c.node""")
+def ir_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each proof's IR by kind, and its unsure edges."""
+    lines = ir.proof_ir(manuscript(spark, sf_dir))
+    found = experiment.inventory(lines).select("project_id", "node", "claim", "opaque_prose", "unresolved_math", "unresolved_edges")
+    return found.where("claim + opaque_prose + unresolved_math > 0")
+
+
+@query(CLAIMS + """
+select project_id, count(distinct node) as results, cast(sum(length('C' || cast(idx as varchar) || ' ' || claim) + 1) - count(distinct node) as bigint) as chars from claims group by project_id""")
+def packet_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters that the numbered claims of a project's proofs take."""
+    return experiment.sizes(experiment.arms(manuscript(spark, sf_dir))).where("arm = 'skeleton'").select("project_id", "results", "chars")
 
 
 @query("""

@@ -73,6 +73,7 @@ TEMPLATE: tuple[tuple[str, str], ...] = (
     ("doc_id % 5 = 2", " We apply \\eqref{eq:<<doc_id>>}."),
     ("doc_id % 14 = 3", " See \\ref{q:<<doc_id>>}."),
     ("doc_id % 25 = 6", " Compare \\autoref{r:<<lab>>}."),
+    ("doc_id % 4 = 2", " Here $K_{<<key>>} > 0$."),
     ("true", " Hence $A_{<<doc_id % 5>>} \\Rightarrow D_{<<doc_id % 3>>}$.\n"),
     ("doc_id % 6 = 1", "\\[ E_{<<doc_id % 4>>} = F \\]\nfor all $t$ in $T$.\n"),
     ("true", "\\end{proof}\n"),
@@ -82,6 +83,8 @@ TEMPLATE: tuple[tuple[str, str], ...] = (
     ("doc_id % 2 = 1", "\\begin{lemma}\\label{q:<<doc_id>>}\nFor every $\\varepsilon > 0$ define $g(t) = t$. Let $y \\in Y$ be given. Then $\\varepsilon < y$.\n\\end{lemma}\n\\begin{proof}\nUsing \\ref{r:<<lab>>} and \\autoref{fig:<<doc_id>>}, $Q_{<<doc_id % 4>>}$ holds."),
     ("doc_id % 6 = 3", " Assume $p$. We claim that $p \\Rightarrow s$. Thus $s$."),
     ("doc_id % 6 = 5", " By stability under limits, $R$ holds. From old habits, $S$ holds."),
+    ("doc_id % 12 = 9", " Either $h \\lor k$ holds. Here $h \\Rightarrow n$. There $k \\Rightarrow n$. Not so if $\\neg e$. Yet $e$."),
+    ("doc_id % 12 = 1", " Either $h \\lor k$ holds. Here $h \\Rightarrow n$. First comes $P(0)$. We claim that $p$. So $p$."),
     ("doc_id % 2 = 1", " Thus $Q_{<<doc_id % 4>>}$.\n\\end{proof}\n"),
     # the third has a statement alone, which refers to the second of another file
     ("doc_id % 4 = 3", "\\begin{corollary}\nIf $a$, then $b$.\n\\end{corollary}\n\\begin{corollary}\\label{c:<<doc_id>>}\nIt follows from \\ref{q:<<t3>>} that $\\forall z \\in Z, z > b$.\n\\end{corollary}\n"),
@@ -124,6 +127,7 @@ from (
     cast(floor(doc_id / {PROJECT}.0) as bigint) * {PROJECT} + (doc_id * 7 + 3) % 23 as t1,
     cast(floor(doc_id / {PROJECT}.0) as bigint) * {PROJECT} + (doc_id * 3 + 1) % {PROJECT} as t2,
     cast(floor(doc_id / {PROJECT}.0) as bigint) * {PROJECT} + (doc_id * 4 + 1) % {PROJECT} as t3,
+    cast(floor(doc_id / {PROJECT}.0) as bigint) * {PROJECT} + 2 + 3 * (doc_id % 3) as key,
     translate(coalesce(text, ''), '$%#&{{}}_^~' || chr(92), '') as prose
   from {table} where doc_id is not null and doc_id >= 0
 ) projected"""
