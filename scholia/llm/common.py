@@ -1,57 +1,19 @@
-"""Helpers that several operators share: shared storage, materialisation, Arrow slices."""
+"""Helpers that several operators share: materialisation in shared storage, tables, Arrow slices."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes that one numpy or tokenizer step holds at a time.
-SLICE_BYTES = 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share.
-
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder is set
-    only where that is unset and driver and executors are one process. A cluster
-    without it is an error, as a folder of the driver would not be shared.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="scholia-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", f"file://{found}")
-        found = f"file://{found}"
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/scholia-{tag}-{uuid.uuid4().hex}"
-    atexit.register(forget, spark, path)
-    return path
+from scholia.sources.store import release, scratch, shared_dir
 
+__all__ = ["SLICE_BYTES", "drop_table", "materialise", "release", "scratch", "shared_dir", "slices", "table"]
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path, also on a remote file system; silent if the session has gone."""
-    context = spark.sparkContext
-    if context._jsc is None:
-        return
-    try:
-        where = context._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the gateway may be closing
-        pass
+#: Text bytes that one numpy or tokenizer step holds at a time.
+SLICE_BYTES = 2 << 20
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
@@ -64,12 +26,6 @@ def drop_table(spark: SparkSession, name: str) -> None:
         pass
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files of finished steps, which a garbage collection tells it of."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write to Parquet in the shared folder and read it again: cuts lineage, survives executors."""
     spark = df.sparkSession
