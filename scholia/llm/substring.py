@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import drop_table, materialise, release, scratch, slices, table
+from scholia.llm.common import drop_table, release, scratch, slices, table
 from scholia.llm.words import Words, grams, mix, text_buffers
+from scholia.sources.store import forget, written
 
 WINDOW = 13
 #: Lengths are halved down to this many words or fewer.
@@ -229,30 +230,43 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc
 
     steps = levels(window)
     source = texts.where("doc_id is not null and text is not null")
-    candidates = None
+    candidates, place = None, None
+
+    def done(*paths: str | None) -> None:
+        """Delete what no later step reads, and let go of finished shuffles."""
+        for path in filter(None, paths):
+            forget(spark, path)
+        release(spark)
+
     for i in range(1, max(2, len(steps))):
         lengths = steps[:i]
         rows = source if candidates is None else with_list(candidates, "inner").where("doc_id is not null")
-        found = rows.mapInArrow(_anchors(window, lengths), "key long, doc_id long, row long")
+        # written once: keys are counted in it and then looked up in it
+        found, found_at = written(rows.mapInArrow(_anchors(window, lengths), "key long, doc_id long, row long"), "found")
         shared = found.join(_first_in(found, ["key"]), "key")
-        candidates = materialise(shared.groupBy("row").agg(F.collect_list("key").alias("keys")), "anchors")
+        before = place
+        candidates, place = written(shared.groupBy("row").agg(F.collect_list("key").alias("keys")), "anchors")
+        done(found_at, before)
         if candidates.isEmpty():
             break
-    runs = materialise(with_list(candidates, "inner").mapInArrow(_runs(window, lengths), "key long, sig long, doc_id long, row long, a int, b int"), "runs")
+    runs, runs_at = written(with_list(candidates, "inner").mapInArrow(_runs(window, lengths), "key long, sig long, doc_id long, row long, a int, b int"), "runs")
+    done(place)
     classes = runs.groupBy("key", "sig").agg(F.min("doc_id").alias("lo"))
     several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(True).alias("edge"))
     marked = runs.join(classes.join(several, "key", "left"), ["key", "sig"]).where("lo < doc_id or edge")
-    marked = materialise(marked.select("row", "a", "b", (F.col("lo") < F.col("doc_id")).alias("gone")), "marked")
+    marked, marked_at = written(marked.select("row", "a", "b", (F.col("lo") < F.col("doc_id")).alias("gone")), "marked")
+    done(runs_at)
     span = F.struct("a", "b")
     probes = marked.where("not gone").groupBy("row").agg(F.collect_list(span).alias("spans"))
-    single = materialise(with_list(probes, "inner").mapInArrow(_windows(window), "v1 long, v2 long, doc_id long, row long, at int"), "windows")
+    single, single_at = written(with_list(probes, "inner").mapInArrow(_windows(window), "v1 long, v2 long, doc_id long, row long, at int"), "windows")
     again = single.join(_first_in(single, ["v1", "v2"]), ["v1", "v2"]).where("lo < doc_id")
     gone = marked.where("gone").select("row", "a", "b").unionByName(again.select("row", F.col("at").alias("a"), F.col("at").alias("b")))
-    lists = materialise(gone.groupBy("row").agg(F.collect_list(span).alias("spans")), "gone")
+    lists, _ = written(gone.groupBy("row").agg(F.collect_list(span).alias("spans")), "gone")
+    done(marked_at, single_at)
     out = with_list(lists, "left", whole).select("rest", "text", "spans")
     rest = whole.schema["rest"].dataType.simpleString()
-    done = out.mapInArrow(_kept(window), f"rest {rest}, text string, n_words long, n_removed long, kept string")
-    return done.select(*[F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in names], "n_words", "n_removed", "kept")
+    kept = out.mapInArrow(_kept(window), f"rest {rest}, text string, n_words long, n_removed long, kept string")
+    return kept.select(*[F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in names], "n_words", "n_removed", "kept")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
