@@ -84,7 +84,8 @@ def pack_documents(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", t
     of at most ``piece`` tokens, which wait until they fill about ``windows``
     windows and are then spread by differencing. Every task packs its own input
     split, without a shuffle; a sequence_id holds the number of the partition
-    and a running one, which a repeated task gives again. A null text is the
+    and a running one, which a repeated task gives again if it sees the same rows
+    in the same order: ``docs`` must come from a file scan. A null text is the
     end id alone; null and repeated doc_ids are kept as they are; an empty table
     gives no rows.
     """

@@ -241,12 +241,12 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc
     for i in range(1, max(2, len(steps))):
         lengths = steps[:i]
         rows = source if candidates is None else with_list(candidates, "inner").where("doc_id is not null")
-        # written once: keys are counted in it and then looked up in it
-        found, found_at = written(rows.mapInArrow(_anchors(window, lengths), "key long, doc_id long, row long"), "found")
+        # made twice, to count keys and to look them up: written out, they take more memory than their making takes time
+        found = rows.mapInArrow(_anchors(window, lengths), "key long, doc_id long, row long")
         shared = found.join(_first_in(found, ["key"]), "key")
         before = place
         candidates, place = written(shared.groupBy("row").agg(F.collect_list("key").alias("keys")), "anchors")
-        done(found_at, before)
+        done(before)
         if candidates.isEmpty():
             break
     runs, runs_at = written(with_list(candidates, "inner").mapInArrow(_runs(window, lengths), "key long, sig long, doc_id long, row long, a int, b int"), "runs")
