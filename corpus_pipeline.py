@@ -36,15 +36,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the row with the smallest doc_id; a group of rows without one goes.
+    """Of each group of near-duplicates, the row with the smallest doc_id, or one of a group of rows without any.
 
-    Rows that share a doc_id are judged each.
+    Rows that share a doc_id, or have none, are judged each; rows equal in all
+    columns are copies. Null and wordless texts are one group.
     """
-    return first_of_groups(docs).where("doc_id is not null")
+    return first_of_groups(docs)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that an earlier one has; untouched texts stay as they are, emptied ones go."""
+    """Documents without passages that an earlier one has; untouched texts stay as they are, emptied ones go.
+
+    Rows without a doc_id neither lose words nor make others lose them.
+    """
     found = substring_dedup(docs).where("n_removed = 0 or kept <> ''")
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
@@ -53,12 +57,12 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item of ``benchmark``."""
+    """Documents that hold no test item of ``benchmark``; rows are judged each, also repeated ones and those without a doc_id."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 1024 tokens."""
+    """Pieces of documents in sequences of at most 1024 tokens; rows that share a doc_id, or have none, are packed each, a null text as its end id alone."""
     return pack_documents(docs, tokenizer=default_tokenizer())
 
 
