@@ -13,7 +13,7 @@ from scholia.sources.store import release, scratch, shared_dir
 __all__ = ["SLICE_BYTES", "drop_table", "materialise", "release", "scratch", "shared_dir", "slices", "table"]
 
 #: Text bytes that one numpy or tokenizer step holds at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def drop_table(spark: SparkSession, name: str) -> None:

@@ -28,7 +28,7 @@ SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_ROWS = 150, 8_000, 4_800
 TABLE_BITS, NGRAMS, AFFIXES = 16, (2, 3), (2, 3)
 EPOCHS, RATE = 3, 0.3
 #: Text bytes whose n-gram sums a task holds at a time, for up to four languages; fewer for more.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 #: Words of a training piece, and of a block in forward-backward.
 PIECE, BLOCK = 48, 128
 
