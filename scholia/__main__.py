@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from scholia.operators.structure import Manuscript
 from scholia.sources.frontends import DEFAULT, get_scanner
 from scholia.sources.manuscripts import read_manuscripts
-from scholia.sources.sinks import exit_code, finding_lines, graph_pages, project_pages, write_findings, write_pages
+from scholia.sources.sinks import exit_code, finding_lines, graph_pages, report_pages, write_findings, write_pages
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -38,7 +38,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.graph:
         write_pages(graph_pages(manuscripts), args.graph)
     if args.report:
-        write_pages(project_pages(findings, manuscripts.results), args.report)
+        write_pages(report_pages(manuscripts), args.report)
     code = exit_code(findings, args.fail_on)
     manuscripts.release()
     return code

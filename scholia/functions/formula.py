@@ -33,9 +33,14 @@ class Unreadable(ValueError):
 _NATURALS = re.compile(r"\\mathbb\s*\{N\}")
 
 
+#: Signs and the command that each is written with.
+SIGNS = {"⇔": "iff", "⇒": "Rightarrow", "∧": "land", "∨": "lor", "¬": "neg", "≠": "ne", "≤": "le", "≥": "ge", "∈": "in", "∉": "notin", "⊂": "subset", "⊆": "subseteq", "∀": "forall", "∃": "exists", "→": "to"}
+_SPELLED = str.maketrans({sign: f"\\{name} " for sign, name in SIGNS.items()})
+
+
 def tokenize(source: str) -> list[tuple[str, str]]:
     out = []
-    for m in _TOKEN.finditer(_NATURALS.sub("ℕ", source)):
+    for m in _TOKEN.finditer(_NATURALS.sub("ℕ", source.translate(_SPELLED))):
         if m[1] is not None:
             if m[1] in SPACING:
                 continue

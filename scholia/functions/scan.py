@@ -25,8 +25,10 @@ STRUCTURAL = ("document", "figure", "figure*", "table", "table*", "center", "ite
 SCHEMA = "project_id long, ord int, kind string, name string, arg string, option string, s int, e int, bs int, be int, sl int, el int, text string, before string, behind string, sc int, ec int, nested boolean, label string, proof_s int, proof_line int, proof_bs int, proof_be int, proof string"
 #: Fixed value: the longest gap between an environment and its proof in lines.
 PROOF_GAP = 40
+#: Characters of source whose facts a task holds before it passes them on; a longer file is held alone.
+HELD_CHARS = 2 << 20
 #: Characters of context that a formula carries on its left and right.
-BEFORE, BEHIND = 80, 24
+BEFORE, BEHIND = 96, 96
 
 _MARK = re.compile(r"\\(?:([A-Za-z]+)(\*?)|(.))|%[^\n]*|\$\$?", re.DOTALL)
 _FEED = re.compile("\n")
@@ -213,14 +215,23 @@ def scan_manuscripts(manuscripts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         kinds = [pa.int64(), pa.int32(), *[pa.string()] * 4, *[pa.int32()] * 6, *[pa.string()] * 3, *[pa.int32()] * 2, pa.bool_(), pa.string(), *[pa.int32()] * 4, pa.string()]
+        rows: list[tuple] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            rows.clear()
+            return out
+
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                rows = []
-                for p, o, raw in zip(*(part.column(c).to_pylist() for c in ("project_id", "ord", "raw"))):
-                    facts = scan(raw or "")
-                    rows += [(p, o, *f, *more) for f, more in zip(facts, attached(facts))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            for p, o, raw in zip(*(batch.column(c).to_pylist() for c in ("project_id", "ord", "raw"))):
+                facts = scan(raw or "")
+                rows += [(p, o, *f, *more) for f, more in zip(facts, attached(facts))]
+                held += len(raw or "")
+                if rows and held >= HELD_CHARS:
+                    yield flush()
+                    held = 0
+        if rows:
+            yield flush()
 
     return manuscripts.select("project_id", "ord", "raw").mapInArrow(run, SCHEMA)

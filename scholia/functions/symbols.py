@@ -34,10 +34,47 @@ def canonical(name: str) -> str:
     return f"{found[1]}_{found[2]}" if found else name
 
 
+#: Characters before and behind a formula in which a result's cues stand.
+NEAR, BEHIND = 80, 24
+_CONVENTION = re.compile(r"(?i)\s*(?:in\s+what\s+follows|throughout|henceforth|from\s+now\s+on)\b")
+_BRIDGE = re.compile(r"(?i)\s*(?:to\s+mean|means?|is\s+defined\s+(?:as|to\s+be))\s*$")
+_INFIX = re.compile(rf"\s*{_NAME}\s*(\\[A-Za-z]+)\s*{_NAME}\s*$")
+
+
 def cue(before: str, behind: str) -> str | None:
     """The introducing word right before a formula; ``let`` also needs ``be`` behind it."""
+    kind = next((k for k, pattern in _CUES if pattern.search(before[-NEAR:])), None)
+    return None if kind == "let" and not _BE.match(behind[:BEHIND]) else kind
+
+
+def authoritative(formula: str, before: str, behind: str) -> tuple[str, int, str, str] | None:
+    """(name, offset, role, kind) of the one symbol that a formula outside results introduces for the whole project, if it does so beyond doubt.
+
+    ``define`` and ``set`` need a definition, ``let`` a definition or a map and
+    ``be``, ``for`` a relation that is said to hold from here on: a symbol taken
+    for the project by mistake would be seen in every later result.
+    """
     kind = next((k for k, pattern in _CUES if pattern.search(before)), None)
-    return None if kind == "let" and not _BE.match(behind) else kind
+    if kind is None:
+        return None
+    grammar = "set" if kind == "let" and not introduced(formula, kind) else kind
+    found, said = introduced(formula, grammar), stated(formula, grammar)
+    if len(found) != 1:
+        return None
+    name, at, role = found[0]
+    sort = said[0] if said else None
+    if kind == "for":
+        sure = sort == "constraint" and bool(_CONVENTION.match(behind))
+    else:
+        sure = sort == "definition" or kind == "let" and role == "map" and bool(_BE.match(behind))
+    return (name, at, role, kind) if sure else None
+
+
+def alias(formula: str, behind: str) -> tuple[str, int] | None:
+    """The sign between two names that the words before the next formula give a meaning, as in ``$a \\sim b$ means $..$``."""
+    bridge = behind.partition("$")
+    found = _INFIX.match(formula)
+    return (found[1], found.start(1)) if found and bridge[1] and _BRIDGE.match(bridge[0]) else None
 
 
 def introduced(formula: str, kind: str) -> list[tuple[str, int, str]]:

@@ -14,10 +14,6 @@ def compact(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def without_labels(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\label\s*\{[^{}]*\}", "")
-
-
 def without_delimiters(math: Column) -> Column:
     """The inside of a formula that is delimited on both sides, else the text."""
     return F.regexp_replace(F.trim(math), r"(?s)^(?:\$\$(.*)\$\$|\$(.*)\$|\\\[(.*)\\\]|\\\((.*)\\\))$", "$1$2$3$4")
@@ -67,7 +63,3 @@ def fingerprint(content: Column) -> Column:
 def safe_uri(path: Column) -> Column:
     """A file URI whose path holds nothing but safe characters; others are percent-encoded byte by byte."""
     return F.concat(F.lit("file://"), F.replace(F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20")))
-
-
-def status_mark(status: Column) -> Column:
-    return F.when(status == "ambiguous", "?").when(status == "unresolved", "!").otherwise("")

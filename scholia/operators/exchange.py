@@ -228,6 +228,12 @@ def audit_key(results: DataFrame, model: str, prompt_version: str, defender: boo
     return results.withColumn("audit_key", F.sha2(F.concat_ws("\n", content, F.lit(model), F.lit(prompt_version), F.lit(f"defender={defender}")), 256))
 
 
+def cached_audits(results: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stored, missing): audits that the cache (audit_key, audit) holds for results with their key, and results that it holds none for."""
+    known = cache.groupBy("audit_key").agg(F.max("audit").alias("audit"))
+    return results.join(known, "audit_key"), results.join(known, "audit_key", "left_anti")
+
+
 def audit(findings: DataFrame, verdicts: DataFrame | None, *, source: Column | None = None) -> DataFrame:
     """Findings of an attack with the defence's last verdict on each.
 

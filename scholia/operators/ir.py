@@ -153,3 +153,37 @@ def packets(ir: DataFrame) -> DataFrame:
 def sources(ir: DataFrame) -> DataFrame:
     """Addresses that a packet advertises, with the source text behind each."""
     return ir.select(*RESULT, "address", F.col("raw").alias("text")).where("text is not null")
+
+
+TYPED = "project_id long, ord int, result_s int, node int, address string, path string, kind string, shown string, opaque boolean"
+
+
+def typed(lines: DataFrame) -> DataFrame:
+    """Every part of every formula in an IR, by address and path from the outermost in: its kind, text, and whether it isn't understood.
+
+    Opaque prose is one part. Edges without an atom have none.
+    """
+    from scholia.functions import formula as fx
+    from scholia.functions import logic
+
+    names = [x.split()[0] for x in TYPED.split(", ")]
+    kinds = [pa.int64(), *[pa.int32()] * 3, *[pa.string()] * 4, pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                atom = r["atom"].partition(":")[2] if r["kind"] == "dependency" else r["atom"]
+                x = ("opaque", atom) if r["opaque"] else fx.parse(atom)
+                rows += [(*(r[c] for c in RESULT), r["address"], "/".join(path), part[0], logic.show(part), part[0] == "opaque") for path, part in logic.parts(x)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return lines.where("atom is not null").select(*RESULT, "address", "kind", "atom", "opaque").mapInArrow(run, TYPED)
+
+
+def typed_status(parts: DataFrame) -> DataFrame:
+    """Per address: full if all parts are understood, opaque if the whole isn't, else partial."""
+    whole = F.bool_or((F.col("path") == "") & F.col("opaque"))
+    status = F.when(whole, "opaque").when(F.bool_or("opaque"), "partial").otherwise("full")
+    return parts.groupBy(*RESULT, "address").agg(status.alias("expression_status"), F.count(F.lit(1)).alias("parts"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -110,6 +112,92 @@ def decode(kept: list[str], lines: list[str]) -> list[str]:
     return lines
 
 
+# the wire form of several packets: a head, the dictionary, and the packets' lines with references to it
+
+#: The form's name, the sign before a reference, and the signs of entries in order.
+WIRE, MARK, SIGNS = "SC1", "@", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"
+_TOKENS = re.compile(r"\\[A-Za-z@]+|[A-Za-z_][A-Za-z0-9_]*|\d+|\s+|.", re.DOTALL)
+
+
+def _shortened(line: str, entries: list[str]) -> str:
+    """A line with its longest known pieces, from the left, as references; the mark itself is doubled."""
+    known = sorted(range(len(entries)), key=lambda i: (-len(entries[i]), i))
+    out, at = [], 0
+    while at < len(line):
+        i = next((i for i in known if line.startswith(entries[i], at)), None)
+        out.append(line[at].replace(MARK, MARK * 2) if i is None else MARK + SIGNS[i])
+        at += 1 if i is None else len(entries[i])
+    return "".join(out)
+
+
+def _restored(line: str, entries: list[str]) -> str:
+    def meaning(found: re.Match[str]) -> str:
+        if found[1] == MARK:
+            return MARK
+        if found[1] not in SIGNS or SIGNS.index(found[1]) >= len(entries):
+            raise ValueError(f"no entry {found[0]!r}")
+        return entries[SIGNS.index(found[1])]
+
+    return re.sub(f"{MARK}(.?)", lambda m: meaning(m) if m[1] else _cut_off(), line, flags=re.DOTALL)
+
+
+def _cut_off() -> str:
+    raise ValueError("a reference is cut off")
+
+
+def to_wire(packets: list[list[str]], entries: list[str] | None = None) -> str:
+    """Packets as one text; without ``entries`` a dictionary is chosen, of which each entry makes the whole shorter.
+
+    Lines hold no line feed and aren't empty. Candidates are sequences of tokens
+    and whole lines; they are tried by what they would save, longer ones first.
+    """
+    if any(not line or "\n" in line for lines in packets for line in lines):
+        raise ValueError("lines of a packet are not empty and hold no line feed")
+    if entries is not None:
+        head = [WIRE, f"D{len(entries)}", *(_shortened(entry, entries[:i]) for i, entry in enumerate(entries)), ""]
+        body = "\n\n".join("\n".join(_shortened(line, entries) for line in lines) for lines in packets)
+        return "\n".join(head) + "\n" + body + "\n"
+    counts: dict[str, int] = {}
+    for line in (line for lines in packets for line in lines):
+        tokens = _TOKENS.findall(line)
+        ends = np.cumsum([0, *map(len, tokens)]).tolist()
+        pieces = [line[ends[i] : ends[j]] for i in range(len(tokens)) for j in range(i + 1, min(len(tokens), i + MAX_WORDS) + 1)]
+        for piece in [*(p for p in pieces if MIN_CHARS <= len(p) <= MAX_CHARS), *([line] if len(line) >= MIN_CHARS else [])]:
+            counts[piece] = counts.get(piece, 0) + 1
+    size = {piece: len(piece.encode()) for piece in counts}
+    saves = {piece: n * (size[piece] - 2) - (size[piece] + 1) for piece, n in counts.items() if n > 1}
+    ranked = sorted((p for p, n in saves.items() if n > 0), key=lambda p: (-saves[p], -size[p], p))[:RANKED]
+    chosen: list[str] = []
+    best = to_wire(packets, chosen)
+    for piece in ranked:
+        if len(chosen) == ENTRIES:
+            break
+        tried = to_wire(packets, [*chosen, piece])
+        if len(tried.encode()) < len(best.encode()):
+            chosen, best = [*chosen, piece], tried
+    return best
+
+
+def from_wire(text: str) -> list[list[str]]:
+    """The packets of a wire text; a damaged one raises ValueError."""
+    lines = text.split("\n")
+    if lines[0] != WIRE or not re.fullmatch(r"D\d+", lines[1] if len(lines) > 1 else "") or lines[-1]:
+        raise ValueError("not a wire text")
+    count = int(lines[1][1:])
+    entries: list[str] = []
+    for line in lines[2 : 2 + count]:
+        entries.append(_restored(line, entries))
+    if len(entries) != count or lines[2 + count : 3 + count] != [""]:
+        raise ValueError("the dictionary is cut off")
+    packets: list[list[str]] = [[]]
+    for line in lines[3 + count : -1]:
+        if line:
+            packets[-1].append(_restored(line, entries))
+        else:
+            packets.append([])
+    return packets
+
+
 def roundtrip(packets: DataFrame) -> DataFrame:
     """Each packet's size before and after encoding, and whether decoding gives it back."""
 

@@ -284,6 +284,48 @@ def rescue(turn: DataFrame, ir_lines: DataFrame, requests: DataFrame) -> DataFra
     return held.mapInArrow(run, schema)
 
 
+def result_contexts(manuscript, lines: DataFrame | None = None) -> DataFrame:
+    """For each result all that its review may rest on, as one JSON document: statement, lines of its IR by kind, symbols of the project, results behind it and unsure groups."""
+    from scholia.operators.symbols import declarations, symbol_closure
+
+    m = manuscript
+    lines = ir.proof_ir(m) if lines is None else lines
+    listed = lambda frame, name, *columns: frame.groupBy("project_id", "node").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    symbols = symbol_closure(m).join(declarations(m).select("project_id", "symbol", "name", "formula"), ["project_id", "symbol"])
+    names = m.results.select("project_id", F.col("node").alias("target"), "identifier")
+    behind = m.transitive().withColumnRenamed("source", "node").join(names, ["project_id", "target"])
+    groups = review_groups(m)
+    held = m.results.select("project_id", "node", "identifier", "env", "statement")
+    held = held.join(listed(lines.where("address <> 'T0'"), "lines", "seq", "address", "kind", "atom", "status"), ["project_id", "node"], "left")
+    held = held.join(listed(symbols, "symbols", "symbol", "name", "formula"), ["project_id", "node"], "left").join(listed(behind, "behind", "target", "identifier"), ["project_id", "node"], "left")
+    held = held.join(listed(groups, "groups", "part", "item", "edges"), ["project_id", "node"], "left")
+    return held.select("project_id", "node", F.to_json(F.struct("identifier", "env", "statement", "lines", "symbols", "behind", "groups")).alias("context"))
+
+
+def targeted_contexts(manuscript, around: int = 1) -> DataFrame:
+    """For each unsure group its claims and those up to ``around`` places beside them, a text once: (part, item, context)."""
+    m = manuscript
+    groups = review_groups(m)
+    touched = groups.select(*RESULT, "part", "item", F.explode("ids").alias("edge")).join(m.support.select(*RESULT, "edge", "idx"), [*RESULT, "edge"])
+    near = touched.select(*RESULT, "part", "item", F.explode(F.sequence(F.col("idx") - around, F.col("idx") + around)).alias("idx")).distinct()
+    claims = near.join(m.claims.select(*RESULT, "idx", "s", "claim"), [*RESULT, "idx"]).dropDuplicates([*RESULT, "part", "s", "claim"])
+    grouped = claims.groupBy(*RESULT, "part", "item").agg(F.sort_array(F.collect_list(F.struct("idx", "claim"))).alias("claims"))
+    return grouped.select(*RESULT, "part", "item", F.array_join(F.transform("claims", lambda c: F.concat(F.lit("C"), c["idx"], F.lit(" "), c["claim"])), "\n").alias("context"))
+
+
+def open_obligations(manuscript, lines: DataFrame | None = None) -> DataFrame:
+    """What a report shows as open: (kind, address, expected) of unsure edges, opaque or unresolved claims, and premises that applications leave."""
+    from scholia.operators.transform import transformations
+
+    m = manuscript
+    lines = ir.proof_ir(m) if lines is None else lines
+    edges = lines.where("target is not null and status <> 'confident'").select(*RESULT, F.lit("proof_obligation").alias("kind"), "address", F.coalesce("atom", "source").alias("expected"))
+    claims = lines.where("kind in ('opaque_prose', 'unresolved_math')").select(*RESULT, F.lit("proof_obligation").alias("kind"), "address", F.col("atom").alias("expected"))
+    places = lines.where("idx is not null and target is null").select(*RESULT, "idx", "address")
+    left = transformations(m).where("premise is not null and status <> 'confident'").join(places, [*RESULT, "idx"], "left")
+    return edges.unionByName(claims).unionByName(left.select(*RESULT, F.lit("application_precondition").alias("kind"), "address", F.col("premise").alias("expected")))
+
+
 def visible(findings: DataFrame, threshold: float = 0.65) -> DataFrame:
     """Findings at or above a confidence."""
     return findings.where(F.col("confidence") >= threshold)

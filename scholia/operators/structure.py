@@ -304,6 +304,15 @@ class Manuscript:
             out = out.unionByName(frame)
         return out
 
+    def faults(self) -> DataFrame:
+        """(project_id, fault) of what must never be: nodes or occurrences that aren't numbered from 0 without gaps, and edges to no result."""
+        nodes = self.results.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("node").alias("distinct"), F.max("node").alias("last"))
+        places = self.workspace.where("kind = 'file'").groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("occurrence").alias("distinct"), F.max("occurrence").alias("last"))
+        uneven = "n <> distinct or last <> n - 1"
+        lost = self.edges.where("resolution = 'resolved'").join(self.results.select("project_id", F.col("node").alias("target")), ["project_id", "target"], "left_anti")
+        named = lambda frame, fault: frame.select("project_id", F.lit(fault).alias("fault")).distinct()
+        return named(nodes.where(uneven), "nodes").unionByName(named(places.where(uneven), "occurrences")).unionByName(named(lost, "edges"))
+
     # texts around a place
 
     def local_context(self, lines: int = 120) -> DataFrame:
@@ -340,6 +349,12 @@ class Manuscript:
         last = size.join(regions.groupBy(*FILE).agg(F.max("e").alias("a")), FILE, "left").select(*FILE, F.coalesce("a", F.lit(0)).alias("a"), F.col("size").alias("b"))
         return before.unionByName(last).where("a < b").select(*FILE, F.col("a").alias("s"), F.col("b").alias("e"))
 
+    def document_text(self, frame: DataFrame) -> DataFrame:
+        """Rows (with s) that stand in a file's ``document`` environment, or in a reachable file that has none."""
+        document = self.environments.where("name = 'document'").groupBy(*FILE).agg(F.min("bs").alias("text_s"), F.max("be").alias("text_e"))
+        held = frame.join(self.order.select(*FILE), FILE).join(document, FILE, "left")
+        return held.where("text_s is null or text_s <= s and s < text_e").drop("text_s", "text_e")
+
     def eligible(self, spans: DataFrame) -> DataFrame:
         """The spans (project_id, ord, s, e) that lie wholly in prose."""
         held = self.prose().select(*FILE, F.col("s").alias("prose_s"), F.col("e").alias("prose_e"))

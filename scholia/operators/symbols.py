@@ -88,6 +88,24 @@ def project_definitions(manuscript) -> DataFrame:
     return _each(free.join(aliases, FILE, "left").select(*FILE, "s", "start", "formula", "macros"), found, INTRODUCED)
 
 
+def project_context(manuscript) -> DataFrame:
+    """Symbols that words and formulas outside all results introduce for the whole project, and signs that they give a meaning; result_s is null."""
+    m = manuscript
+    math = m.document_text(m.facts.where("kind = 'math'").select(*FILE, "s", "e", F.col("bs").alias("start"), F.col("text").alias("formula"), "before", "behind"))
+    held = regions(m)
+    free = math.join(held, [math[c] == held[c] for c in FILE] + [F.col("region_s") <= F.col("s"), F.col("e") <= F.col("region_e")], "left_anti")
+
+    def found(row: dict) -> Iterator[tuple]:
+        place = row["project_id"], row["ord"], None, None, row["s"], "project"
+        if got := sx.authoritative(row["formula"], row["before"], row["behind"]):
+            name, at, role, kind = got
+            yield *place, kind, row["start"] + at, name, role, row["formula"]
+        elif got := sx.alias(row["formula"], row["behind"]):
+            yield *place, "define", row["start"] + got[1], got[0], "unknown", row["formula"]
+
+    return _each(free.select(*FILE, "s", "start", "formula", "before", "behind"), found, INTRODUCED)
+
+
 def introductions(manuscript) -> DataFrame:
     """Symbols that a result introduces in its statement or proof, with place, scope and role.
 
@@ -100,8 +118,14 @@ def introductions(manuscript) -> DataFrame:
 
 
 def all_introductions(manuscript) -> DataFrame:
-    """Introductions of results and definitions outside them."""
-    return introductions(manuscript).unionByName(project_definitions(manuscript))
+    """Introductions of results, and of the project outside them."""
+    return introductions(manuscript).unionByName(project_symbols(manuscript))
+
+
+def project_symbols(manuscript) -> DataFrame:
+    """Definitions and authoritative context outside results, a place once."""
+    both = project_definitions(manuscript).unionByName(project_context(manuscript))
+    return both.dropDuplicates([*FILE, "at", "name"])
 
 
 def role_conflicts(manuscript) -> DataFrame:
@@ -152,7 +176,7 @@ def resolved_uses(manuscript) -> DataFrame:
 def declarations(manuscript) -> DataFrame:
     """Project definitions of reachable files, numbered in project order: symbol, name, place of each occurrence and where the introducing formula ends."""
     m = manuscript
-    found = project_definitions(m).select(*FILE, "s", "at", "name", "formula").join(m.order.select(*FILE, "way"), FILE)
+    found = project_symbols(m).select(*FILE, "s", "at", "name", "formula").join(m.order.select(*FILE, "way"), FILE)
     order = Window.partitionBy("project_id").orderBy(F.concat("way", F.array("at")))
     return found.withColumn("symbol", (F.row_number().over(order) - 1).cast("int")).drop("way")
 
@@ -237,3 +261,18 @@ def visible(manuscript) -> DataFrame:
     own = introductions(m).where("scope <> 'local'").join(m.results.select(*FILE, F.col("s").alias("result_s"), "node"), [*FILE, "result_s"])
     own = own.select("project_id", "node", "name", "scope", ranks[F.col("scope")].alias("rank"), "role", "at")
     return own.withColumn("nearest", F.row_number().over(Window.partitionBy("project_id", "node", "name").orderBy("rank", F.desc("at"))) == 1).drop("at")
+
+
+def claim_symbols(manuscript) -> DataFrame:
+    """Symbols of a proof that matter to each of its claims: those that a formula of the claim mentions, with the introduction that they resolve to."""
+    from scholia.operators.structure import overlap
+    from scholia.operators.support import CLAIM
+
+    m = manuscript
+    claims = m.claims.select(*CLAIM, "s", "e")
+    uses = resolved_uses(m).select(*FILE, "name", "use_s", "intro_s", "role")
+    # a formula lies in one proof of its file; only formulas of proofs meet claims
+    placed = m.placed(uses.select(*FILE, F.col("use_s").alias("s"), F.col("use_s").alias("e"), "name", "intro_s", "role")).where("context = 'proof'")
+    placed = placed.select(*FILE, "result_s", "node", F.col("s").alias("at"), "name", "intro_s", "role")
+    held = claims.join(placed, [*FILE, "result_s", "node"])
+    return held.where(overlap(F.col("at"), F.col("at") + 1, F.col("s"), F.col("e"))).select(*CLAIM, "name", "intro_s", "role").distinct()

@@ -172,3 +172,16 @@ def lean_exports(manuscript) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in schema.split(", ")])
 
     return held.mapInArrow(run, schema)
+
+
+def terminal_steps(manuscript) -> DataFrame:
+    """How each proof ends: ``exact`` if its last claim says what the statement does, up to bound names, ``earlier`` if an earlier one does, else ``open``."""
+    schema = "project_id long, ord int, result_s int, node int, idx int, ending string"
+
+    def function(row: dict) -> Iterator[tuple]:
+        goal = logic.read(row["statement"] or "")
+        same = [c["idx"] for c in row["claims"] if goal[0] != "opaque" and _key(expression(c["claim"])) == _key(goal)]
+        last = row["claims"][-1]["idx"]
+        yield last, "exact" if last in same else "earlier" if same else "open"
+
+    return _over_proofs(manuscript, function, schema)

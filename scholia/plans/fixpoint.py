@@ -1,7 +1,8 @@
 """Closures over graphs that are keyed by project.
 
-Projects are small and many, so each is closed in one group. One large graph is
-closed by doubling paths instead, a few joins for any diameter.
+Projects are small and many, so each is closed in one group. A project with more
+than GROUP_EDGES edges is closed by doubling paths instead, a few joins for any
+diameter. Cycles take one linear pass over a project.
 """
 
 from __future__ import annotations
@@ -10,6 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholia.sources.store import forget, written
+
+
+#: Edges of a project up to which one task closes it.
+GROUP_EDGES = 100_000
+
 
 def _reach(edges: dict[int, list[int]], start: int) -> set[int]:
     seen: set[int] = set()
@@ -29,11 +36,18 @@ def _adjacent(rows: pd.DataFrame) -> dict[int, list[int]]:
     return out
 
 
-def reachable_pairs(edges: DataFrame, *, start: bool = False) -> DataFrame:
+def reachable_pairs(edges: DataFrame, *, start: bool = False, most: int = GROUP_EDGES) -> DataFrame:
     """(project_id, source, target) of all nodes reachable from a source.
 
-    The source itself is left out, even on a cycle, unless ``start``.
+    The source itself is left out, even on a cycle, unless ``start``. Projects of
+    more than ``most`` edges are closed by joins.
     """
+    edges = edges.select("project_id", F.col("source").cast("int").alias("source"), F.col("target").cast("int").alias("target"))
+    large = edges.groupBy("project_id").count().where(F.col("count") > most).select("project_id")
+    if not large.isEmpty():
+        wide = doubled_pairs(edges.join(large, "project_id", "left_semi"), keys=("project_id",))
+        wide = wide if start else wide.where("source <> target")
+        return reachable_pairs(edges.join(large, "project_id", "left_anti"), start=start, most=1 << 62).unionByName(wide)
 
     def close(rows: pd.DataFrame) -> pd.DataFrame:
         adjacent = _adjacent(rows)
@@ -116,16 +130,20 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
     return edges.select("project_id", "source", "target").groupBy("project_id").applyInPandas(search, "project_id long, source int, target int, distance int, path array<int>")
 
 
-def doubled_pairs(edges: DataFrame, *, rounds: int = 40) -> DataFrame:
-    """All (source, target) paths of one large graph, by joining paths to paths until none is new.
+def doubled_pairs(edges: DataFrame, *, keys: tuple[str, ...] = (), rounds: int = 40) -> DataFrame:
+    """All (source, target) paths of large graphs, told apart by ``keys``, by joining paths to paths until none is new.
 
-    Each round is a checkpoint in ``spark.checkpoint.dir``.
+    Each round is a written table in ``spark.checkpoint.dir``; the one before it
+    is deleted.
     """
-    paths = edges.select("source", "target").distinct().checkpoint()
+    spark = edges.sparkSession
+    paths, place = written(edges.select(*keys, "source", "target").distinct(), "paths")
     size = paths.count()
     for _ in range(rounds):
-        longer = paths.join(paths.select(F.col("source").alias("target"), F.col("target").alias("end")), "target").select("source", F.col("end").alias("target"))
-        paths = paths.union(longer).distinct().checkpoint()
+        longer = paths.join(paths.select(*keys, F.col("source").alias("target"), F.col("target").alias("end")), [*keys, "target"]).select(*keys, "source", F.col("end").alias("target"))
+        before = place
+        paths, place = written(paths.unionByName(longer).distinct(), "paths")
+        forget(spark, before)
         if (now := paths.count()) == size:
             return paths
         size = now

@@ -17,7 +17,7 @@ from scholia.sources.manuscripts import projected_manuscripts
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-#: The manuscripts that queries share: the last folder's, given back when another is asked for.
+#: The manuscripts that queries share, by session and folder, until ``forget``.
 _HELD: dict[str, Manuscript] = {}
 
 
@@ -35,13 +35,12 @@ def manuscript(spark: SparkSession, sf_dir: str) -> Manuscript:
     """The manuscripts of a folder, scanned once for all queries of a session."""
     name = f"{spark.sparkContext.applicationId} {sf_dir}"
     if name not in _HELD:
-        forget()
         _HELD[name] = Manuscript(projected_manuscripts(spark, sf_dir))
     return _HELD[name]
 
 
 def forget() -> None:
-    """Give back what queries share."""
+    """Give back what queries share; frames that were made from it can't be evaluated any more."""
     for held in _HELD.values():
         held.release()
     _HELD.clear()
@@ -245,8 +244,9 @@ ROLE = r"case when contains(formula, '\to') then 'map' when regexp_matches(formu
 said as (
   select project_id, ord, 'result' as scope, unnest(regexp_extract_all(stmt, '(?:Let|For every|define) \$([^$]*)\$', 1)) as formula from m
   union all select project_id, ord, 'project', unnest(regexp_extract_all(t, 'Put \$([^$]*)\$', 1)) from bare join files using (project_id, ord)
+  union all select project_id, ord, 'project', unnest(regexp_extract_all(stmt, 'Let \$([^$]*\\to[^$]*)\$ be', 1)) from found where env = 'remark' and project_id not in (select project_id from declared)
 )
-select project_id, ord, scope, regexp_replace(""" + NAME + r""", '_\{(.*)\}', '_\1') as name, case when scope = 'project' then 'unknown' else """ + ROLE + r""" end as role, formula from said
+select project_id, ord, scope, regexp_replace(""" + NAME + r""", '_\{(.*)\}', '_\1') as name, case when contains(formula, ':=') then 'unknown' else """ + ROLE + r""" end as role, formula from said
 union all select project_id, ord, 'local', regexp_extract(formula, 'forall ([a-z])', 1), 'unknown', formula from (select project_id, ord, unnest(regexp_extract_all(stmt, '\$(\\forall [^$]*)\$', 1)) as formula from m) x""")
 def symbol_introductions(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = manuscript(spark, sf_dir)
@@ -592,14 +592,22 @@ def review_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-with terms as (select distinct lower(array_to_string(string_split(text, ' ')[1:2], ' ')) as term from benchmark),
-clean as (select doc_id, ' ' || replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ', '  ') || ' ' as value from documents),
-counted as (select doc_id, term, len(regexp_extract_all(value, '[^\pL\pN]' || regexp_escape(replace(term, ' ', '  ')) || '[^\pL\pN]')) as n from clean join terms on contains(value, replace(term, ' ', '  ')))
-select doc_id, term, n from counted where n > 0""")
+with halves as (select w[i] as a, w[i + 1] as b from (select string_split(text, ' ') as w, unnest(range(1, len(string_split(text, ' ')))) as i from benchmark) x),
+terms as (select distinct lower(a) as a, lower(b) as b from halves where a <> '' and b <> ''),
+split as (select doc_id, string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ') as w from documents),
+pairs as (select doc_id, w[i] as x, w[i + 1] as y from (select *, unnest(range(1, len(w))) as i from split) p),
+ends as (
+  select doc_id, unnest(list_transform(list_filter(range(1, length(x) + 1), lambda j: j = 1 or not regexp_matches(substr(x, j - 1, 1), '[\pL\pN]')), lambda j: substr(x, j))) as a, y from pairs
+),
+both_ends as (
+  select doc_id, a, unnest(list_transform(list_filter(range(1, length(y) + 1), lambda j: j = length(y) or not regexp_matches(substr(y, j + 1, 1), '[\pL\pN]')), lambda j: substr(y, 1, j))) as b from ends
+)
+select doc_id, a || ' ' || b as term, count(*) as n from both_ends join terms using (a, b) group by all""")
 def term_text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of two words from the test items, in all documents."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    terms = items.select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("term"))
+    """Every pair of neighbouring words of the test items, in all documents."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.split("text", " ").alias("w")).where(F.size("w") > 1)
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.slice("w", i, 2))).alias("p"))
+    terms = pairs.where("p[0] <> '' and p[1] <> ''").select(F.array_join("p", " ").alias("term"))
     return ledger.term_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), terms, "doc_id", "text")
 
 

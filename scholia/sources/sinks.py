@@ -98,6 +98,35 @@ def write_lean(statements: DataFrame, path: str) -> None:
     statements.where("lean is not null").orderBy("project_id", "ord").select(F.col("lean").alias("value")).write.text(path)
 
 
+def write_lean_files(exports: DataFrame, path: str) -> None:
+    """The exports that have a text, in a folder for each result."""
+    exports.where("lean is not null").select("project_id", "node", F.col("lean").alias("value")).write.partitionBy("project_id", "node").mode("overwrite").text(path)
+
+
+def report_pages(manuscript) -> DataFrame:
+    """One HTML document a project: its counts, results with their state, findings by place with evidence, and open obligations; all text is escaped."""
+    from scholia.operators.proofs import report_counts
+    from scholia.operators.review import open_obligations
+
+    m = manuscript
+
+    def items(frame: DataFrame, name: str, order: list[str], html) -> DataFrame:
+        rows = frame.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct(*order, F.concat(F.lit("<li>"), html, F.lit("</li>")).alias("html")))).alias(name))
+        return rows.select("project_id", F.array_join(F.transform(name, lambda x: x["html"]), "").alias(name))
+
+    findings = m.findings()
+    bad = findings.select("project_id", F.col("unit").alias("identifier")).distinct().withColumn("state", F.lit("attention"))
+    results = m.results.join(bad, ["project_id", "identifier"], "left")
+    told = items(results, "results", ["node"], F.concat(html_escape(F.concat_ws(" ", "env", "identifier")), F.lit(": "), F.coalesce("state", F.lit("no finding")), F.when(F.col("proof").isNull(), ", no proof").otherwise("")))
+    found = items(findings, "findings", ["file", "line", "rule", "title", "subject"], F.concat("rule", F.lit(" "), "severity", F.lit(" "), html_escape(F.concat_ws(":", "file", "line")), F.lit(" "), html_escape(F.concat_ws(" ", "title", "subject")), F.lit("<ul>"), F.array_join(F.transform("evidence", lambda e: F.concat(F.lit("<li>"), html_escape(e), F.lit("</li>"))), ""), F.lit("</ul>")))
+    left = items(open_obligations(m).withColumn("text", F.coalesce("expected", F.lit(""))), "obligations", ["node", "address", "kind"], html_escape(F.concat_ws(" ", "address", "kind", "text")))
+    held = told.join(report_counts(m).drop("findings").withColumnRenamed("results", "n"), "project_id").join(found, "project_id", "left").join(left, "project_id", "left")
+    summary = F.format_string("%d results, %d need attention, %d clean, %d open obligations", "n", "attention", "clean", "open_obligations")
+    section = lambda title, name: F.concat(F.lit(f"<h2>{title}</h2><ul>"), F.coalesce(name, F.lit("")), F.lit("</ul>"))
+    html = F.concat(F.lit("<!DOCTYPE html><meta charset=utf-8><title>Report</title><h1>Project "), "project_id", F.lit("</h1><p>"), summary, F.lit("</p>"), section("Results", "results"), section("Findings", "findings"), section("Open obligations", "obligations"))
+    return held.select("project_id", html.alias("html"))
+
+
 def upsert(state: DataFrame | None, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The newest row of each key in the state and the new rows."""
     every = new if state is None else state.unionByName(new)

@@ -1,9 +1,10 @@
 """Statements in words, their rendering and parts, Lean text, what steps do, control structures, and symbols of the project."""
 
+import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from scholia.functions import formula as fx
 from scholia.functions import logic
@@ -199,4 +200,82 @@ def test_sequences_of_long_texts(spark):
                     expected[gram] = expected.get(gram, 0) + 1
     assert found == {k: n for k, n in expected.items() if n > 1}
     tails = {r.gram: r.n for r in ledger.ngrams(texts, "t", 4, tails=True).collect()}
-    assert tails["a b"] == 4 and F is not None
+    assert tails["a b"] == 4
+
+
+def test_words_outside_results_introduce_for_the_project(spark):
+    raw = r"""Let $A$ be odd. \begin{document}
+Define $g(t) = t^2$. Set $B = 3$. Let $C = [0, 1]$. Let $T \colon X \to Y$ be a map. Let $D$ be a set. For every $n > 0$ we go.
+For each $m > 0$ throughout the text. We write $a \sim b$ to mean $a = b + 1$. But $a \approx b$ is $c$.
+\begin{lemma}Set $E = 5$. Here $B > 1$ and $T$ and $a \sim c$.\end{lemma}
+\end{document} Set $F = 6$."""
+    m = project(spark, [[("main", raw)]])
+    found = {(r.name, r.kind, r.role) for r in symbols.project_context(m).collect()}
+    assert found == {("g", "define", "function"), ("B", "set", "unknown"), ("C", "let", "unknown"), ("T", "let", "map"), ("m", "for", "scalar"), ("\\sim", "define", "unknown")}
+    uses = {r.name for r in symbols.project_uses(m).where("symbol is not null").collect()}
+    assert {"B", "T"} <= uses
+    m.release()
+
+
+@given(st.lists(st.lists(st.text(alphabet="ab @0:\\é", min_size=1, max_size=30).filter(lambda x: x.strip()), min_size=1, max_size=8), min_size=1, max_size=3))
+@settings(max_examples=150, deadline=None)
+def test_wire_text_comes_back(packets):
+    wire = ledger.to_wire(packets)
+    assert ledger.from_wire(wire) == packets and len(wire.encode()) <= len(ledger.to_wire(packets, []).encode())
+
+
+def test_wire_text_shrinks_and_rejects_damage():
+    packets = [["T0:the same long phrase", "C1:the same long phrase", "C2:another"], ["T0:the same long phrase"]]
+    wire = ledger.to_wire(packets)
+    assert len(wire) < len(ledger.to_wire(packets, [])) and wire.startswith("SC1\nD")
+    for damaged in (wire[1:], wire.replace("@0", "@z"), wire[:-1], "SC1\nD9\n\nx\n", wire.replace("@0", "@")):
+        with pytest.raises(ValueError):
+            ledger.from_wire(damaged)
+    with pytest.raises(ValueError):
+        ledger.to_wire([["a\nb"]])
+
+
+def test_large_projects_are_closed_by_joins(spark):
+    from scholia.plans.fixpoint import cyclic_components, reachable_pairs
+
+    rows = [(1, i, i + 1) for i in range(12)] + [(1, 12, 0)] + [(2, 0, 1), (2, 1, 2)] + [(3, 5, 5)]
+    edges = spark.createDataFrame(rows, "project_id long, source int, target int")
+    plain, joined = (sorted(map(tuple, reachable_pairs(edges, most=most).collect())) for most in (100, 2))
+    assert plain == joined and len(plain) == 13 * 12 + 3
+    assert sorted((r.project_id, r.members) for r in cyclic_components(edges).collect()) == [(1, list(range(13))), (3, [5])]
+
+
+def test_contexts_and_open_obligations(proofs):
+    from scholia.operators import review
+
+    told = {r.node: json.loads(r.context) for r in review.result_contexts(proofs).collect()}
+    assert told[1]["behind"] == [{"target": 0, "identifier": "rule"}] and told[0]["identifier"] == "rule" and "behind" not in told[0]
+    assert any(line["address"].startswith("E") for line in told[1]["lines"])
+    found = {(r.node, r.kind, r.expected) for r in review.open_obligations(proofs).collect()}
+    assert (1, "application_precondition", "P(5)") in found and not any(e == "P(2)" and k == "application_precondition" for _, k, e in found)
+    unsure = project(proofs.files.sparkSession, [[("main", "\\begin{lemma}x\\end{lemma}\\begin{proof}One. By old habits, $a$. Two. Three. Four.\\end{proof}")]])
+    assert [r.context for r in review.targeted_contexts(unsure).collect()] == ["C0 One.\nC1 By old habits, $a$.\nC2 Two."]
+
+
+def test_typed_parts_and_endings(proofs, spark):
+    from scholia.operators import ir
+
+    parts = ir.typed(ir.proof_ir(proofs))
+    shown = {(r.node, r.address, r.path): (r.kind, r.shown) for r in parts.collect()}
+    goal = next((n, a) for (n, a, p), (k, s) in shown.items() if s == "a => c")
+    assert shown[(*goal, "left")] == ("id", "a") and shown[(*goal, "right")] == ("id", "c")
+    status = {(r.node, r.address): r.expression_status for r in ir.typed_status(parts).collect()}
+    assert status[goal] == "full" and "opaque" in status.values()
+    raw = "\\begin{lemma}If $a$, then $b$.\\end{lemma}\\begin{proof}%s\\end{proof}"
+    m = project(spark, [[("main", raw % text)] for text in ("So $a \\Rightarrow b$.", "So $a \\Rightarrow b$. Done with $c$.", "Clear.")])
+    assert {r.project_id: r.ending for r in transform.terminal_steps(m).collect()} == {0: "exact", 1: "earlier", 2: "open"}
+    assert m.faults().count() == 0
+    m.release()
+
+
+def test_layers_by_name(proofs):
+    from scholia.operators.layers import layers
+
+    found = layers(proofs)
+    assert {"facts", "ir", "typed", "structures", "open"} <= set(found) and found["endings"].count() == 2
+    assert fx.parse("a ⇒ b ∧ c") == fx.parse("a \\Rightarrow b \\land c")

@@ -59,10 +59,10 @@ def test_edge_identifiers_are_numbered_over_the_project(manuscript):
 
 def test_ir_lines(manuscript):
     lines = {(r.node, r.address): r for r in ir.proof_ir(manuscript).collect()}
-    assert lines[0, "T0"].atom == "\\label{a} If $a$, then $b$.".replace("\\label{a} ", "") or lines[0, "T0"].atom == "a⇒b"
+    assert lines[0, "T0"].atom == "a⇒b"
     shown = {a: r.atom for (n, a), r in lines.items() if n == 1}
     assert shown["H1"] == "x>0" and shown["L1"] == "y≤2" and shown["D1"] == "f=t^2" and shown["R1"] == "a:a⇒b"
-    assert shown["C1"] == "b" or lines[1, "C1"].kind == "claim"
+    assert shown["C1"] == "b"
     assert lines[1, "Q1"].kind == "quantifier" and shown["Q1"] == "∀k" and lines[1, "Q1"].target == next(a for (n, a), r in lines.items() if n == 1 and r.atom == "h = 1")
     kinds = [r.kind for (n, _), r in sorted(lines.items(), key=lambda x: x[1].seq) if n == 1]
     assert kinds[0] == "result" and "unresolved_math" in kinds
@@ -155,7 +155,7 @@ def test_rescue_shows_the_nearest_prerequisites_first(spark, manuscript):
     every = {"a", "b", "c", "d"}
     assert review.expanded_addresses(contexts, ["d"], every, 2) == ["c", "d"]
     assert review.expanded_addresses(contexts, ["d"], every, 9) == ["a", "b", "c", "d"]
-    assert review.expanded_addresses(contexts, ["d", "d", "x"], every, 3) == ["c", "d"] or True
+    assert review.expanded_addresses(contexts, ["d", "d", "x"], every, 3) == ["c", "d"]
     assert review.expanded_addresses({"a": ["b"], "b": ["a"]}, ["a"], {"a", "b"}, 4) == ["b", "a"]
     with pytest.raises(ValueError):
         review.expanded_addresses(contexts, ["a", "b"], every, 1)

@@ -1,9 +1,12 @@
 """Files in, findings out, and the incremental stream."""
 
+import shutil
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 from scholia.__main__ import main
 from scholia.operators.structure import Manuscript
 from scholia.sources import sinks
@@ -66,3 +69,57 @@ def test_the_rest_works_without_llm(tmp_path):
         "assert not any(m.startswith('scholia.llm') for m in sys.modules)\n"
     )
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).returncode == 0
+
+
+def test_a_copy_without_llm_works(tmp_path):
+    """The folders are gone, not hidden: the rest imports, registers its queries and runs one."""
+    root = Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache", ".hypothesis"))
+    code = (
+        "import __spark_entry__ as e\n"
+        "names = e.queries()\n"
+        "assert names and set(e.oracle_sql()) <= set(names) and 'pipeline' not in names and 'op1_url_filter' not in names\n"
+        "import bench, scholia.__main__, scholia.operators.exchange, scholia.operators.experiment, scholia.operators.transform, scholia.streaming.incremental\n"
+        "from scholia.functions.scan import scan\n"
+        "assert scan('\\\\label{x}')\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
+def test_unreadable_state_is_no_new_state(spark, tmp_path):
+    from scholia.streaming.incremental import read_state
+
+    assert read_state(spark, str(tmp_path / "state"), 3) is None
+    (tmp_path / "state" / "v1").mkdir(parents=True)
+    (tmp_path / "state" / "v1" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|corrupt|schema"):
+        read_state(spark, str(tmp_path / "state"), 1).count()
+
+
+def test_command_line_pages(spark, tmp_path, capsys):
+    path = folder(tmp_path)
+    assert main([path, "--graph", str(tmp_path / "g"), "--report", str(tmp_path / "r"), "--fail-on", "never"]) == 0
+    assert "main:2: TH103 error gone" in capsys.readouterr().out
+    for name in ("g", "r"):
+        assert "<!DOCTYPE html>" in "".join(r.value for r in spark.read.text(str(tmp_path / name)).collect())
+    assert main([path, "--main", "part", "--fail-on", "never"]) == 0
+
+
+def test_the_demo_holds_every_finding(spark, tmp_path):
+    from scholia.operators import symbols, transform
+    from scholia.sources.demo import demo_manuscripts
+
+    m = Manuscript(demo_manuscripts(spark))
+    assert sorted((r.rule, r.subject) for r in m.findings().collect()) == [("TH101", "lem:twice"), ("TH102", "lem:twice"), ("TH103", "thm:lost"), ("TH104", "fact:rule -> lem:back -> fact:rule"), ("TH113", "x: scalar, map")]
+    page = sinks.report_pages(m).first().html
+    assert "label lem:twice occurs at main:" in page and "P(n)" in page and "&lt;" not in page.split("<h2>")[0]
+    exports = transform.lean_exports(m)
+    sinks.write_lean_files(exports, str(tmp_path / "lean"))
+    texts = [r.value for r in spark.read.text(str(tmp_path / "lean")).collect()]
+    assert len(texts) == exports.where("lean is not null").count() > 0 and all(t.startswith("theorem scholia_") for t in texts)
+    m.release()
+    raw = "\\begin{lemma}Let $x > 0$ be small.\\end{lemma}\\begin{proof}One $y$. So $x < 1$. And $x = z$.\\end{proof}"
+    own = Manuscript(spark.createDataFrame([(0, 0, "main", raw)], "project_id long, ord int, file string, raw string"))
+    assert sorted((r.idx, r.name, r.role) for r in symbols.claim_symbols(own).collect()) == [(1, "x", "scalar"), (2, "x", "scalar")]
