@@ -561,7 +561,7 @@ select gram, count(*) as n, cast((count(*) - 1) * strlen(gram) as bigint) as gai
 order by gain desc, strlen(gram) desc, gram limit 1024""")
 def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 1,024 candidates that rank first: the reference's own top-k."""
-    return ledger.ranked_dictionary(ledger.ngrams(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "text"))
+    return ledger.ranked_ngrams(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "text")
 
 
 @query(CLAIMS + "select project_id, node, cast(sum(strlen('C' || cast(idx as varchar) || ' ' || claim)) + count(*) - 1 as bigint) as bytes, true as same from claims group by project_id, node")

@@ -1,7 +1,9 @@
 """Statements in words, their rendering and parts, Lean text, what steps do, control structures, and symbols of the project."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +13,7 @@ from scholia.functions import logic
 from scholia.functions.scan import scan_manuscripts
 from scholia.operators import ledger, symbols, transform
 from scholia.operators.structure import Manuscript
+from scholia.plans.queries import QUERIES
 from scholia.sources import frontends, sinks
 
 
@@ -203,6 +206,38 @@ def test_sequences_of_long_texts(spark):
     assert tails["a b"] == 4
 
 
+def test_first_sequences_are_found_without_a_shuffle_of_all(spark, tmp_path):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, weights=range(3000, 0, -1), k=80)) for _ in range(2000)]
+    texts += [*texts[:9], *texts[:4], " ".join(rng.choices(vocabulary, k=1500)), "a  b c ", " ", "", None, "é é é"]
+    folder = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).write.parquet(folder)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    found = QUERIES["ngram_candidates"](spark, str(tmp_path)).collect()
+    moved = written() - before
+    assert moved < 20 * sum(len((t or "").encode()) for t in texts), moved
+    whole = ledger.ranked_dictionary(ledger.ngrams(spark.read.parquet(folder), "text")).collect()
+    assert found == whole and len(found) == 1024
+
+
+def test_first_sequences_of_flat_and_few_counts(spark):
+    # all pairs save the same, so that bounds alone decide nothing and the order of the texts does
+    flat = spark.createDataFrame([(f"{i:05d} {i % 7 + 1:03d}",) for i in range(3000) for _ in range(2)], "t string")
+    few = spark.createDataFrame([("a b c",), ("a b",), ("x y z",), (None,)], "t string")
+    for texts, top, words in ((flat, 5, 20), (flat, 40, 1), (few, 1024, 20), (few, 1, 2), (few.where("t is null"), 3, 20)):
+        whole = ledger.ranked_dictionary(ledger.ngrams(texts, "t", words), top).collect()
+        assert ledger.ranked_ngrams(texts, "t", words, top).collect() == whole
+
+
+def test_sequences_of_one_hash_are_kept_apart():
+    words, code = np.array(["a", "b", "c"], dtype=object), np.array([0, 1, 0, 1, 0, 2, 2])
+    first, n = np.array([0, 2, 4, 4, 6]), np.array([2, 2, 2, 1, 1])
+    grams, count = ledger._told(words, code, first, n, np.zeros(5, np.uint64))
+    assert sorted(zip(grams, count.tolist())) == [("a", 1), ("a b", 2), ("a c", 1), ("c", 1)]
+
+
 def test_words_outside_results_introduce_for_the_project(spark):
     raw = r"""Let $A$ be odd. \begin{document}
 Define $g(t) = t^2$. Set $B = 3$. Let $C = [0, 1]$. Let $T \colon X \to Y$ be a map. Let $D$ be a set. For every $n > 0$ we go.
